@@ -1,18 +1,73 @@
-"""A corpus pipeline of training-data operators: each stage's result is written and read again."""
+"""A corpus pipeline: classify, join near duplicates, redact secrets, mix sources, encode.
+
+Each stage takes (spark, docs, sf_dir) and works on all rows that the stage before it kept; all
+but the last return the columns of documents. `run` writes each result as Parquet in the shared
+folder and reads it back as the next stage's input.
+
+Defined results: null and empty texts pass the stages as the operators define (the classifier
+judges an empty text like any other; it has no near duplicates, no secrets and no tokens); of
+rows that repeat an id one stays; rows without an id have no id to choose by and stay; an empty
+table gives an empty table; other columns pass through unchanged, up to the last stage.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from loomgraph.llm import byte_bpe, jaccard_join, mixing, quality_model, secrets
+from loomgraph.llm.common import materialize
+from loomgraph.llm.queries import split_pattern, table, tokenizer_path
+
+#: Share of all tokens that the mixing stage samples.
+SHARE = 0.8
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier keeps."""
+    model = quality_model.fit(docs, table(spark, sf_dir, "labels"))
+    return quality_model.classify(docs, model).filter("kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of the Jaccard join: the one with the smallest id."""
+    groups = jaccard_join.jaccard_components(docs)
+    first = materialize(groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("_first")).agg(F.count("*").alias("_n")))
+    kept = docs.join(first, docs["doc_id"].eqNullSafe(first["_first"]), "left_semi")
+    if first.filter("_n > 1 AND _first IS NOT NULL").isEmpty():
+        return kept
+    return kept.filter("doc_id IS NULL").union(kept.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"]))
 
-STAGES: list = []
+
+def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, their secrets replaced by marks."""
+    return secrets.redact(docs, secrets.train(docs))
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A sample of the documents by calibrated probabilities."""
+    return mixing.mix(docs, share=SHARE)
+
+
+def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens and digests of the ids and of what they decode to."""
+    return byte_bpe.round_trip(docs, tokenizer_path("byte_bpe_50k.tiktoken"), split_pattern())
+
+
+STAGES = [
+    ("quality classifier", quality_stage),
+    ("n-gram Jaccard join", near_duplicate_stage),
+    ("secret scans", secrets_stage),
+    ("mixing sources to target weights", mixing_stage),
+    ("byte-level BPE", encoding_stage),
+]
+#: SQL cannot train the classifier or apply the merges; tests compare with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents table, each written as Parquet and read back."""
-    from loomgraph.llm.common import materialize
-
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over the documents table."""
+    docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
         docs = materialize(stage(spark, docs, sf_dir))
     return docs
