@@ -17,11 +17,14 @@ Exact copies share one set and are joined as one. For the other links:
    there). Sets that fill c partitions share at least c - k signatures with each partner. The
    number of partitions is chosen so that c > k; a set for which it fails gives its shingles as
    signatures too, which any partner with the same failing shares.
-3. Sets in a signature group are compared with the group's first one, then linked sets are
-   merged into components. Later rounds go on only where a signature holds several components,
-   and only for sets with c - k such signatures, as a link across components needs that many;
-   each round compares the next first members with the rest, until every pair of different
-   components that shares a signature has been compared. Comparisons use the whole sets.
+3. Each set is compared with the first member of one of its signature groups, then linked sets
+   are merged into components. Later rounds go on only where a signature holds several
+   components, and only for sets with c - k such signatures, as a link across components needs
+   that many; each round compares a group's next members, by rank, with all after them, until
+   every pair of different components that shares a signature has been compared.
+4. A comparison first bounds the difference of two sets from below by parity sketches (bit i:
+   is the number of shingles in bucket i odd), which drops pairs that differ in more than k
+   shingles for sure, and then compares the whole sets.
 
 No pairs within a component are made beyond that, so a group of copies costs its size.
 
@@ -82,9 +85,9 @@ def shingle_sets(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def set_keys(values: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """A 64-bit key of each set."""
+    """A key of each set; its lowest bit is left 0 (signature rows keep a flag there)."""
     sums = np.concatenate([[np.uint64(0)], np.cumsum(mix(values + np.uint64(0x5851F42D4C957F2D)))]).astype(np.uint64)
-    return mix(sums[at[1:]] - sums[at[:-1]] + np.diff(at).astype(np.uint64)).view(np.int64)
+    return mix(sums[at[1:]] - sums[at[:-1]] + np.diff(at).astype(np.uint64)).view(np.int64) & np.int64(-2)
 
 
 def _lists(values: np.ndarray, at: np.ndarray) -> pa.Array:
@@ -119,16 +122,35 @@ def may_link(profile: DataFrame) -> DataFrame:
     return one.join(alone, "d", "left").filter((F.col("m") == 0) | ~odd).select("d", "doc_id")
 
 
+def parity_sketch(values: np.ndarray) -> bytes:
+    """One bit per bucket, 4 to 8 buckets a shingle, a power of two in all."""
+    m = 1 << max(6, (4 * len(values) - 1).bit_length())
+    buckets = np.bincount((mix(values) & np.uint64(m - 1)).astype(np.int64), minlength=m)
+    return np.packbits((buckets & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def sketch_distance(x: bytes, y: bytes) -> int:
+    """At most the number of shingles in one set but not in the other."""
+    a, b = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    while len(a) != len(b):  # halves fold together: buckets are hashes modulo the size
+        if len(a) > len(b):
+            a = a[: len(a) // 2] ^ a[len(a) // 2 :]
+        else:
+            b = b[: len(b) // 2] ^ b[len(b) // 2 :]
+    return int(np.bitwise_count(a ^ b).sum())
+
+
 def full_sets(docs: DataFrame) -> DataFrame:
-    """d and the whole set of each document."""
+    """d, n, the sketch and the whole set of each document."""
 
     def full(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
                 values, at = shingle_sets(*buffers(part.column("text")))
-                yield pa.RecordBatch.from_arrays([pa.array(set_keys(values, at)), _lists(values, at)], ["d", "shingles"])
+                sketches = [parity_sketch(values[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(set_keys(values, at)), pa.array(np.diff(at)), pa.array(sketches, pa.binary()), _lists(values, at)], ["d", "n", "sketch", "shingles"])
 
-    return docs.select("text").mapInArrow(full, "d bigint, shingles array<bigint>")
+    return docs.select("text").mapInArrow(full, "d bigint, n bigint, sketch binary, shingles array<bigint>")
 
 
 @lru_cache(maxsize=1)
@@ -170,40 +192,73 @@ def signatures(values: np.ndarray, band: int) -> tuple[np.ndarray, int]:
     return np.concatenate([own, mix(spread + np.uint64(1))]), 1
 
 
+def _signed(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, int]]:
+    """(e, signatures, need) of each set in each of its two pairs of bands; see signature_rows."""
+    low, _ = bands()
+    for batch in batches:
+        column = batch.column("shingles")
+        values = column.values.to_numpy(zero_copy_only=False).view(np.uint64)
+        at, keys = column.offsets.to_numpy(), batch.column("d").to_numpy()
+        for i in range(batch.num_rows):
+            own = values[at[i] : at[i + 1]]
+            band = int(np.searchsorted(low, len(own), side="right")) - 1
+            for upper in (0, 1) if band else (0,):
+                yield keys[i] | upper, *signatures(own, band - upper)
+
+
 def signature_rows(sets: DataFrame) -> DataFrame:
-    """sig, d, upper (the set is of the upper of the two bands), need (signatures shared at least)."""
-    names = ["sig", "d", "upper", "need"]
+    """sig and e: the set's key, its lowest bit telling which of the two bands it is in."""
 
     def signed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        low, _ = bands()
+        sig, key, size = [], [], []
+
+        def rows() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(sig).view(np.int64)), pa.array(np.repeat(np.array(key, np.int64), size))], ["sig", "e"])
+
+        for e, found, _ in _signed(batches):
+            sig.append(found)
+            key.append(e)
+            size.append(len(found))
+            if len(key) >= 1000:
+                yield rows()
+                sig, key, size = [], [], []
+        if key:
+            yield rows()
+
+    return sets.select("d", "shingles").mapInArrow(signed, "sig bigint, e bigint")
+
+
+def needs(sets: DataFrame) -> DataFrame:
+    """e and need: signatures that it shares with each partner, at least."""
+
+    def needed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            column = batch.column("shingles")
-            values = column.values.to_numpy(zero_copy_only=False).view(np.uint64)
-            at, keys = column.offsets.to_numpy(), batch.column("d").to_numpy()
-            sig, size, key, upper, need, held = [], [], [], [], [], 0
-            for i in range(batch.num_rows):
-                own = values[at[i] : at[i + 1]]
-                band = int(np.searchsorted(low, len(own), side="right")) - 1
-                for is_upper in (False, True) if band else (False,):
-                    s, at_least = signatures(own, band - is_upper)
-                    sig.append(s)
-                    size.append(len(s))
-                    key.append(keys[i])
-                    upper.append(is_upper)
-                    need.append(at_least)
-                    held += len(s)
-                if held > 200_000 or i == batch.num_rows - 1:
-                    columns = [np.concatenate(sig).view(np.int64), np.repeat(np.array(key), size), np.repeat(np.array(upper), size), np.repeat(np.array(need, np.int32), size)]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
-                    sig, size, key, upper, need, held = [], [], [], [], [], 0
-
-    return sets.mapInArrow(signed, "sig bigint, d bigint, upper boolean, need int")
-
-
-def with_enough(rows: DataFrame) -> DataFrame:
+            rows = [(e, need) for e, _, need in _signed([batch])]
+            yield pa.RecordBatch.from_arrays([pa.array([e for e, _ in rows], pa.int64()), pa.array([n for _, n in rows], pa.int64())], ["e", "need"])
+
+    return sets.select("d", "shingles").mapInArrow(needed, "e bigint, need bigint")
+
+
+def with_enough(rows: DataFrame, need: DataFrame) -> DataFrame:
     """Rows of the sets that have as many signatures left as a link needs."""
-    enough = rows.groupBy("d", "upper").agg(F.count("*").alias("n"), F.max("need").alias("least")).filter("n >= least")
-    return rows.join(enough.select("d", "upper"), ["d", "upper"], "left_semi")
+    enough = rows.groupBy("e").agg(F.count("*").alias("n")).join(need, "e").filter("n >= need")
+    return rows.join(enough.select("e"), "e", "left_semi")
+
+
+def may_be_linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) whose sketches allow a link."""
+    left = sets.select(F.col("d").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("x"))
+    right = sets.select(F.col("d").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("y"))
+
+    def close(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b, na, nb, x, y = (batch.column(c).to_pylist() for c in ("a", "b", "na", "nb", "x", "y"))
+            # Linked sets differ by (na + nb) (100 - t) / (100 + t) shingles at most.
+            keep = [i for i in range(len(a)) if (100 + THRESHOLD) * sketch_distance(x[i], y[i]) <= (100 - THRESHOLD) * (na[i] + nb[i])]
+            yield pa.RecordBatch.from_arrays([pa.array([c[i] for i in keep], pa.int64()) for c in (a, b)], ["a", "b"])
+
+    sized = (100 * F.col("na") >= THRESHOLD * F.col("nb")) & (100 * F.col("nb") >= THRESHOLD * F.col("na"))
+    return pairs.join(left, "a").join(right, "b").filter(sized).mapInArrow(close, "a bigint, b bigint").distinct()
 
 
 def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -212,7 +267,7 @@ def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     right = sets.select(F.col("d").alias("b"), F.col("shingles").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
     similar = 100 * both >= THRESHOLD * (F.size("x") + F.size("y") - both)
-    return pairs.join(left, "a").join(right, "b").filter(similar).select("a", "b").distinct()
+    return may_be_linked(pairs, sets).join(left, "a").join(right, "b").filter(similar).select("a", "b").distinct()
 
 
 def components(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -237,43 +292,43 @@ def release(spark: SparkSession, tables: list[str]) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def _paths(df: DataFrame) -> list[str]:
-    return list({f.rsplit("/", 1)[0] for f in df.inputFiles()})
-
-
 def similar_sets(sets: DataFrame) -> DataFrame:
     """d, c: the component of every set that has a link (sets without one may be left out)."""
     spark = sets.sparkSession
-    group = Window.partitionBy("sig")
-    rows = signature_rows(sets).select("*", F.min("d").over(group).alias("first"), F.max("d").over(group).alias("last"))
-    members = materialize(with_enough(rows.filter("first <> last")).select("sig", "d", "upper", "need", "first"))
+    need = materialize(needs(sets))
+    group = Window.partitionBy("sig").orderBy("e")
+    whole = group.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = signature_rows(sets).select("*", F.row_number().over(group).alias("r"), F.count("*").over(whole).alias("n"), F.first("e").over(whole).alias("first"))
+    members = materialize(with_enough(rows.filter("n > 1"), need).withColumn("d", _set_of("e")))
     release(spark, [])
 
     # Round 0: each set with the group's first one that it meets most often.
-    met = members.filter("d <> first").groupBy("d", "first").agg(F.count("*").alias("n"))
+    met = members.select("d", _set_of("first").alias("first")).filter("d <> first").groupBy("d", "first").agg(F.count("*").alias("n"))
     best = met.groupBy("d").agg(F.max_by("first", F.struct("n", "first")).alias("first"))
-    links = materialize(linked(best.select(F.col("first").alias("a"), F.col("d").alias("b")), sets))
-    labels = components(members.select("d", F.col("d").alias("c")).distinct(), links)
+    found = materialize(linked(best.select(F.col("first").alias("a"), F.col("d").alias("b")), sets))
+    labels = components(members.select("d", F.col("d").alias("c")).distinct(), found)
 
-    start, width, tested = 0, 4, links.limit(0)
+    start, end = 0, 32
     while True:
-        active = members.select("sig", "d", "upper", "need").join(labels, "d")
-        for _ in range(2):
-            several = active.groupBy("sig").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low <> high")
-            active = with_enough(active.join(several.select("sig"), "sig", "left_semi"))
-        ranked = materialize(active.select("sig", "d", "c", F.row_number().over(group.orderBy("d")).alias("r")))
-        firsts = ranked.filter((F.col("r") > start) & (F.col("r") <= start + width)).select("sig", F.col("d").alias("a"), F.col("c").alias("ca"))
-        if firsts.isEmpty():
-            return labels
-        rest = ranked.filter(F.col("r") > start).select("sig", F.col("d").alias("b"), F.col("c").alias("cb"))
-        pairs = firsts.join(rest, "sig").filter("ca <> cb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        pairs = materialize(pairs.join(tested, ["a", "b"], "left_anti"))
+        open_rows = members.select("sig", "e", "d", "r", "n").filter(F.col("n") > start + 1).join(labels, "d")
+        several = open_rows.groupBy("sig").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low <> high")
+        active = open_rows.join(several.select("sig"), "sig", "left_semi")
+        if start == 0:  # later rounds see the largest groups only, so they can't count a set's signatures
+            active = with_enough(active, need)
+        firsts = active.filter((F.col("r") > start) & (F.col("r") <= end)).select("sig", F.col("d").alias("a"), F.col("c").alias("ca"), F.col("r").alias("ra"))
+        rest = active.select("sig", F.col("d").alias("b"), F.col("c").alias("cb"), F.col("r").alias("rb"))
+        pairs = firsts.join(rest, "sig").filter("rb > ra AND ca <> cb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         found = materialize(linked(pairs, sets))
-        tested = tested.union(pairs)
-        if found.isEmpty():
-            start, width = start + width, 4 * width
-        else:  # components and groups change, and so do the ranks
-            start, labels = 0, components(labels, found)
+        release(spark, [])
+        if not found.isEmpty():
+            labels = components(labels, found)
+        if members.filter(F.col("n") > end + 1).isEmpty():
+            return labels
+        start, end = end, 4 * end
+
+
+def _set_of(e: str):
+    return F.col(e).bitwiseAND(F.lit(-2))
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
