@@ -42,21 +42,24 @@ FEATURES = [*_CLASS, "length", "word_length", "distinct_words", "symbol_words",
 def features(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     """One row of FEATURES per text, all within small ranges."""
     n = len(at) - 1
-    size = np.maximum(np.diff(at), 1)
+    size = np.diff(at)
+    filled = size > 0
     out = []
     for chosen in _CLASS.values():
-        sums = np.concatenate([[0], np.cumsum(chosen[data])])
-        out.append((sums[at[1:]] - sums[at[:-1]]) / size)
+        counts = np.zeros(n, np.int64)
+        if filled.any():
+            counts[filled] = np.add.reduceat(chosen[data], at[:-1][filled], dtype=np.int64)
+        out.append(counts / np.maximum(size, 1))
     found = quality_rules.measure(data, at)
     n_words, chars = np.maximum(found["n_words"], 1), np.maximum(found["word_chars"], 1)
     starts, ends, row = words(data, at)
-    h = range_hashes(data, starts, ends, fold=True)
-    order = np.lexsort((h, row))
-    new = np.ones(len(h), bool)
-    new[1:] = (h[order][1:] != h[order][:-1]) | (row[order][1:] != row[order][:-1])
+    # The row above 44 bits of the word's hash: one sort gives each row's distinct words.
+    keys = np.sort((row.astype(np.uint64) << np.uint64(44)) | (range_hashes(data, starts, ends, fold=True) >> np.uint64(20)))
+    new = np.ones(len(keys), bool)
+    new[1:] = keys[1:] != keys[:-1]
+    distinct = np.bincount((keys[new] >> np.uint64(44)).astype(np.int64), minlength=n)
     last = data[ends - 1] if len(ends) else data[:0]
-    share = lambda mask: np.bincount(row, mask, n) / n_words
-    distinct = np.bincount(row[order], new, n)
+    share = lambda mask: np.bincount(row[mask], minlength=n) / n_words
     out += [
         np.log1p(found["n_words"]) / 10,
         found["word_chars"] / n_words / 10,
