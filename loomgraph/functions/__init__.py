@@ -1 +1 @@
-
+"""Column expressions shared by all operators."""

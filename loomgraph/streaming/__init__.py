@@ -1 +1 @@
-
+"""Incremental graph building with Structured Streaming."""
