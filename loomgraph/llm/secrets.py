@@ -23,7 +23,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.llm.common import picked, slices, text_or_empty
@@ -37,6 +37,8 @@ _HEX = re.compile("[0-9a-f]{24,}")
 _CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])(?=[0-9+/_=-]*[A-Za-z])[A-Za-z0-9+/_-]{20,512}={0,2}(?![A-Za-z0-9+/_=-])")
 #: Documents that `train` reads at most.
 TRAIN_DOCS = 2000
+#: Distinct strings of either kind that it learns from.
+TRAIN_STRINGS = 100_000
 #: Log-likelihood ratio (nats): a character, and in all.
 PER_CHAR, IN_ALL = 0.5, 12.0
 
@@ -129,14 +131,22 @@ def shown(spans: Iterable[Span]) -> str:
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = TRAIN_DOCS) -> np.ndarray:
-    """The transition ratios, from at most `most` documents (those whose ids hash lowest)."""
-    ids = picked(docs, doc_id=id_col).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    sample = picked(docs, doc_id=id_col, text=text_col).join(F.broadcast(ids.distinct()), "doc_id")
-    rows = sample.select(F.substring(text_or_empty(F.col("text")), 1, 4000).alias("text")).limit(most).collect()
-    texts = sorted(r.text for r in rows)
-    found = [t[a:b].split("=")[-1].strip(" \"'") for t in texts for a, b, kind in base_spans(t) if kind == "assign"]
-    ordinary = sorted({w for t in texts for w in re.findall("[A-Za-z0-9_-]+", t) if not any(c.isdigit() for c in w)})[:200_000]
-    return ratio_table(random_samples() + found, ordinary + identifier_samples(ordinary))
+    """The transition ratios, from at most `most` documents (those whose ids hash lowest).
+
+    From these the labelled samples are distinct values and words: at most `TRAIN_STRINGS` of each
+    kind (again those that hash lowest), so what comes to the driver is bounded.
+    """
+    ids = picked(docs, doc_id=id_col).distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    sample = picked(docs, doc_id=id_col, text=text_col).join(F.broadcast(ids), "doc_id").select(text_or_empty(F.col("text")).alias("text"))
+
+    def strings(pattern: str, group: int, wanted: Column) -> list[str]:
+        found = sample.select(F.explode(F.regexp_extract_all("text", F.lit(pattern), F.lit(group))).alias("s")).filter(wanted).distinct()
+        return sorted(r.s for r in found.orderBy(F.xxhash64("s"), "s").limit(TRAIN_STRINGS).collect())
+
+    length = F.length("s")
+    values = strings("(?i)" + _ASSIGN.pattern, 2, length.between(6, 512))
+    ordinary = strings("[A-Za-z0-9_-]+", 0, ~F.col("s").rlike("[0-9]") & (length <= 64))
+    return ratio_table(random_samples() + values, ordinary + identifier_samples(ordinary))
 
 
 SCHEMA = "doc_id bigint, spans array<struct<start:bigint,end:bigint,kind:string>>"
