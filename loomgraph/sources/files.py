@@ -88,7 +88,7 @@ def load_samples(spark: SparkSession, path: str) -> DataFrame:
     rows = spark.read.schema(f"samples array<struct<{SAMPLE_SCHEMA}>>, {SAMPLE_SCHEMA}").json(path, multiLine=True)
     inner = rows.select(F.explode("samples").alias("s")).select("s.*")
     rows = rows.filter("samples IS NULL").drop("samples").unionByName(inner)
-    clean = lambda c: F.filter(F.transform(F.coalesce(c, F.array().cast("array<string>")), F.trim), lambda x: x != "")
+    clean = lambda c: F.filter(F.transform(F.coalesce(c, F.array().cast("array<string>")), lambda x: F.trim(x)), lambda x: x != "")
     texts, lists = ["question", "reference_answer", "domain", "difficulty", "retrieval_type"], ["expected_context_terms", "retrieved_contexts", "retrieved_sources", "tags"]
     rows = rows.withColumns({c: F.trim(F.coalesce(F.col(c), F.lit(""))) for c in texts} | {c: clean(F.col(c)) for c in lists})
     bad = (F.col("question") == "") | (F.col("reference_answer") == "")
