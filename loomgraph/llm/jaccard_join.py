@@ -20,11 +20,13 @@ Exact copies share one set and are joined as one. For the other links:
 3. Each set is compared with the first member of one of its signature groups, then linked sets
    are merged into components. Later rounds go on only where a signature holds several
    components, and only for sets with c - k such signatures, as a link across components needs
-   that many; each round compares a group's next members, by rank, with all after them, until
-   every pair of different components that shares a signature has been compared.
-4. A comparison first bounds the difference of two sets from below by parity sketches (bit i:
-   is the number of shingles in bucket i odd), which drops pairs that differ in more than k
-   shingles for sure, and then compares the whole sets.
+   that many. Pairs of components that meet are first bounded as a whole: parity sketches (bit
+   i: is the number of shingles in bucket i odd) tell how many buckets all members of one have
+   odd and all members of the other have even, and each such bucket is a shingle by which any
+   two of them differ. Members of pairs of components that stay are compared in three rounds: a
+   few members per signature and component, more of them, and all that are left.
+4. A comparison bounds the difference of two sets in the same way by finer sketches, which drops
+   pairs that differ in more than k shingles for sure, and then compares the whole sets.
 
 No pairs within a component are made beyond that, so a group of copies costs its size.
 
@@ -55,6 +57,10 @@ THRESHOLD = 75
 COUNTED = 8
 #: Natural logarithm of the chance, per linked set, of going aside in step 1.
 ASIDE = 36.0
+#: Longs of the sketches that bound components.
+FOLDED = 32
+#: Members per signature and component that each round compares; the last compares all.
+ROUNDS = (2, 16, None)
 
 
 def _runs(row: np.ndarray, n_rows: int) -> tuple[np.ndarray, np.ndarray]:
@@ -129,6 +135,12 @@ def parity_sketch(values: np.ndarray) -> bytes:
     return np.packbits((buckets & 1).astype(np.uint8), bitorder="little").tobytes()
 
 
+def folded_sketch(values: np.ndarray) -> np.ndarray:
+    """A sketch of FOLDED longs for every set, so that any two can be compared."""
+    odd = np.bincount((mix(values) & np.uint64(64 * FOLDED - 1)).astype(np.int64), minlength=64 * FOLDED) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
 def sketch_distance(x: bytes, y: bytes) -> int:
     """At most the number of shingles in one set but not in the other."""
     a, b = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
@@ -147,10 +159,12 @@ def full_sets(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for part in slices(batch):
                 values, at = shingle_sets(*buffers(part.column("text")))
-                sketches = [parity_sketch(values[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(set_keys(values, at)), pa.array(np.diff(at)), pa.array(sketches, pa.binary()), _lists(values, at)], ["d", "n", "sketch", "shingles"])
+                own = [values[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+                folded = np.concatenate([folded_sketch(v) for v in own])
+                columns = [pa.array(set_keys(values, at)), pa.array(np.diff(at)), pa.array([parity_sketch(v) for v in own], pa.binary()), _lists(folded, FOLDED * np.arange(len(own) + 1)), _lists(values, at)]
+                yield pa.RecordBatch.from_arrays(columns, ["d", "n", "sketch", "folded", "shingles"])
 
-    return docs.select("text").mapInArrow(full, "d bigint, n bigint, sketch binary, shingles array<bigint>")
+    return docs.select("text").mapInArrow(full, "d bigint, n bigint, sketch binary, folded array<bigint>, shingles array<bigint>")
 
 
 @lru_cache(maxsize=1)
@@ -298,8 +312,8 @@ def similar_sets(sets: DataFrame) -> DataFrame:
     need = materialize(needs(sets))
     group = Window.partitionBy("sig").orderBy("e")
     whole = group.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    rows = signature_rows(sets).select("*", F.row_number().over(group).alias("r"), F.count("*").over(whole).alias("n"), F.first("e").over(whole).alias("first"))
-    members = materialize(with_enough(rows.filter("n > 1"), need).withColumn("d", _set_of("e")))
+    rows = signature_rows(sets).select("*", F.count("*").over(whole).alias("n"), F.first("e").over(whole).alias("first"))
+    members = materialize(with_enough(rows.filter("n > 1").select("sig", "e", "first"), need).withColumn("d", _set_of("e")))
     release(spark, [])
 
     # Round 0: each set with the group's first one that it meets most often.
@@ -308,23 +322,41 @@ def similar_sets(sets: DataFrame) -> DataFrame:
     found = materialize(linked(best.select(F.col("first").alias("a"), F.col("d").alias("b")), sets))
     labels = components(members.select("d", F.col("d").alias("c")).distinct(), found)
 
-    start, end = 0, 32
-    while True:
-        open_rows = members.select("sig", "e", "d", "r", "n").filter(F.col("n") > start + 1).join(labels, "d")
-        several = open_rows.groupBy("sig").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low <> high")
-        active = open_rows.join(several.select("sig"), "sig", "left_semi")
-        if start == 0:  # later rounds see the largest groups only, so they can't count a set's signatures
-            active = with_enough(active, need)
-        firsts = active.filter((F.col("r") > start) & (F.col("r") <= end)).select("sig", F.col("d").alias("a"), F.col("c").alias("ca"), F.col("r").alias("ra"))
-        rest = active.select("sig", F.col("d").alias("b"), F.col("c").alias("cb"), F.col("r").alias("rb"))
-        pairs = firsts.join(rest, "sig").filter("rb > ra AND ca <> cb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    for width in ROUNDS:
+        own = members.select("sig", "e", "d").join(labels, "d")
+        several = own.groupBy("sig").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low <> high")
+        active = with_enough(own.join(several.select("sig"), "sig", "left_semi"), need)
+        rank = F.row_number().over(Window.partitionBy("sig", "c").orderBy("e"))
+        active = materialize(active.withColumn("r", rank).select("sig", "d", "c", "r"))
+        met = active.filter("r = 1").select("sig", "c")
+        met = met.join(met.withColumnRenamed("c", "c2"), "sig").filter("c < c2").select(F.col("c").alias("c1"), "c2").distinct()
+        close = materialize(components_may_be_linked(met, labels, sets))
+        rows = active if width is None else active.filter(F.col("r") <= width)
+        left = rows.select("sig", F.col("d").alias("a"), F.col("c").alias("c1")).join(close, "c1")
+        right = rows.select("sig", F.col("d").alias("b"), F.col("c").alias("c2"))
+        pairs = left.join(right, ["sig", "c2"]).select("a", "b").distinct()
         found = materialize(linked(pairs, sets))
-        release(spark, [])
         if not found.isEmpty():
             labels = components(labels, found)
-        if members.filter(F.col("n") > end + 1).isEmpty():
-            return labels
-        start, end = end, 4 * end
+        release(spark, [])
+    return labels
+
+
+def components_may_be_linked(pairs: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (c1, c2) of components of which some members may be linked, by sizes and sketches."""
+    every = labels.join(sets.select("d", "n", "folded"), "d").groupBy("c").agg(
+        F.min("n").alias("low"), F.max("n").alias("high"),
+        F.array(*[F.bit_and(F.col("folded")[i]) for i in range(FOLDED)]).alias("all"),
+        F.array(*[F.bit_or(F.col("folded")[i]) for i in range(FOLDED)]).alias("any"),
+    )
+    side = lambda i: every.select(F.col("c").alias(f"c{i}"), *[F.col(x).alias(f"{x}{i}") for x in ("low", "high", "all", "any")])
+    rows = pairs.join(side(1), "c1").join(side(2), "c2")
+    # Odd in all of one and even in all of the other.
+    apart = lambda x, y: F.zip_with(x, y, lambda a, b: F.bit_count(a.bitwiseAND(F.bitwise_not(b))))
+    differ = F.aggregate(F.concat(apart("all1", "any2"), apart("all2", "any1")), F.lit(0), lambda t, x: t + x)
+    fits = (100 * F.col("high1") >= THRESHOLD * F.col("low2")) & (100 * F.col("high2") >= THRESHOLD * F.col("low1"))
+    near = (100 + THRESHOLD) * differ <= (100 - THRESHOLD) * (F.col("high1") + F.col("high2"))
+    return rows.filter(fits & near).select("c1", "c2")
 
 
 def _set_of(e: str):
