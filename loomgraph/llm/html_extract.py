@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import picked, slices
+from loomgraph.llm.common import materialize, picked, slices
 
 #: Paths that a host keeps, and containers that a page votes for.
 HOST_PATHS, PAGE_VOTES = 3, 3
@@ -243,7 +243,9 @@ def host_paths(pages: DataFrame, most: int = HOST_PATHS) -> DataFrame:
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, url, text, n_chars of every page."""
     rows = picked(pages, page_id=id_col, url=url_col, html=html_col).withColumn("host", host_of(F.col("url")))
-    with_paths = rows.join(host_paths(rows), "host", "left").select("page_id", "url", "html", "paths")
+    # Written first, so that the join is planned by the table's real size: the pages move only if it is large.
+    winners = materialize(host_paths(rows))
+    with_paths = rows.join(winners, "host", "left").select("page_id", "url", "html", "paths")
 
     def extracted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
