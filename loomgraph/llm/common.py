@@ -42,6 +42,11 @@ def drop_tables(spark: SparkSession, paths: list[str]) -> None:
         p.getFileSystem(conf).delete(p, True)
 
 
+def scratch_paths(df: DataFrame) -> list[str]:
+    """The folders that a materialized frame reads."""
+    return sorted({f.rsplit("/", 1)[0] for f in df.inputFiles()})
+
+
 def picked(docs: DataFrame, **columns: str) -> DataFrame:
     """Only the named columns, under the operator's own names: extra ones can't clash."""
     return docs.select(*[docs[old].alias(new) for new, old in columns.items()])

@@ -17,14 +17,16 @@ Exact copies share one set and are joined as one. For the other links:
    there). Sets that fill c partitions share at least c - k signatures with each partner. The
    number of partitions is chosen so that c > k; a set for which it fails gives its shingles as
    signatures too, which any partner with the same failing shares.
-3. Each set is compared with the first member of one of its signature groups, then linked sets
-   are merged into components. Later rounds go on only where a signature holds several
+3. Star rounds: every signature group has a leader, drawn by hash anew in each round; each
+   component is compared with the leaders of other components that it meets most often, and
+   linked ones are merged. This costs a group its size and leaves few components of a group of
+   copies. Later rounds go on only where a signature still holds several
    components, and only for sets with c - k such signatures, as a link across components needs
    that many. Pairs of components that meet are first bounded as a whole: parity sketches (bit
    i: is the number of shingles in bucket i odd) tell how many buckets all members of one have
    odd and all members of the other have even, and each such bucket is a shingle by which any
    two of them differ. Members of pairs of components that stay are compared in three rounds: a
-   few members per signature and component, more of them, and all that are left.
+   few members at a few common signatures, more of them, and all that are left.
 4. A comparison bounds the difference of two sets in the same way by finer sketches, which drops
    pairs that differ in more than k shingles for sure, and then compares the whole sets.
 
@@ -48,7 +50,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import buffers, drop_tables, materialize, mix, picked, range_hashes, slices, window_hashes, words
+from loomgraph.llm.common import buffers, drop_tables, materialize, mix, picked, range_hashes, scratch_paths, slices, window_hashes, words
 
 WORDS = 5
 #: Similarity in per cent.
@@ -59,8 +61,11 @@ COUNTED = 8
 ASIDE = 36.0
 #: Longs of the sketches that bound components.
 FOLDED = 32
-#: Members per signature and component that each round compares; the last compares all.
-ROUNDS = (2, 16, None)
+#: Members per signature and component, and common signatures of two components, that each round
+#: compares; the last compares all.
+ROUNDS = ((2, 4), (16, 16), (None, None))
+#: Star rounds before them, and leaders that a component is compared with in each.
+STARS, LEADERS = 5, 3
 
 
 def _runs(row: np.ndarray, n_rows: int) -> tuple[np.ndarray, np.ndarray]:
@@ -281,7 +286,9 @@ def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     right = sets.select(F.col("d").alias("b"), F.col("shingles").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
     similar = 100 * both >= THRESHOLD * (F.size("x") + F.size("y") - both)
-    return may_be_linked(pairs, sets).join(left, "a").join(right, "b").filter(similar).select("a", "b").distinct()
+    # Written first, so that the joins are planned by the size of what the sketches left.
+    close = materialize(may_be_linked(pairs, sets))
+    return close.join(left, "a").join(right, "b").filter(similar).select("a", "b").distinct()
 
 
 def components(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -310,31 +317,46 @@ def similar_sets(sets: DataFrame) -> DataFrame:
     """d, c: the component of every set that has a link (sets without one may be left out)."""
     spark = sets.sparkSession
     need = materialize(needs(sets))
-    group = Window.partitionBy("sig").orderBy("e")
-    whole = group.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    rows = signature_rows(sets).select("*", F.count("*").over(whole).alias("n"), F.first("e").over(whole).alias("first"))
-    members = materialize(with_enough(rows.filter("n > 1").select("sig", "e", "first"), need).withColumn("d", _set_of("e")))
+    rows = signature_rows(sets).select("*", F.count("*").over(Window.partitionBy("sig")).alias("n")).filter("n > 1").drop("n")
+    members = materialize(with_enough(rows, need).withColumn("d", _set_of("e")))
     release(spark, [])
 
-    # Round 0: each set with the group's first one that it meets most often.
-    met = members.select("d", _set_of("first").alias("first")).filter("d <> first").groupBy("d", "first").agg(F.count("*").alias("n"))
-    best = met.groupBy("d").agg(F.max_by("first", F.struct("n", "first")).alias("first"))
-    found = materialize(linked(best.select(F.col("first").alias("a"), F.col("d").alias("b")), sets))
-    labels = components(members.select("d", F.col("d").alias("c")).distinct(), found)
-
-    for width in ROUNDS:
-        own = members.select("sig", "e", "d").join(labels, "d")
+    def active_rows() -> DataFrame:
+        """Rows of signatures with several components, of the sets that a link across is possible for."""
+        own = members.join(labels, "d")
         several = own.groupBy("sig").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low <> high")
-        active = with_enough(own.join(several.select("sig"), "sig", "left_semi"), need)
+        return with_enough(own.join(several.select("sig"), "sig", "left_semi"), need)
+
+    labels = members.select("d", F.col("d").alias("c")).distinct()
+    for i in range(STARS):
+        rows = (members.join(labels, "d") if i == 0 else active_rows()).select("sig", "d", "c")
+        leader = F.min(F.struct(F.xxhash64("c", F.lit(i)).alias("h"), "c", "d")).over(Window.partitionBy("sig"))
+        met = rows.withColumn("l", leader).filter("c <> l.c").groupBy("c", F.col("l.c").alias("lc")).agg(F.count("*").alias("n"), F.min(F.struct("d", F.col("l.d").alias("ld"))).alias("pair"))
+        best = met.withColumn("k", F.row_number().over(Window.partitionBy("c").orderBy(F.desc("n"), "lc"))).filter(F.col("k") <= LEADERS)
+        pairs = best.select(F.least("pair.d", "pair.ld").alias("a"), F.greatest("pair.d", "pair.ld").alias("b")).distinct()
+        found = materialize(linked(pairs, sets))
+        if not found.isEmpty():
+            labels = components(labels, found)
+        release(spark, [])
+
+    tested = found.limit(0)
+    for i, (width, common) in enumerate(ROUNDS):
+        active = active_rows()
         rank = F.row_number().over(Window.partitionBy("sig", "c").orderBy("e"))
         active = materialize(active.withColumn("r", rank).select("sig", "d", "c", "r"))
-        met = active.filter("r = 1").select("sig", "c")
-        met = met.join(met.withColumnRenamed("c", "c2"), "sig").filter("c < c2").select(F.col("c").alias("c1"), "c2").distinct()
-        close = materialize(components_may_be_linked(met, labels, sets))
+        met = active.filter("r = 1").select("sig", F.col("c").alias("c1"))
+        met = met.join(met.withColumnRenamed("c1", "c2"), "sig").filter("c1 < c2")
+        # Two single sets have been compared in the first round.
+        close = materialize(components_may_be_linked(met.select("c1", "c2").distinct(), labels, sets, least=1 if i == 0 else 3))
+        met = met.join(close, ["c1", "c2"])
+        if common is not None:
+            met = met.withColumn("k", F.row_number().over(Window.partitionBy("c1", "c2").orderBy("sig"))).filter(F.col("k") <= common).drop("k")
         rows = active if width is None else active.filter(F.col("r") <= width)
-        left = rows.select("sig", F.col("d").alias("a"), F.col("c").alias("c1")).join(close, "c1")
+        left = rows.select("sig", F.col("d").alias("a"), F.col("c").alias("c1"))
         right = rows.select("sig", F.col("d").alias("b"), F.col("c").alias("c2"))
-        pairs = left.join(right, ["sig", "c2"]).select("a", "b").distinct()
+        pairs = met.join(left, ["sig", "c1"]).join(right, ["sig", "c2"]).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        pairs = materialize(pairs.join(tested, ["a", "b"], "left_anti"))
+        tested = tested.union(pairs)
         found = materialize(linked(pairs, sets))
         if not found.isEmpty():
             labels = components(labels, found)
@@ -342,15 +364,18 @@ def similar_sets(sets: DataFrame) -> DataFrame:
     return labels
 
 
-def components_may_be_linked(pairs: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs (c1, c2) of components of which some members may be linked, by sizes and sketches."""
+def components_may_be_linked(pairs: DataFrame, labels: DataFrame, sets: DataFrame, least: int = 1) -> DataFrame:
+    """Pairs (c1, c2) of components of which some members may be linked, by sizes and sketches.
+
+    least: members that the two have together, at least.
+    """
     every = labels.join(sets.select("d", "n", "folded"), "d").groupBy("c").agg(
-        F.min("n").alias("low"), F.max("n").alias("high"),
+        F.min("n").alias("low"), F.max("n").alias("high"), F.count("*").alias("m"),
         F.array(*[F.bit_and(F.col("folded")[i]) for i in range(FOLDED)]).alias("all"),
         F.array(*[F.bit_or(F.col("folded")[i]) for i in range(FOLDED)]).alias("any"),
     )
-    side = lambda i: every.select(F.col("c").alias(f"c{i}"), *[F.col(x).alias(f"{x}{i}") for x in ("low", "high", "all", "any")])
-    rows = pairs.join(side(1), "c1").join(side(2), "c2")
+    side = lambda i: every.select(F.col("c").alias(f"c{i}"), *[F.col(x).alias(f"{x}{i}") for x in ("low", "high", "m", "all", "any")])
+    rows = pairs.join(side(1), "c1").join(side(2), "c2").filter(F.col("m1") + F.col("m2") >= least)
     # Odd in all of one and even in all of the other.
     apart = lambda x, y: F.zip_with(x, y, lambda a, b: F.bit_count(a.bitwiseAND(F.bitwise_not(b))))
     differ = F.aggregate(F.concat(apart("all1", "any2"), apart("all2", "any1")), F.lit(0), lambda t, x: t + x)
@@ -372,6 +397,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     sets = materialize(full_sets(own.join(chosen.hint("shuffle_hash"), own["doc_id"].eqNullSafe(F.col("chosen_id")), "left_semi")))
     release(spark, [])
     labels = similar_sets(sets)
+    release(spark, scratch_paths(sets))
     rows = profile.select("doc_id", "n_shingles", "d").join(labels, "d", "left").withColumn("c", F.coalesce("c", "d"))
     least = rows.groupBy("c").agg(F.min("doc_id").alias("least"))
     component = F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("doc_id"))
