@@ -282,13 +282,15 @@ def may_be_linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Of the pairs (a, b), those whose whole sets are similar enough."""
-    left = sets.select(F.col("d").alias("a"), F.col("shingles").alias("x"))
-    right = sets.select(F.col("d").alias("b"), F.col("shingles").alias("y"))
+    # Written first, so that the joins are planned by the size of what the sketches left: if that
+    # is small, only the sets of these pairs move.
+    close = materialize(may_be_linked(pairs, sets))
+    ids = close.select(F.col("a").alias("d")).union(close.select("b"))
+    wanted = sets.select("d", "shingles").join(ids, "d", "left_semi")
     both = F.size(F.array_intersect("x", "y"))
     similar = 100 * both >= THRESHOLD * (F.size("x") + F.size("y") - both)
-    # Written first, so that the joins are planned by the size of what the sketches left.
-    close = materialize(may_be_linked(pairs, sets))
-    return close.join(left, "a").join(right, "b").filter(similar).select("a", "b").distinct()
+    rows = close.join(wanted.select(F.col("d").alias("a"), F.col("shingles").alias("x")), "a").join(wanted.select(F.col("d").alias("b"), F.col("shingles").alias("y")), "b")
+    return rows.filter(similar).select("a", "b").distinct()
 
 
 def components(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -335,8 +337,9 @@ def similar_sets(sets: DataFrame) -> DataFrame:
         best = met.withColumn("k", F.row_number().over(Window.partitionBy("c").orderBy(F.desc("n"), "lc"))).filter(F.col("k") <= LEADERS)
         pairs = best.select(F.least("pair.d", "pair.ld").alias("a"), F.greatest("pair.d", "pair.ld").alias("b")).distinct()
         found = materialize(linked(pairs, sets))
-        if not found.isEmpty():
-            labels = components(labels, found)
+        if found.isEmpty():
+            break
+        labels = components(labels, found)
         release(spark, [])
 
     tested = found.limit(0)
