@@ -1,9 +1,9 @@
 """Operator 7, secret scans: character Markov models compared by log-likelihood ratio.
 
 Base rules find assignments, access keys and long hexadecimal runs. The method adds spans of
-other strings: every run of key characters that has letters and digits and touches no base
-span is scored by two order-1 Markov models over characters, one of random strings and one
-of ordinary identifiers, and is a secret when the log-likelihood ratio a character and in
+other strings: every run of at least `LEAST` key characters, or what base spans and drawn
+lines leave of it, is scored by two order-1 Markov models over characters, one of random
+strings and one of ordinary identifiers, and is a secret when the log-likelihood ratio a character and in
 all is over its threshold. `train` fits both models on labelled samples: random strings
 (drawn here by rule, together with what the base rules found in a bounded sample of
 documents) and ordinary words and identifiers (from the same documents and by rule).
@@ -33,8 +33,12 @@ _KEYWORD = re.compile("passw|secret|token|api_?key", re.I | re.A)
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 _ACCESS = re.compile("AKIA[A-Z0-9]+")
 _HEX = re.compile("[0-9a-f]{24,}")
-#: Runs that the models score: 20 to 512 key characters (longer ones are data, not keys).
-_CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])(?=[0-9+/_=-]*[A-Za-z])[A-Za-z0-9+/_-]{20,512}={0,2}(?![A-Za-z0-9+/_=-])")
+#: Characters that a candidate has at least: shorter ones look random without being keys (colours, sizes).
+LEAST = 12
+#: Runs of key characters; '=' is a border before one and padding after it.
+_RUN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{%d,}+(?:={1,2}(?![A-Za-z0-9+/_=-]))?" % LEAST)
+#: Drawn lines, which are borders too.
+_LINE = re.compile(r"([+/_=-])\1{3,}")
 #: Documents that `train` reads at most.
 TRAIN_DOCS = 2000
 #: Distinct strings of either kind that it learns from.
@@ -132,15 +136,25 @@ def in_order(spans: list[Span]) -> list[Span]:
     return sorted(spans, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
+def _parts(text: str, base: list[Span]) -> Iterator[tuple[int, int]]:
+    """The candidates: parts of runs between base spans and drawn lines."""
+    for m in _RUN.finditer(text):
+        at = m.start()
+        cuts = [(a, b) for a, b, _ in base if a < m.end() and m.start() < b]
+        cuts += [x.span() for x in _LINE.finditer(text, m.start(), m.end())]
+        for a, b in [*sorted(cuts), (m.end(), m.end())]:
+            if a - at >= LEAST:
+                yield at, a
+            at = max(at, b)
+
+
 def added_spans(text: str, base: list[Span], table: np.ndarray) -> list[Span]:
     """What the models find beside the base spans."""
     out = []
-    for m in _CANDIDATE.finditer(text):
-        if any(a < m.end() and m.start() < b for a, b, _ in base):
-            continue
-        ratio = score(m[0], table)
-        if ratio >= IN_ALL and ratio >= PER_CHAR * len(m[0]):
-            out.append((m.start(), m.end(), "markov"))
+    for start, end in _parts(text, base):
+        ratio = score(text[start:end], table)
+        if ratio >= IN_ALL and ratio >= PER_CHAR * (end - start):
+            out.append((start, end, "markov"))
     return out
 
 
