@@ -403,9 +403,9 @@ def guard_decisions(spark, sf_dir):
 
 
 def agent_plan(spark, sf_dir):
-    """Sub-questions of every conversation's first turn."""
-    first = table(spark, sf_dir, "conversations").filter("turn = 0").select(F.col("conv_id").cast("string").alias("query_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return agent.plan(first).groupBy("part").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("n_chars"))
+    """Sub-questions of every conversation turn."""
+    turns = table(spark, sf_dir, "conversations").select(F.concat_ws("/", "conv_id", "turn").alias("query_id"), F.coalesce("text", F.lit("")).alias("text"))
+    return agent.plan(turns).groupBy("part").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("n_chars"))
 
 
 def agent_answers(spark, sf_dir):

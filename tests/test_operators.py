@@ -274,3 +274,12 @@ def test_streaming_upsert(spark, tmp_path):
         query.awaitTermination(60)
     nodes = spark.read.parquet(latest(spark, f"{out}/nodes", 99))
     assert {r.name for r in nodes.collect()} >= {"CVaR", "VaR", "m.py::chunk:0", "m.py::chunk:1"}
+
+
+def test_agent_plan_takes_every_turn(spark, tmp_path):
+    from loomgraph.plans import registry
+
+    turns = [(1, 0, "user", "river"), (1, 1, "user", "how is stone"), (2, 0, "user", None), (2, 3, "user", "cloud")]
+    spark.createDataFrame(turns, "conv_id bigint, turn int, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = {r.part: r.n for r in registry.agent_plan(spark, str(tmp_path)).collect()}
+    assert got == {0: 3, 1: 3, 2: 1}
