@@ -32,6 +32,8 @@ from loomgraph.llm.common import buffers, picked, slices
 #: The character that stands for a space.
 MARK = "▁"
 LONG = 1024
+#: Symbols that are merged together, and up to LONG more: under 2^22, as positions have 22 bits.
+GROUP = 1 << 20
 #: Pre-tokens that a worker remembers.
 CACHE = 1_000_000
 #: The count over which a document is marked as over the limit.
@@ -89,7 +91,9 @@ class Pieces:
             out[i] = self._count_long(self.symbols(tokens[i]).tolist())
         short = np.flatnonzero(lengths <= LONG)
         if len(short):
-            out[short] = self._count_rounds(self.symbols("".join(tokens[i] for i in short)), lengths[short])
+            block = (np.cumsum(lengths[short]) - 1) // GROUP
+            for part in np.split(short, np.flatnonzero(np.diff(block)) + 1):
+                out[part] = self._count_rounds(self.symbols("".join(tokens[i] for i in part)), lengths[part])
         return out
 
     def _count_rounds(self, sym: np.ndarray, lengths: np.ndarray) -> np.ndarray:

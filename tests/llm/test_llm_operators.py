@@ -107,6 +107,17 @@ def test_byte_bpe(docs):
     assert byte_bpe.round_trip(empty(docs), path, split_pattern()).count() == 0
 
 
+def test_token_counts_of_one_text_of_many_long_pre_tokens():
+    import sentencepiece
+
+    path = tokenizer_path("piece_bpe_32k.model")
+    sp = sentencepiece.SentencePieceProcessor(model_file=path)
+    lines = [hashlib.sha512(b"%d" % i).hexdigest()[:110] for i in range(48_000)]
+    text = "\n".join(lines)
+    assert len(text) > 5_000_000 and " " not in text
+    assert token_counts.count_texts([text], path) == [len(sp.encode(text))]
+
+
 def test_borders_are_safe():
     enc = byte_bpe.encoding(tokenizer_path("byte_bpe_50k.tiktoken"), split_pattern())
     rng = random.Random(5)
