@@ -8,9 +8,9 @@ rate above 1. A document is sampled if a uniform number from a hash of its id an
 below its cell's rate, which needs no state and gives repeated rows the same answer.
 
 The topic is the one of `topics` most of whose terms a text has (ties: the first by name; no
-term: "none"). Margins have the categories that their targets name; all others count as
-"(other)", so that the cell table's size is bounded by the targets. `tempered` makes targets
-from the corpus: observed shares to a power, the `MOST` largest categories each.
+term: "none"). Given targets name categories of their margins; all others count as "(other)".
+Without given targets every category has its own: its observed share to a power. Up to
+`IN_MEMORY` cells are raked as arrays, more by the same steps in Spark.
 
 Defined results: null sources, languages and texts count as empty strings (an empty text has
 0 tokens and its cell's rate); a null id is hashed as null; cells without tokens have rate 1;
@@ -19,7 +19,7 @@ an empty table gives an empty table; `mix` keeps other columns.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator, Mapping
+from collections.abc import Callable, Iterable, Iterator, Mapping
 
 import numpy as np
 import pyarrow as pa
@@ -27,12 +27,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructType
 
-from loomgraph.llm.common import buffers, range_hashes, slices, words
+from loomgraph.llm.common import buffers, drop_tables, materialize, range_hashes, scratch_paths, slices, words
 
 OTHER = "(other)"
 MARGINS = ("source", "lang", "topic")
-#: Categories of a margin that `tempered` names.
-MOST = 64
+#: Cells that are raked on the driver; more are raked in Spark.
+IN_MEMORY = 50_000
+#: Rounds of raking at most, and the largest miss of a margin that ends it.
+ROUNDS, TOLERANCE = 1000, 1e-10
 #: Topics and their terms.
 TOPICS = {
     "reference": ["this", "that", "these", "those", "it", "celui", "ceci", "esto", "ese", "dies", "jene"],
@@ -78,19 +80,11 @@ def observed(rows: DataFrame) -> DataFrame:
     return rows.groupBy("_source", "_lang", "_topic").agg(F.sum("_tokens").alias("tokens"))
 
 
-def tempered(cells: DataFrame, power: float, most: int = MOST) -> dict[str, dict[str, float]]:
-    """Targets from the corpus: each margin's observed shares to a power, the largest `most` named."""
-    out = {}
-    for margin in MARGINS:
-        own = cells.groupBy(f"_{margin}").agg(F.sum("tokens").alias("tokens")).filter("tokens > 0")
-        top = own.orderBy(F.desc("tokens"), f"_{margin}").limit(most).collect()
-        total = own.agg(F.sum("tokens")).collect()[0][0] or 0
-        weights = {r[0]: float(r.tokens) for r in top}
-        if total > sum(weights.values()):
-            weights[OTHER] = total - sum(weights.values())
-        weights = {k: (v / total) ** power for k, v in weights.items()}
-        out[margin] = {k: v / sum(weights.values()) for k, v in weights.items()}
-    return out
+def tempered(cells: DataFrame, margin: str, power: float) -> DataFrame:
+    """category, target: each category's observed share of the tokens to a power."""
+    own = cells.groupBy(F.col(f"_{margin}").alias("category")).agg(F.sum("tokens").cast("double").alias("t")).filter("t > 0")
+    total = own.agg(F.sum("t").alias("total"))
+    return own.crossJoin(F.broadcast(total)).select("category", F.pow(F.col("t") / F.col("total"), F.lit(power)).alias("target"))
 
 
 def named(rows: DataFrame, targets: Targets) -> DataFrame:
@@ -98,19 +92,22 @@ def named(rows: DataFrame, targets: Targets) -> DataFrame:
     return rows.withColumns({f"_{m}": F.when(F.col(f"_{m}").isin([k for k in targets[m] if k != OTHER]), F.col(f"_{m}")).otherwise(OTHER) for m in MARGINS})
 
 
-def rake(tokens: np.ndarray, targets: list[np.ndarray], rounds: int = 1000, tolerance: float = 1e-10) -> np.ndarray:
+def rake(tokens: np.ndarray, targets: list[np.ndarray], rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> np.ndarray:
     """The array scaled along each axis in turn to the axis's target shares (of the categories it has)."""
+    return _rake_cells(tokens.ravel(), [x.ravel() for x in np.indices(tokens.shape)], targets, rounds, tolerance).reshape(tokens.shape)
+
+
+def _rake_cells(tokens: np.ndarray, places: list[np.ndarray], targets: list[np.ndarray], rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> np.ndarray:
+    """rake of cells with their places on each axis; cells that are not there are empty."""
     out = tokens / tokens.sum() if tokens.sum() else tokens.astype(float)
     for _ in range(rounds):
         worst = 0.0
-        for axis, target in enumerate(targets):
-            others = tuple(k for k in range(out.ndim) if k != axis)
-            have = out.sum(axis=others)
+        for at, target in zip(places, targets, strict=True):
+            have = np.bincount(at, out, len(target)).astype(float)
             want = np.where(have > 0, target, 0.0)
             want = want / want.sum() if want.sum() else want
             worst = max(worst, float(np.abs(have - want).max(initial=0)))
-            factor = np.divide(want, have, out=np.zeros_like(have), where=have > 0)
-            out = out * factor.reshape([-1 if k == axis else 1 for k in range(out.ndim)])
+            out = out * np.divide(want, have, out=np.zeros_like(have), where=have > 0)[at]
         if worst < tolerance:
             break
     return out
@@ -118,36 +115,78 @@ def rake(tokens: np.ndarray, targets: list[np.ndarray], rounds: int = 1000, tole
 
 def rates(cells: Mapping[tuple[str, str, str], float], targets: Targets, share: float) -> dict[tuple[str, str, str], float]:
     """Sampling rate of each cell: proportional to raked over observed, `share` of all tokens in all."""
-    axes = [sorted({k[i] for k in cells} | set(targets[m])) for i, m in enumerate(MARGINS)]
-    tokens = np.zeros([len(a) for a in axes])
-    for key, n in cells.items():
-        tokens[tuple(axes[i].index(key[i]) for i in range(3))] += n
-    goal = [np.array([targets[m].get(k, 0.0) for k in a], float) for m, a in zip(MARGINS, axes, strict=True)]
-    ratio = np.divide(rake(tokens, goal), tokens / max(tokens.sum(), 1), out=np.zeros_like(tokens), where=tokens > 0)
-    want = share * tokens[ratio > 0].sum()
+    keys = sorted(cells)
+    tokens = np.array([cells[k] for k in keys], float)
+    axes = [{c: i for i, c in enumerate(sorted({k[axis] for k in keys}))} for axis in range(3)]
+    places = [np.array([axes[axis][k[axis]] for k in keys], np.int64) for axis in range(3)]
+    goal = [np.array([targets[m].get(c, 0.0) for c in own], float) for m, own in zip(MARGINS, axes, strict=True)]
+    ratio = np.divide(_rake_cells(tokens, places, goal), tokens / max(tokens.sum(), 1), out=np.zeros_like(tokens), where=tokens > 0)
+    scale = _scale(lambda scales: [float((np.minimum(1, x * ratio) * tokens).sum()) for x in scales], share * tokens[ratio > 0].sum())
+    found = np.where(tokens > 0, np.minimum(1, scale * ratio), 1.0)
+    return dict(zip(keys, found.tolist(), strict=True))
+
+
+def _scale(sampled: Callable[[list[float]], list[float]], want: float) -> float:
+    """The factor of all ratios at which the expected sample has the wanted tokens."""
     low, high = 0.0, 1.0
-    while high < 2**60 and (np.minimum(1, high * ratio) * tokens).sum() < want:
+    while high < 2**60 and sampled([high])[0] < want:
         high *= 2
-    for _ in range(100):
-        mid = (low + high) / 2
-        low, high = (mid, high) if (np.minimum(1, mid * ratio) * tokens).sum() < want else (low, mid)
-    found = np.where(tokens > 0, np.minimum(1, high * ratio), 1.0)
-    return {key: float(found[tuple(axes[i].index(key[i]) for i in range(3))]) for key in cells}
+    for _ in range(20):  # each step leaves one of 32 parts
+        scales = [low + (high - low) * i / 32 for i in range(1, 32)]
+        under = sum(n < want for n in sampled(scales))
+        low, high = [low, *scales][under], [*scales, high][under]
+    return high
+
+
+def rates_in_spark(cells: DataFrame, targets: Mapping[str, DataFrame], share: float) -> DataFrame:
+    """What `rates` gives, for cells and targets (category, target) of any number: _source, _lang, _topic, _rate."""
+    filled = cells.filter("tokens > 0")
+    total = filled.agg(F.sum("tokens")).collect()[0][0] or 1
+    x = materialize(filled.withColumn("x", F.col("tokens") / F.lit(float(total))))
+    for _ in range(ROUNDS):
+        worst, before, factors = 0.0, x, []
+        for margin in MARGINS:
+            have = x.groupBy(F.col(f"_{margin}").alias("category")).agg(F.sum("x").alias("have"))
+            want = have.join(targets[margin], "category", "left").withColumn("want", F.when(F.col("have") > 0, F.coalesce("target", F.lit(0.0))).otherwise(0.0))
+            want = materialize(want.select("category", "have", "want"))
+            all_of = want.agg(F.sum("want")).collect()[0][0] or 1.0
+            part = F.col("want") / F.lit(all_of)
+            worst = max(worst, want.agg(F.max(F.abs(F.col("have") - part))).collect()[0][0] or 0.0)
+            factor = want.select(F.col("category").alias(f"_{margin}"), F.when(F.col("have") > 0, part / F.col("have")).otherwise(0.0).alias("factor"))
+            x = x.join(factor, f"_{margin}").withColumn("x", F.col("x") * F.col("factor")).drop("factor")
+            factors.append(want)
+        x = materialize(x)
+        drop_tables(cells.sparkSession, [p for t in (before, *factors) for p in scratch_paths(t)])
+        if worst < TOLERANCE:
+            break
+    ratio = x.withColumn("ratio", F.col("x") * float(total) / F.col("tokens"))
+    least = lambda s: F.least(F.lit(1.0), F.col("ratio") * F.lit(float(s)))
+    sampled = lambda scales: [n or 0.0 for n in ratio.agg(*[F.sum(least(s) * F.col("tokens")) for s in scales]).collect()[0]]
+    scale = _scale(sampled, share * (ratio.filter("ratio > 0").agg(F.sum("tokens")).collect()[0][0] or 0))
+    names = [f"_{m}" for m in MARGINS]
+    return ratio.select(*names, least(scale).alias("_rate")).union(cells.filter("NOT coalesce(tokens, 0) > 0").select(*names, F.lit(1.0)))
 
 
 def calibrated(docs: DataFrame, targets: Targets | None = None, share: float = 0.5, power: float = 0.5, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", seed: int = 1) -> DataFrame:
     """docs with _source, _lang, _topic, _tokens, _rate and _kept."""
-    from loomgraph.llm.common import materialize
-
+    spark = docs.sparkSession
     rows = _categories(with_topic(docs, text_col=text_col), source_col, lang_col)
-    cells = materialize(observed(_categories(with_topic(docs.select(*[F.col(f"`{c}`") for c in dict.fromkeys([source_col, lang_col, text_col])]), text_col=text_col), source_col, lang_col)))
-    targets = targets or tempered(cells, power)
-    # At most (categories of the targets + 1) a margin, multiplied: a bounded table.
-    summed = {(r._source, r._lang, r._topic): float(r.tokens or 0) for r in observed(named(cells, targets).withColumnRenamed("tokens", "_tokens")).collect()}
-    found = rates(summed, targets, share)
-    table = docs.sparkSession.createDataFrame([(*k, v) for k, v in found.items()], "_source string, _lang string, _topic string, _rate double")
-    # A bounded table (see above), so it is broadcast.
-    out = named(rows, targets).join(F.broadcast(table), ["_source", "_lang", "_topic"], "left")
+    cells = observed(_categories(with_topic(docs.select(*[F.col(f"`{c}`") for c in dict.fromkeys([source_col, lang_col, text_col])]), text_col=text_col), source_col, lang_col))
+    if targets:
+        rows = named(rows, targets)
+        cells = observed(named(cells, targets).withColumnRenamed("tokens", "_tokens"))
+    cells = materialize(cells)
+    names = [f"_{m}" for m in MARGINS]
+    if cells.count() <= IN_MEMORY:
+        summed = {(r._source, r._lang, r._topic): float(r.tokens or 0) for r in cells.collect()}
+        goals = targets or {m: {r.category: r.target for r in tempered(cells, m, power).collect()} for m in MARGINS}
+        table = spark.createDataFrame([(*k, v) for k, v in rates(summed, goals, share).items()], ", ".join(f"{n} string" for n in names) + ", _rate double")
+        # At most IN_MEMORY rows, so it is broadcast.
+        table = F.broadcast(table)
+    else:
+        goals = {m: spark.createDataFrame(list(targets[m].items()), "category string, target double") if targets else materialize(tempered(cells, m, power)) for m in MARGINS}
+        table = materialize(rates_in_spark(cells, goals, share))
+    out = rows.join(table, names, "left")
     number = (F.xxhash64(F.lit(seed), F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).bitwiseAND(F.lit((1 << 53) - 1)) / F.lit(float(1 << 53)))
     return out.withColumn("_kept", number < F.coalesce("_rate", F.lit(1.0)))
 

@@ -453,6 +453,22 @@ def test_mixing_with_awkward_rows(docs):
         assert r._topic == (max(sorted(counts), key=counts.get) if any(counts.values()) else "none") and r._tokens == len(words)
 
 
+def test_mixing_targets_every_source(spark, monkeypatch):
+    rows = [(100 * i + j, f"s{i:03d}", "de" if j % 3 == 0 else "en", "this is a text of words " * (1 + i % 5 * j % 4)) for i in range(90) for j in range(1 + i % 30)]
+    df = spark.createDataFrame(rows, "doc_id bigint, source string, lang string, text string")
+    rate = lambda: {(r._source, r._lang, r._topic): r._rate for r in mixing.calibrated(df, share=0.4).select("_source", "_lang", "_topic", "_rate").distinct().collect()}
+    got = rate()
+    assert {k[0] for k in got} == {f"s{i:03d}" for i in range(90)}
+    cells = {(r._source, r._lang, r._topic): float(r.tokens) for r in mixing.observed(mixing._categories(mixing.with_topic(df), "source", "lang")).collect()}
+    total = sum(cells.values())
+    goal = {m: {c: (sum(n for k, n in cells.items() if k[i] == c) / total) ** 0.5 for c in {k[i] for k in cells}} for i, m in enumerate(mixing.MARGINS)}
+    assert got == pytest.approx(mixing.rates(cells, goal, 0.4))
+    assert sum(cells[k] * v for k, v in got.items()) == pytest.approx(0.4 * total)
+    monkeypatch.setattr(mixing, "IN_MEMORY", 0)
+    monkeypatch.setattr(mixing, "TOLERANCE", 1e-6)
+    assert rate() == pytest.approx(got, rel=1e-3)
+
+
 PAGE = """<!DOCTYPE html><html><head><title>t</title><script>if (a < b) "</p>"</script></head><body class="home"><header class="site-header"><h1>Site</h1></header>
 <nav><ul><li><a href="/">Home</a></ul></nav><div id="cookie-banner">We use cookies</div><div class="layout"><div class="post-content-{i}"><h2>Title {i} &amp; more</h2><p>First <b>bo</b>ld,
 paragraph number {i} with plenty of text, so that it counts.<p>Second&nbsp;para<br>line with <a href="x">a link</a>.<ul><li>a<li>b</ul><aside>rel</aside><div class="ad">buy</div>
