@@ -6,8 +6,8 @@ folder and reads it back as the next stage's input.
 
 Defined results: null and empty texts pass the stages as the operators define (the classifier
 judges an empty text like any other; it has no near duplicates, no secrets and no tokens); of
-rows that repeat an id one stays; rows without an id have no id to choose by and stay; an empty
-table gives an empty table; other columns pass through unchanged, up to the last stage.
+rows that repeat an id one stays; rows without an id stay if their text is blank, else one of a
+component in which no row has an id; an empty table gives an empty table; other columns pass through unchanged, up to the last stage.
 """
 
 from __future__ import annotations
@@ -31,12 +31,22 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of the Jaccard join: the one with the smallest id."""
-    groups = jaccard_join.jaccard_components(docs)
-    first = materialize(groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("_first")).agg(F.count("*").alias("_n")))
-    kept = docs.join(first, docs["doc_id"].eqNullSafe(first["_first"]), "left_semi")
-    if first.filter("_n > 1 AND _first IS NOT NULL").isEmpty():
+    groups = materialize(jaccard_join.labelled(docs))
+    first = groups.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_first"))
+    odd = materialize(groups.groupBy("doc_id").agg(F.count("*").alias("_times")).filter("doc_id IS NULL OR _times > 1").select(F.col("doc_id").alias("_odd")))
+    kept = docs.join(first, docs["doc_id"] == first["_first"], "left_semi")
+    if odd.isEmpty():
         return kept
-    return kept.filter("doc_id IS NULL").union(kept.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"]))
+    # Rows that their id does not tell apart are chosen by their sets.
+    plain = kept.join(odd, kept["doc_id"] == odd["_odd"], "left_anti")
+    rows = jaccard_join.with_key(docs.join(odd, docs["doc_id"].eqNullSafe(odd["_odd"]), "left_semi"))
+    own = groups.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_first"), F.col("d").alias("_key")).distinct()
+    repeated = rows.join(own, (rows["doc_id"] == own["_first"]) & (rows["_d"] == own["_key"]), "left_semi")
+    nameless = groups.filter("component_id IS NULL AND n_shingles > 0").groupBy("c").agg(F.min("d").alias("_key"))
+    single = rows.filter("doc_id IS NULL AND _n > 0").join(nameless.select("_key"), F.col("_d") == F.col("_key"), "left_semi")
+    blank = rows.filter("doc_id IS NULL AND _n = 0")
+    chosen = repeated.dropDuplicates(["doc_id"]).union(single.dropDuplicates(["_d"])).union(blank)
+    return plain.union(chosen.drop("_d", "_n"))
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

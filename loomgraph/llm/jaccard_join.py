@@ -49,6 +49,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructType
 
 from loomgraph.llm.common import buffers, drop_tables, materialize, mix, picked, range_hashes, scratch_paths, slices, window_hashes, words
 
@@ -158,12 +159,15 @@ def sketch_distance(x: bytes, y: bytes) -> int:
 
 
 def full_sets(docs: DataFrame) -> DataFrame:
-    """d, n, the sketch and the whole set of each document."""
+    """d, n, the sketch and the whole set of each document that has words."""
 
     def full(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
                 values, at = shingle_sets(*buffers(part.column("text")))
+                at = np.concatenate([[0], at[1:][np.diff(at) > 0]])
+                if len(at) == 1:
+                    continue
                 own = [values[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
                 folded = np.concatenate([folded_sketch(v) for v in own])
                 columns = [pa.array(set_keys(values, at)), pa.array(np.diff(at)), pa.array([parity_sketch(v) for v in own], pa.binary()), _lists(folded, FOLDED * np.arange(len(own) + 1)), _lists(values, at)]
@@ -391,8 +395,25 @@ def _set_of(e: str):
     return F.col(e).bitwiseAND(F.lit(-2))
 
 
+def with_key(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """docs with _d (the key of the row's set) and _n (its size)."""
+
+    def keyed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, text_col):
+                values, at = shingle_sets(*buffers(part.column(part.schema.get_field_index(text_col))))
+                yield part.append_column("_d", pa.array(set_keys(values, at))).append_column("_n", pa.array(np.diff(at)))
+
+    return docs.mapInArrow(keyed, StructType([*docs.schema.fields]).add("_d", LongType()).add("_n", LongType()))
+
+
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id for every document."""
+    return labelled(docs, id_col, text_col).select("doc_id", "n_shingles", "component_id")
+
+
+def labelled(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id, d (the set's key) and c (its component's, ids or not) for every document."""
     spark = docs.sparkSession
     own = picked(docs, doc_id=id_col, text=text_col)
     profile = materialize(profiles(own))
@@ -404,4 +425,4 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     rows = profile.select("doc_id", "n_shingles", "d").join(labels, "d", "left").withColumn("c", F.coalesce("c", "d"))
     least = rows.groupBy("c").agg(F.min("doc_id").alias("least"))
     component = F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("doc_id"))
-    return rows.join(least, "c").select("doc_id", "n_shingles", component.alias("component_id"))
+    return rows.join(least, "c").select("doc_id", "n_shingles", component.alias("component_id"), "d", "c")

@@ -71,6 +71,17 @@ def test_stages_take_awkward_rows(spark, tmp_path):
         assert stage(spark, extra.limit(0), str(tmp_path)).count() == 0
 
 
+def test_near_duplicates_without_ids(spark, sf_dir):
+    words = [f"w{i}" for i in range(200)]
+    a, near, b, c = " ".join(words), " ".join([*words, "end"]), " ".join(words[::-1]), " ".join(f"v{i}" for i in range(50))
+    texts = [(1, a), (None, a), (None, near), (None, b), (None, b), (None, b + " end"), (None, c), (None, ""), (None, None), (7, ""), (7, c + " end")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in texts], DOCUMENTS)
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.near_duplicate_stage(spark, docs, sf_dir).collect()]
+    assert [t for i, t in got if i == 1] == [a] and sum(i == 7 for i, _ in got) == 1
+    none = [t for i, t in got if i is None]
+    assert len(none) == 3 and sum(not t for t in none) == 2 and sum(t in (b, b + " end") for t in none if t) == 1
+
+
 def test_registered_queries(spark, sf_dir):
     assert [q.split("_")[0] for q in queries.queries()] == [f"op{i}" for i in range(1, 11)]
     assert set(ORACLES) <= set(queries.queries())
