@@ -34,6 +34,10 @@ HOST_PATHS, PAGE_VOTES = 3, 3
 # Element kinds of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template textarea title iframe svg select option button object canvas audio video".split())
+#: Those of RAW whose content is no markup, and those that run to the end of the page if they never close.
+PLAIN, ENDLESS = frozenset("script style textarea title iframe".split()), frozenset("script style".split())
+#: Never left out by an id alone, and not so inside an article either.
+TEXT_TAGS, ARTICLE_TAGS = frozenset("h1 h2 h3 h4 h5 h6 p li".split()), frozenset(["section"])
 CONTAINERS = frozenset("html body div section article main aside nav header footer form table tbody tr td ul ol dl figure blockquote details fieldset center dialog menu search".split())
 BLOCKS = CONTAINERS | frozenset("p h1 h2 h3 h4 h5 h6 li dt dd pre hr br address figcaption summary thead tfoot th caption hgroup legend".split())
 PARAGRAPHS = frozenset("p h1 h2 h3 h4 h5 h6 li dd dt pre blockquote td".split())
@@ -50,6 +54,7 @@ LEFT_OUT_WORDS = frozenset(
 LEFT_OUT_NAMES = frozenset("header site-header page-header top-bar topbar sr-only visually-hidden screen-reader-text comment-list comments-area".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_LABEL = re.compile("[^<]*")
 _ATTRIBUTE = re.compile(r"""([a-zA-Z_:][-\w:.]*)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _NAME_WORD = re.compile("[A-Z]?[a-z]+|[A-Z]+")
 _CLOSED_BY_BLOCK = frozenset(["p", "h1", "h2", "h3", "h4", "h5", "h6"])
@@ -84,7 +89,9 @@ def _left_out(tag: str, attributes: dict[str, str], inside_article: bool) -> boo
         return True
     if tag in ("html", "body", "article", "main"):
         return False
-    names = [*attributes.get("class", "").split(), *attributes.get("id", "").split()]
+    names = attributes.get("class", "").split()
+    if tag not in TEXT_TAGS and not (inside_article and tag in ARTICLE_TAGS):
+        names += attributes.get("id", "").split()
     return any(n.lower() in LEFT_OUT_NAMES or LEFT_OUT_WORDS & {w.lower() for w in _NAME_WORD.findall(n)} for n in names)
 
 
@@ -93,6 +100,34 @@ def _step(tag: str, attributes: dict[str, str]) -> str:
     return tag + "".join(f".{n}" for n in names) if names else f"{tag}#{re.sub('[0-9]+', '#', attributes['id'].lower())}" if attributes.get("id") else tag
 
 
+def _raw_end(text: str, tag: str, at: int, last: dict[str, int]) -> int:
+    """Where the content of a RAW element that begins at `at` ends: after its end tag, if that comes
+    before its container's; else before the next tag, as if it were void."""
+    if tag == "option":
+        return at + len(_LABEL.match(text, at)[0])
+    end = re.compile(rf"</{re.escape(tag)}\s*>", re.I)
+    if tag not in last:
+        last[tag] = max((m.start() for m in end.finditer(text)), default=-1)
+    if tag in PLAIN:
+        found = end.search(text, at) if at <= last[tag] else None
+        return found.end() if found else len(text) if tag in ENDLESS else at
+    depth, i = 0, at
+    while i <= last[tag] and (m := _TOKEN.search(text, i)):
+        i = m.end()
+        if m[2] is None:
+            continue
+        inner = m[2].lower()
+        if m[1] and inner == tag:
+            return i
+        if inner in PLAIN and not m[1]:
+            i = _raw_end(text, inner, i, last)
+        elif inner in CONTAINERS:
+            depth += -1 if m[1] else 1
+            if depth < 0:
+                break
+    return at + len(_LABEL.match(text, at)[0]) if tag == "button" else at
+
+
 def parse(text: str) -> Page:
     """Segments, containers and their scores of a page."""
     page = Page()
@@ -134,6 +169,7 @@ def parse(text: str) -> Page:
             depth_of_link -= tag == "a"
         del stack[i:]
 
+    last: dict[str, int] = {}
     at, n = 0, len(text)
     while at < n:
         m = _TOKEN.search(text, at)
@@ -160,8 +196,8 @@ def parse(text: str) -> Page:
                 in_paragraph = False
             continue
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(text, at)
-            at = end.end() if end else n
+            if tag in PLAIN or not m[3].rstrip().endswith("/"):
+                at = _raw_end(text, tag, at, last)
             continue
         if tag in BLOCKS:
             close_block()

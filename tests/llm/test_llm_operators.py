@@ -486,6 +486,18 @@ def test_html_extraction(spark):
     assert html_extract.main_text(df.limit(0)).count() == 0
 
 
+def test_html_article_text_stays():
+    page = lambda body: f"<html><body><nav>menu</nav><article><p>Start of it.</p>{body}<p>End, of it.</p></article><div><svg></svg><button>x</button></div></body></html>"
+    text = lambda body: html_extract.extract(html_extract.parse(page(body)), ["html>body>article", ">html>body>article"])
+    for body, want in [
+        ('<svg width="1"/>', ""), ("<canvas/>", ""), ('<object data="x" />', ""), ("<svg><path d='M0'></svg>", ""), ("<svg><title>t</title><g>a</g></svg>", ""), ("<canvas>", ""),
+        ("<datalist><option>A<option>B</datalist>", ""), ("<select><option>A<option>B</select>", ""), ("<button>Buy", ""), ("<button><div>Buy</div></button>", ""), ("<video>v</video>", ""),
+        ('<section id="discussion">We discuss.</section>', "We discuss. "), ('<h2 id="related-work">Related</h2>', "Related "), ('<h2 id="search-methods">Search</h2>', "Search "), ('<p id="notice-1">Note.</p>', "Note. "),
+        ('<section class="comments">nice</section>', ""), ('<div id="comments">nice</div>', ""),
+    ]:
+        assert text(body) == f"Start of it. {want}End, of it.", body
+
+
 def test_html_extraction_on_the_given_pages(spark, sf_dir):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     for r in html_extract.main_text(pages).join(pages.select("page_id", "html"), "page_id").collect():
