@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -47,6 +48,31 @@ def scratch_paths(df: DataFrame) -> list[str]:
     return sorted({f.rsplit("/", 1)[0] for f in df.inputFiles()})
 
 
+class Scratch:
+    """Scratch tables of one job in the shared folder, and what removes them."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        out = materialize(df)
+        self.paths += scratch_paths(out)
+        return out
+
+    def only(self, last: DataFrame, *others: DataFrame) -> DataFrame:
+        """`last`, with all tables removed but what it and the others read."""
+        wanted = {p for df in (last, *others) for p in scratch_paths(df)}
+        drop_tables(self.spark, [p for p in self.paths if p not in wanted])
+        self.paths = sorted(wanted)
+        self.forget_shuffles()
+        return last
+
+    def forget_shuffles(self) -> None:
+        """Let Spark remove the shuffle files of steps that nothing refers to any more."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
+
 def picked(docs: DataFrame, **columns: str) -> DataFrame:
     """Only the named columns, under the operator's own names: extra ones can't clash."""
     return docs.select(*[docs[old].alias(new) for new, old in columns.items()])

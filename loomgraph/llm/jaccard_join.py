@@ -1,72 +1,78 @@
 """Operator 6, n-gram Jaccard join by PartEnum signatures.
 
-A document's set holds the 64-bit hashes of its distinct five-word shingles. Sets link when
-their Jaccard similarity is at least `THRESHOLD` per cent; the result gives each document its
-set's size and the smallest doc_id of its connected component.
-
-Exact copies share one set and are joined as one. For the other links:
-
-1. Aside go sets that cannot have a link to a different set: at least 75 % of a linked set's
-   shingles occur in another set as well. One shingle in eight, chosen by hash, is counted over
-   all sets, and a set goes aside only if the chance of so few shared ones among its counted
-   shingles is under e^-36 for a linked set (Chernoff's bound).
-2. PartEnum. Sizes fall into bands whose upper end is 4/3 of the lower, so that links stay in a
-   band or join it to the next. For each such pair of bands the shingle domain is split by hash
-   into partitions, more than the k shingles by which two linked sets can differ, and a set
-   gives one signature per partition that it fills: (bands, partition, hash of its shingles
-   there). Sets that fill c partitions share at least c - k signatures with each partner. The
-   number of partitions is chosen so that c > k; a set for which it fails gives its shingles as
-   signatures too, which any partner with the same failing shares.
-3. Star rounds: every signature group has a leader, drawn by hash anew in each round; each
-   component is compared with the leaders of other components that it meets most often, and
-   linked ones are merged. This costs a group its size and leaves few components of a group of
-   copies. Later rounds go on only where a signature still holds several
-   components, and only for sets with c - k such signatures, as a link across components needs
-   that many. Pairs of components that meet are first bounded as a whole: parity sketches (bit
-   i: is the number of shingles in bucket i odd) tell how many buckets all members of one have
-   odd and all members of the other have even, and each such bucket is a shingle by which any
-   two of them differ. Members of pairs of components that stay are compared in three rounds: a
-   few members at a few common signatures, more of them, and all that are left.
-4. A comparison bounds the difference of two sets in the same way by finer sketches, which drops
-   pairs that differ in more than k shingles for sure, and then compares the whole sets.
-
-No pairs within a component are made beyond that, so a group of copies costs its size.
+A document's set holds the 64-bit hashes of its distinct word shingles. Sets link when their
+Jaccard similarity is at least the threshold; the result gives each document its set's size and
+the smallest doc_id of its connected component.
+
+Exact copies share one set and are joined as one: all steps below work on distinct sets, the
+representatives of their copies. For the other links:
+
+1. Aside go sets that cannot have a link to a different set: of a linked set's shingles at least
+   the threshold's share occurs in another set as well. Shingles are counted by a sample of
+   `SAMPLE` to 2 `SAMPLE` a set (all of them in smaller sets; every set also counts what partners
+   of at least its own size by the threshold sample), and a set goes aside only if the chance of
+   so few shared ones is under e^-`ASIDE` for a linked set (Chernoff's bound). With exact=True
+   all shingles are counted and no chance is left.
+2. PartEnum. Sizes fall into bands whose upper end is low / threshold, so that links stay in a
+   band or join it to the next; a set has the signatures of its own band and of the one below.
+   For a band the domain is split by hash into `parts` first-level partitions, each of those
+   into `SECOND` second-level ones. Two linked sets that differ in k shingles differ in more than
+   `LOOSE` of them in at most k // (LOOSE + 1) first-level partitions; in every other one they
+   agree on at least one subset of SECOND - LOOSE second-level partitions. All such subsets are
+   enumerated, and each that holds a shingle gives a signature: (band, partition, subset, hash
+   of the shingles in it). If f partitions of a set have no empty subset, it shares at least
+   f - k // (LOOSE + 1) signatures with each partner. A set for which that is under 1 gives its
+   shingles as signatures too, which any partner with the same lack shares.
+3. Signatures with one set go, then sets with fewer signatures left than a link needs.
+4. Star rounds: every signature has a leader, first the set with most of its signatures shared,
+   then one drawn by hash; each set is compared with the leader it meets most often, and linked
+   ones are merged. This costs a group of copies its size. Signatures within one component and
+   the sets that lack others go.
+5. Blocks: what is left is placed in blocks of bounded size, sets of a large component together,
+   others by the largest signature they have. Blocks that share a signature across components
+   are compared by parity sketches (bit i: is the number of shingles in bucket i odd), which
+   bound differences from below, so they drop no link. Pairs that sketches leave are compared as
+   whole sets: first a spanning forest of them per pair of blocks, then, with the components
+   merged by it, all others that still join two components.
+
+No pairs within a component are made beyond that.
 
 Defined results: a null or blank text has an empty set and is its own component, whatever
-others there are; fewer than five words make one shingle of the whole sequence; repeated rows
-(and rows with a null id) count as documents with equal sets, and smallest ids leave nulls out;
-an empty table gives an empty table; other columns are not read.
+others there are; fewer words than a shingle make one shingle of the whole sequence; repeated
+rows (and rows with a null id) count as documents with equal sets, and smallest ids leave nulls
+out; an empty table gives an empty table; other columns are not read.
 """
 
 from __future__ import annotations
 
-import gc
+import itertools
 import math
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructType
 
-from loomgraph.llm.common import buffers, drop_tables, materialize, mix, picked, range_hashes, scratch_paths, slices, window_hashes, words
+from loomgraph.llm.common import Scratch, buffers, mix, picked, range_hashes, slices, window_hashes, words
 
 WORDS = 5
 #: Similarity in per cent.
 THRESHOLD = 75
-#: One shingle in this many is counted in step 1 (a power of two).
-COUNTED = 8
+#: Shingles that a set counts in step 1, at least (if it has them); under twice as many.
+SAMPLE = 64
 #: Natural logarithm of the chance, per linked set, of going aside in step 1.
 ASIDE = 36.0
-#: Longs of the sketches that bound components.
-FOLDED = 32
-#: Members per signature and component, and common signatures of two components, that each round
-#: compares; the last compares all.
-ROUNDS = ((2, 4), (16, 16), (None, None))
-#: Star rounds before them, and leaders that a component is compared with in each.
-STARS, LEADERS = 5, 3
+#: Second-level partitions, and those of them that a subset leaves out.
+SECOND, LOOSE = 3, 1
+#: Star rounds.
+STARS = 2
+#: Shingles of a block's sets, about: sketches take at most a byte a shingle.
+BLOCK = 1 << 16
+#: Ids that are broadcast at most (8 bytes each, about 40 in a hash table); more are joined by a shuffle.
+BROADCAST_IDS = 1 << 20
 
 
 def _runs(row: np.ndarray, n_rows: int) -> tuple[np.ndarray, np.ndarray]:
@@ -74,18 +80,18 @@ def _runs(row: np.ndarray, n_rows: int) -> tuple[np.ndarray, np.ndarray]:
     return first, np.append(first[1:], len(row))
 
 
-def shingle_sets(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def shingle_sets(data: np.ndarray, at: np.ndarray, size: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
     """All rows' sets one after the other, each ascending; and the n + 1 offsets."""
     n_rows = len(at) - 1
     starts, ends, row = words(data, at)
     h = range_hashes(data, starts, ends, fold=True)
     first, last = _runs(row, n_rows)
-    windows = window_hashes(h, WORDS)
+    windows = window_hashes(h, size)
     out, offsets = [], np.zeros(n_rows + 1, np.int64)
     for i in range(n_rows):
         a, b = int(first[i]), int(last[i])
-        if b - a >= WORDS:
-            own = np.sort(mix(windows[a : b - WORDS + 1] + np.uint64(WORDS)))
+        if b - a >= size:
+            own = np.sort(mix(windows[a : b - size + 1] + np.uint64(size)))
             own = own[np.r_[True, own[1:] != own[:-1]]]
         elif b > a:
             own = mix(window_hashes(h[a:b], b - a) + np.uint64(b - a))
@@ -97,41 +103,57 @@ def shingle_sets(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def set_keys(values: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """A key of each set; its lowest bit is left 0 (signature rows keep a flag there)."""
+    """A key of each set; its lowest bit is left 0, as a place for a flag."""
     sums = np.concatenate([[np.uint64(0)], np.cumsum(mix(values + np.uint64(0x5851F42D4C957F2D)))]).astype(np.uint64)
     return mix(sums[at[1:]] - sums[at[:-1]] + np.diff(at).astype(np.uint64)).view(np.int64) & np.int64(-2)
 
 
+def _set_of(e: str):
+    return F.col(e).bitwiseAND(F.lit(-2))
+
+
 def _lists(values: np.ndarray, at: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(values.view(np.int64)))
 
 
-def profiles(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, d (the set's key), counted (its shingles of step 1)."""
+def sample_masks(sizes: np.ndarray) -> np.ndarray:
+    """A set of this size samples the shingles whose hash has no bit of the mask."""
+    level = np.maximum(np.floor(np.log2(np.maximum(sizes, 1) / SAMPLE)), 0).astype(np.uint64)
+    return (np.uint64(1) << level) - np.uint64(1)
+
+
+def profiles(docs: DataFrame, size: int = WORDS, threshold: int = THRESHOLD, exact: bool = False) -> DataFrame:
+    """doc_id, n_shingles, d (the set's key), mask and counted (its shingles of step 1)."""
 
     def profiled(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                values, at = shingle_sets(*buffers(part.column("text")))
-                chosen = (values & np.uint64(COUNTED - 1)) == 0
+                values, at = shingle_sets(*buffers(part.column("text")), size)
+                n = np.diff(at)
+                # The smallest partners sample most; a set counts for them as well.
+                wide, own = (np.zeros(len(n), np.uint64) if exact else sample_masks(x) for x in (-(-n * threshold // 100), n))
+                chosen = (values & np.repeat(wide, n)) == 0
                 kept = np.concatenate([[0], np.cumsum(chosen)])[at]
-                columns = [part.column("doc_id"), pa.array(np.diff(at)), pa.array(set_keys(values, at)), _lists(values[chosen], kept)]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "d", "counted"])
+                columns = [part.column("doc_id"), pa.array(n), pa.array(set_keys(values, at)), pa.array(own.view(np.int64)), _lists(values[chosen], kept)]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "d", "mask", "counted"])
 
-    return docs.mapInArrow(profiled, "doc_id bigint, n_shingles bigint, d bigint, counted array<bigint>")
+    return docs.mapInArrow(profiled, "doc_id bigint, n_shingles bigint, d bigint, mask bigint, counted array<bigint>")
 
 
-def may_link(profile: DataFrame) -> DataFrame:
+def may_link(profile: DataFrame, threshold: int = THRESHOLD, exact: bool = False) -> DataFrame:
     """d, doc_id: the sets that step 1 leaves, each by one of its documents."""
-    sets = profile.filter("n_shingles > 0").select("doc_id", "d", F.size("counted").cast("double").alias("m"), "counted")
-    holders = sets.select("d", F.explode("counted").alias("s")).groupBy("s").agg(F.min("d").alias("d"), F.max("d").alias("other"))
-    alone = holders.filter("d = other").groupBy("d").agg(F.count("*").cast("double").alias("alone"))
-    one = sets.groupBy("d").agg(F.min("doc_id").alias("doc_id"), F.max("m").alias("m"))
-    p, q = F.lit(THRESHOLD / 100), (F.col("m") - F.coalesce("alone", F.lit(0.0))) / F.col("m")
+    sets = profile.filter("n_shingles > 0")
+    # The key's lowest bit tells whether the set itself samples the shingle.
+    own = F.when(F.col("s").bitwiseAND(F.col("mask")) == 0, F.lit(1)).otherwise(F.lit(0)).cast("long")
+    holders = sets.select("d", "mask", F.explode("counted").alias("s")).select("s", F.col("d").bitwiseOR(own).alias("e")).groupBy("s").agg(F.min("e").alias("e"), F.max("e").alias("other"))
+    alone = holders.filter("e = other AND (e & 1) = 1").groupBy(_set_of("e").alias("d")).agg(F.count("*").cast("double").alias("alone"))
+    sampled = F.size(F.filter("counted", lambda s: s.bitwiseAND(F.col("mask")) == 0)).cast("double")
+    one = sets.groupBy("d").agg(F.min("doc_id").alias("doc_id"), F.max(sampled).alias("m"))
+    p, q = F.lit(threshold / 100), (F.col("m") - F.coalesce("alone", F.lit(0.0))) / F.col("m")
     # Kullback-Leibler distance of the shared part q from p; x log x is 0 at 0.
     xlog = lambda x, y: F.when(x > 0, x * F.log(x / y)).otherwise(0.0)
-    odd = (q < p) & (F.col("m") * (xlog(q, p) + xlog(1 - q, 1 - p)) > ASIDE)
-    return one.join(alone, "d", "left").filter((F.col("m") == 0) | ~odd).select("d", "doc_id")
+    chance = F.lit(True) if exact else F.col("m") * (xlog(q, p) + xlog(1 - q, 1 - p)) > ASIDE
+    return one.join(alone, "d", "left").filter((F.col("m") == 0) | ~((q < p) & chance)).select("d", "doc_id")
 
 
 def parity_sketch(values: np.ndarray) -> bytes:
@@ -141,134 +163,151 @@ def parity_sketch(values: np.ndarray) -> bytes:
     return np.packbits((buckets & 1).astype(np.uint8), bitorder="little").tobytes()
 
 
-def folded_sketch(values: np.ndarray) -> np.ndarray:
-    """A sketch of FOLDED longs for every set, so that any two can be compared."""
-    odd = np.bincount((mix(values) & np.uint64(64 * FOLDED - 1)).astype(np.int64), minlength=64 * FOLDED) & 1
-    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+def folded(sketches: np.ndarray, longs: int) -> np.ndarray:
+    """Sketches (one a row) of fewer longs: halves fold together, as buckets are hashes modulo the size."""
+    while sketches.shape[1] > longs:
+        half = sketches.shape[1] // 2
+        sketches = sketches[:, :half] ^ sketches[:, half:]
+    return sketches
 
 
 def sketch_distance(x: bytes, y: bytes) -> int:
     """At most the number of shingles in one set but not in the other."""
-    a, b = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
-    while len(a) != len(b):  # halves fold together: buckets are hashes modulo the size
-        if len(a) > len(b):
-            a = a[: len(a) // 2] ^ a[len(a) // 2 :]
-        else:
-            b = b[: len(b) // 2] ^ b[len(b) // 2 :]
-    return int(np.bitwise_count(a ^ b).sum())
+    a, b = np.frombuffer(x, np.uint64)[None], np.frombuffer(y, np.uint64)[None]
+    longs = min(a.shape[1], b.shape[1])
+    return int(np.bitwise_count(folded(a, longs) ^ folded(b, longs)).sum())
 
 
-def full_sets(docs: DataFrame) -> DataFrame:
+def full_sets(docs: DataFrame, size: int = WORDS) -> DataFrame:
     """d, n, the sketch and the whole set of each document that has words."""
 
     def full(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
-                values, at = shingle_sets(*buffers(part.column("text")))
+            for part in slices(batch, most=1 << 20):
+                values, at = shingle_sets(*buffers(part.column("text")), size)
                 at = np.concatenate([[0], at[1:][np.diff(at) > 0]])
                 if len(at) == 1:
                     continue
-                own = [values[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
-                folded = np.concatenate([folded_sketch(v) for v in own])
-                columns = [pa.array(set_keys(values, at)), pa.array(np.diff(at)), pa.array([parity_sketch(v) for v in own], pa.binary()), _lists(folded, FOLDED * np.arange(len(own) + 1)), _lists(values, at)]
-                yield pa.RecordBatch.from_arrays(columns, ["d", "n", "sketch", "folded", "shingles"])
+                sketches = [parity_sketch(values[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
+                columns = [pa.array(set_keys(values, at)), pa.array(np.diff(at)), pa.array(sketches, pa.binary()), _lists(values, at)]
+                yield pa.RecordBatch.from_arrays(columns, ["d", "n", "sketch", "shingles"])
 
-    return docs.select("text").mapInArrow(full, "d bigint, n bigint, sketch binary, folded array<bigint>, shingles array<bigint>")
+    return docs.select("text").mapInArrow(full, "d bigint, n bigint, sketch binary, shingles array<bigint>")
 
 
-@lru_cache(maxsize=1)
-def bands(most: int = 1 << 40) -> tuple[np.ndarray, np.ndarray]:
+@lru_cache(maxsize=4)
+def bands(threshold: int = THRESHOLD, most: int = 1 << 40) -> tuple[np.ndarray, np.ndarray]:
     """Lowest and highest size of each band."""
-    low, high = [1], [100 // THRESHOLD]
+    low, high = [1], [100 // threshold]
     while high[-1] < most:
         low.append(high[-1] + 1)
-        high.append(low[-1] * 100 // THRESHOLD)
+        high.append(low[-1] * 100 // threshold)
     return np.array(low), np.array(high)
 
 
-@lru_cache(maxsize=4096)
-def partitions(band: int) -> tuple[int, int]:
-    """(k, number of partitions) for links of `band` with itself and the next."""
-    low, high = (int(x[band]) for x in bands())
+def most_apart(n: int, band: int, threshold: int = THRESHOLD) -> int:
+    """Shingles by which a set of n differs at most from partners under `band`, its own or the one below."""
     # Linked sets of sizes a and b differ by (a + b) (100 - t) / (100 + t) shingles at most.
-    k = (high + high * 100 // THRESHOLD) * (100 - THRESHOLD) // (100 + THRESHOLD)
-    for n in range(k + 2, 4 * low + 4):
-        empty = math.exp(-low / n)
-        spread = math.sqrt(max(0.0, n * empty * (1 - (1 + low / n) * empty)))
-        if n * (1 - empty) - 5 * spread > k + 1:
-            return k, n
-    return k, 4 * low + 4
+    low, high = (int(x[band]) for x in bands(threshold))
+    largest = n * 100 // threshold if n <= high else high
+    return (n + largest) * (100 - threshold) // (100 + threshold)
 
 
-def signatures(values: np.ndarray, band: int) -> tuple[np.ndarray, int]:
-    """Signatures of a set under `band`, and how many of them a partner shares at least."""
-    k, n = partitions(band)
-    salt = mix(np.array([band + 1], np.uint64))[0]
-    spread = mix(values ^ salt)
-    place = (spread >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)
-    order = np.argsort(place, kind="stable")
-    place = place[order]
-    first = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
-    own = mix(np.add.reduceat(mix(spread[order]), first) + mix(place[first] + salt))
-    if len(own) > k:
-        return own, len(own) - k
-    return np.concatenate([own, mix(spread + np.uint64(1))]), 1
-
-
-def _signed(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, int]]:
-    """(e, signatures, need) of each set in each of its two pairs of bands; see signature_rows."""
-    low, _ = bands()
-    for batch in batches:
-        column = batch.column("shingles")
-        values = column.values.to_numpy(zero_copy_only=False).view(np.uint64)
-        at, keys = column.offsets.to_numpy(), batch.column("d").to_numpy()
-        for i in range(batch.num_rows):
-            own = values[at[i] : at[i + 1]]
-            band = int(np.searchsorted(low, len(own), side="right")) - 1
-            for upper in (0, 1) if band else (0,):
-                yield keys[i] | upper, *signatures(own, band - upper)
-
-
-def signature_rows(sets: DataFrame) -> DataFrame:
-    """sig and e: the set's key, its lowest bit telling which of the two bands it is in."""
+@lru_cache(maxsize=4096)
+def parts(band: int, threshold: int = THRESHOLD) -> int:
+    """First-level partitions: the fewest for which most sets have signatures enough by the subsets alone."""
+    low, high = (int(x[band]) for x in bands(threshold))
+    if low > 1 << 20:  # sets of this size are not expected; the share stays that of smaller ones
+        return low * 3 // 10
 
-    def signed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sig, key, size = [], [], []
+    def margin(n: int, first: int) -> float:
+        filled = 1 - math.exp(-n / first / SECOND)
+        share = sum(math.comb(SECOND, j) * filled**j * (1 - filled) ** (SECOND - j) for j in range(LOOSE + 1, SECOND + 1))
+        return first * share - 2.5 * math.sqrt(first * share * (1 - share)) - most_apart(n, band, threshold) // (LOOSE + 1) - 1
 
-        def rows() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(sig).view(np.int64)), pa.array(np.repeat(np.array(key, np.int64), size))], ["sig", "e"])
+    # Steps of a hundredth: the exact value does not matter.
+    for first in range(max(1, low // 5), low + 1, max(1, low // 100)):
+        if margin(low, first) >= 0 and margin(high, first) >= 0:
+            return first
+    return max(1, low * 3 // 10)
 
-        for e, found, _ in _signed(batches):
-            sig.append(found)
-            key.append(e)
-            size.append(len(found))
-            if len(key) >= 1000:
-                yield rows()
-                sig, key, size = [], [], []
-        if key:
-            yield rows()
 
-    return sets.select("d", "shingles").mapInArrow(signed, "sig bigint, e bigint")
+SUBSETS = list(itertools.combinations(range(SECOND), SECOND - LOOSE))
 
 
-def needs(sets: DataFrame) -> DataFrame:
-    """e and need: signatures that it shares with each partner, at least."""
+def signatures(values: np.ndarray, band: int, threshold: int = THRESHOLD) -> tuple[np.ndarray, int]:
+    """Signatures of a set under `band`, and how many of them a partner shares at least."""
+    first = parts(band, threshold)
+    salt = mix(np.array([band + 1], np.uint64))[0]
+    spread = mix(values ^ salt)
+    cell = ((spread >> np.uint64(32)) * np.uint64(first) >> np.uint64(32)) * np.uint64(SECOND) + ((spread & np.uint64(0xFFFFFFFF)) * np.uint64(SECOND) >> np.uint64(32))
+    order = np.argsort(cell, kind="stable")
+    cell = cell[order].astype(np.int64)
+    start = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
+    sums, filled = np.zeros(first * SECOND, np.uint64), np.zeros(first * SECOND, bool)
+    sums[cell[start]] = np.add.reduceat(mix(spread[order]), start)
+    filled[cell[start]] = True
+    sums, filled = sums.reshape(first, SECOND), filled.reshape(first, SECOND)
+    names = np.arange(1, first + 1, dtype=np.uint64) * np.uint64(len(SUBSETS))
+    own = [mix(sums[:, s].sum(axis=1) + mix(names + np.uint64(j) ^ salt))[filled[:, s].any(axis=1)] for j, s in enumerate(map(list, SUBSETS))]
+    need = int((filled.sum(axis=1) > LOOSE).sum()) - most_apart(len(values), band, threshold) // (LOOSE + 1)
+    if need >= 1:
+        return np.concatenate(own), need
+    return np.concatenate([*own, mix(spread + np.uint64(1))]), 1
+
+
+def signature_lists(sets: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+    """e (the set's key, its lowest bit telling which of the two bands), need, total and sig, a list."""
+    low, _ = bands(threshold)
 
-    def needed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def signed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(e, need) for e, _, need in _signed([batch])]
-            yield pa.RecordBatch.from_arrays([pa.array([e for e, _ in rows], pa.int64()), pa.array([n for _, n in rows], pa.int64())], ["e", "need"])
-
-    return sets.select("d", "shingles").mapInArrow(needed, "e bigint, need bigint")
-
-
-def with_enough(rows: DataFrame, need: DataFrame) -> DataFrame:
-    """Rows of the sets that have as many signatures left as a link needs."""
-    enough = rows.groupBy("e").agg(F.count("*").alias("n")).join(need, "e").filter("n >= need")
-    return rows.join(enough.select("e"), "e", "left_semi")
-
-
-def may_be_linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+            column = batch.column("shingles")
+            values = column.values.to_numpy(zero_copy_only=False).view(np.uint64)
+            at, keys = column.offsets.to_numpy(), batch.column("d").to_numpy()
+            for start in range(0, batch.num_rows, 500):
+                key, need, found = [], [], []
+                for i in range(start, min(start + 500, batch.num_rows)):
+                    own = values[at[i] : at[i + 1]]
+                    band = int(np.searchsorted(low, len(own), side="right")) - 1
+                    for upper in (0, 1) if band else (0,):
+                        sig, least = signatures(own, band - upper, threshold)
+                        key.append(keys[i] | upper)
+                        need.append(least)
+                        found.append(sig)
+                size = [len(x) for x in found]
+                columns = [pa.array(key, pa.int64()), pa.array(need, pa.int32()), pa.array(size, pa.int32()), _lists(np.concatenate(found), np.concatenate([[0], np.cumsum(size)]))]
+                yield pa.RecordBatch.from_arrays(columns, ["e", "need", "total", "sig"])
+
+    return sets.select("d", "shingles").mapInArrow(signed, "e bigint, need int, total int, sig array<bigint>")
+
+
+def across(held: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """e, need, total, sig, d, c: signatures that hold several components, of sets with enough of them for a link."""
+    own = held.select("e", "need", "total", "sig", _set_of("e").alias("d"))
+    own = own.withColumn("c", F.col("d")) if labels is None else own.join(labels, "d")
+    rows = own.select("e", "need", "total", "d", "c", F.explode("sig").alias("sig"))
+    several = rows.groupBy("sig").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low <> high").select("sig")
+    left = rows.join(several, "sig", "left_semi").groupBy("e", "need", "total", "d", "c").agg(F.collect_list("sig").alias("sig"))
+    return left.filter(F.size("sig") >= F.col("need"))
+
+
+def star_pairs(active: DataFrame, i: int) -> DataFrame:
+    """Pairs (a, b): each set with the leader that most of its signatures have."""
+    rank = -F.size("sig") / F.col("total") if i == 0 else F.xxhash64("c", F.lit(i)).cast("double")
+    rows = active.select("d", "c", rank.alias("rank"), F.explode("sig").alias("sig"))
+    leader = rows.groupBy("sig").agg(F.min(F.struct("rank", F.xxhash64("d"), "c", "d")).alias("l"))
+    met = rows.join(leader, "sig").filter("c <> l.c").groupBy("d", F.col("l.d").alias("l")).agg(F.count("*").alias("n"))
+    best = met.groupBy("d").agg(F.max(F.struct("n", "l")).alias("best"))
+    return best.select(F.least("d", "best.l").alias("a"), F.greatest("d", "best.l").alias("b")).distinct()
+
+
+def _near(a, b, na, nb, apart, threshold: int):
+    """Do sizes and a lower bound of the difference allow a link? Numbers or arrays."""
+    return ((100 + threshold) * apart <= (100 - threshold) * (na + nb)) & (100 * na >= threshold * nb) & (100 * nb >= threshold * na)
+
+
+def may_be_linked(pairs: DataFrame, sets: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """Pairs (a, b) whose sketches allow a link."""
     left = sets.select(F.col("d").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("x"))
     right = sets.select(F.col("d").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("y"))
@@ -276,28 +315,23 @@ def may_be_linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     def close(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b, na, nb, x, y = (batch.column(c).to_pylist() for c in ("a", "b", "na", "nb", "x", "y"))
-            # Linked sets differ by (na + nb) (100 - t) / (100 + t) shingles at most.
-            keep = [i for i in range(len(a)) if (100 + THRESHOLD) * sketch_distance(x[i], y[i]) <= (100 - THRESHOLD) * (na[i] + nb[i])]
+            keep = [i for i in range(len(a)) if _near(a, b, na[i], nb[i], sketch_distance(x[i], y[i]), threshold)]
             yield pa.RecordBatch.from_arrays([pa.array([c[i] for i in keep], pa.int64()) for c in (a, b)], ["a", "b"])
 
-    sized = (100 * F.col("na") >= THRESHOLD * F.col("nb")) & (100 * F.col("nb") >= THRESHOLD * F.col("na"))
-    return pairs.join(left, "a").join(right, "b").filter(sized).mapInArrow(close, "a bigint, b bigint").distinct()
+    return pairs.join(left, "a").join(right, "b").mapInArrow(close, "a bigint, b bigint").distinct()
 
 
-def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def linked(close: DataFrame, sets: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """Of the pairs (a, b), those whose whole sets are similar enough."""
-    # Written first, so that the joins are planned by the size of what the sketches left: if that
-    # is small, only the sets of these pairs move.
-    close = materialize(may_be_linked(pairs, sets))
     ids = close.select(F.col("a").alias("d")).union(close.select("b"))
     wanted = sets.select("d", "shingles").join(ids, "d", "left_semi")
     both = F.size(F.array_intersect("x", "y"))
-    similar = 100 * both >= THRESHOLD * (F.size("x") + F.size("y") - both)
+    similar = 100 * both >= threshold * (F.size("x") + F.size("y") - both)
     rows = close.join(wanted.select(F.col("d").alias("a"), F.col("shingles").alias("x")), "a").join(wanted.select(F.col("d").alias("b"), F.col("shingles").alias("y")), "b")
     return rows.filter(similar).select("a", "b").distinct()
 
 
-def components(labels: DataFrame, links: DataFrame) -> DataFrame:
+def components(labels: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
     """d, c after merging along the links (a, b): each round takes the least label of a
     component's neighbours, then follows labels once more."""
     edges = links.select(F.col("a").alias("d"), F.col("b").alias("e")).union(links.select("b", "a"))
@@ -306,122 +340,163 @@ def components(labels: DataFrame, links: DataFrame) -> DataFrame:
         lower = labels.join(near, "d", "left").select("d", F.col("c").alias("was"), F.least("c", F.coalesce("m", "c")).alias("c"))
         # A label that a member lowers is lowered for all that bear it.
         best = lower.groupBy("was").agg(F.min("c").alias("best"))
-        labels, before = materialize(lower.join(best, "was").select("d", "was", F.least("c", "best").alias("c"))), labels
+        labels = scratch.keep(lower.join(best, "was").select("d", "was", F.least("c", "best").alias("c")))
         if labels.filter("c <> was").isEmpty():
             return labels.select("d", "c")
         labels = labels.select("d", "c")
 
 
-def release(spark: SparkSession, tables: list[str]) -> None:
-    """Drop scratch tables, and the shuffle files of steps that nothing refers to any more."""
-    drop_tables(spark, tables)
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
-def similar_sets(sets: DataFrame) -> DataFrame:
+def blocks(active: DataFrame, sets: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """d, block of each set; and one row a block: block, low and high (components), members."""
+    rows = active.select("d", "c", F.explode("sig").alias("sig"))
+    size = rows.groupBy("sig").agg(F.count("*").alias("size"))
+    home = rows.join(size, "sig").groupBy("d", "c").agg(F.max(F.struct("size", "sig"))["sig"].alias("home"))
+    home = scratch.keep(home.join(sets.select("d", "n", "sketch"), "d"))
+    large = home.groupBy("c").agg(F.sum("n").alias("volume")).filter(F.col("volume") > BLOCK).select("c", F.lit(True).alias("large"))
+    key = F.when(F.col("large"), F.xxhash64(F.lit("component"), "c")).otherwise(F.xxhash64(F.lit("signature"), "home"))
+    keyed = home.join(large, "c", "left").withColumn("key", key).drop("large", "home")
+    volume = keyed.groupBy("key").agg(F.ceil(F.sum("n") / BLOCK).alias("chunks"))
+    chunk = F.pmod(F.xxhash64("d"), F.col("chunks"))
+    placed = scratch.keep(keyed.join(volume, "key").withColumn("block", F.xxhash64("key", chunk)).drop("key", "chunks"))
+    filled = placed.groupBy("block").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.collect_list(F.struct("d", "c", "n", "sketch")).alias("members"))
+    return placed.select("d", "block"), scratch.keep(filled)
+
+
+class _Members:
+    """A block's sets as arrays; sketches in one matrix for each length."""
+
+    def __init__(self, members: pa.StructArray):
+        self.d, self.c, self.n = (members.field(k).to_numpy(zero_copy_only=False) for k in ("d", "c", "n"))
+        sketches = members.field("sketch").to_pylist()
+        length = np.array([len(s) // 8 for s in sketches])
+        self.of = {int(x): np.flatnonzero(length == x) for x in np.unique(length)}
+        self.sketch = {x: np.frombuffer(b"".join(sketches[i] for i in at), np.uint64).reshape(len(at), x) for x, at in self.of.items()}
+
+
+def _close_in(x: _Members, y: _Members, threshold: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places i, j in the two blocks (in one: i < j) and the sketches' distance of pairs across components that may link."""
+    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    for lx, ix in x.of.items():
+        for ly, iy in y.of.items():
+            longs = min(lx, ly)
+            a, b = folded(x.sketch[lx], longs), folded(y.sketch[ly], longs)
+            for k, i in enumerate(ix):
+                at = np.flatnonzero(y.c[iy] != x.c[i])
+                if x is y:
+                    at = at[iy[at] > i]
+                apart = np.bitwise_count(a[k] ^ b[at]).sum(axis=1, dtype=np.int64)
+                j = iy[at]
+                keep = _near(None, None, x.n[i], y.n[j], apart, threshold)
+                if keep.any():
+                    out.append((np.full(int(keep.sum()), i), j[keep], apart[keep]))
+    return tuple(map(np.concatenate, zip(*out, strict=True))) if out else (np.zeros(0, np.int64),) * 3
+
+
+def _forest(ends: np.ndarray, order: np.ndarray) -> list[int]:
+    """Of the edges (pairs of component keys), taken in this order, those of a spanning forest."""
+    above: dict[int, int] = {}
+
+    def top(v: int) -> int:
+        while (u := above.get(v, v)) != v:
+            above[v] = above.get(u, u)
+            v = u
+        return v
+
+    chosen = []
+    for k in order.tolist():
+        a, b = (top(int(v)) for v in ends[k])
+        if a != b:
+            above[a] = b
+            chosen.append(k)
+    return chosen
+
+
+def block_pairs(active: DataFrame, sets: DataFrame, scratch: Scratch, spanning: bool, threshold: int = THRESHOLD) -> DataFrame:
+    """Pairs (a, b) across components that the sketches leave; spanning: of those of two blocks, only a spanning forest."""
+    placed, filled = blocks(active, sets, scratch)
+    rows = active.select("d", "c", F.explode("sig").alias("sig")).join(placed, "d")
+    met = rows.groupBy("sig", "block").agg(F.min("c").alias("low"), F.max("c").alias("high"))
+    # Two different pairs of extremes, or one that is no single component.
+    first, second = met.select("sig", *[F.col(k).alias(f"{k}1") for k in ("block", "low", "high")]), met.select("sig", *[F.col(k).alias(f"{k}2") for k in ("block", "low", "high")])
+    pairs = first.join(second, "sig").filter("block1 < block2 AND NOT (low1 = high1 AND low2 = high2 AND low1 = low2)").select("block1", "block2").distinct()
+    one, two = filled.select(F.col("block").alias("block1"), F.col("members").alias("x")), filled.select(F.col("block").alias("block2"), F.col("members").alias("y"))
+    within = filled.filter("low <> high").select(F.col("members").alias("x"), F.lit(None).cast(filled.schema["members"].dataType).alias("y"))
+    todo = pairs.join(one, "block1").join(two, "block2").select("x", "y").union(within)
+
+    def compared(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = [], []
+            for k in range(batch.num_rows):
+                x = _Members(batch.column("x")[k].values)
+                y = _Members(batch.column("y")[k].values) if batch.column("y")[k].is_valid else x
+                i, j, apart = _close_in(x, y, threshold)
+                if spanning and len(i):
+                    chosen = _forest(np.stack([x.c[i], y.c[j]], axis=1), np.argsort(apart - (x.n[i] + y.n[j]) / 8, kind="stable"))
+                    i, j = i[chosen], j[chosen]
+                a.append(np.minimum(x.d[i], y.d[j]))
+                b.append(np.maximum(x.d[i], y.d[j]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v) if v else np.zeros(0, np.int64), pa.int64()) for v in (a, b)], ["a", "b"])
+
+    return todo.mapInArrow(compared, "a bigint, b bigint").distinct()
+
+
+def similar_sets(sets: DataFrame, scratch: Scratch, threshold: int = THRESHOLD) -> DataFrame:
     """d, c: the component of every set that has a link (sets without one may be left out)."""
-    spark = sets.sparkSession
-    need = materialize(needs(sets))
-    rows = signature_rows(sets).select("*", F.count("*").over(Window.partitionBy("sig")).alias("n")).filter("n > 1").drop("n")
-    members = materialize(with_enough(rows, need).withColumn("d", _set_of("e")))
-    release(spark, [])
-
-    def active_rows() -> DataFrame:
-        """Rows of signatures with several components, of the sets that a link across is possible for."""
-        own = members.join(labels, "d")
-        several = own.groupBy("sig").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low <> high")
-        return with_enough(own.join(several.select("sig"), "sig", "left_semi"), need)
-
-    labels = members.select("d", F.col("d").alias("c")).distinct()
+    signed = scratch.keep(signature_lists(sets, threshold))
+    active = scratch.keep(across(signed, None))
+    labels = active.select("d", F.col("d").alias("c")).distinct()
     for i in range(STARS):
-        rows = (members.join(labels, "d") if i == 0 else active_rows()).select("sig", "d", "c")
-        leader = F.min(F.struct(F.xxhash64("c", F.lit(i)).alias("h"), "c", "d")).over(Window.partitionBy("sig"))
-        met = rows.withColumn("l", leader).filter("c <> l.c").groupBy("c", F.col("l.c").alias("lc")).agg(F.count("*").alias("n"), F.min(F.struct("d", F.col("l.d").alias("ld"))).alias("pair"))
-        best = met.withColumn("k", F.row_number().over(Window.partitionBy("c").orderBy(F.desc("n"), "lc"))).filter(F.col("k") <= LEADERS)
-        pairs = best.select(F.least("pair.d", "pair.ld").alias("a"), F.greatest("pair.d", "pair.ld").alias("b")).distinct()
-        found = materialize(linked(pairs, sets))
+        close = scratch.keep(may_be_linked(star_pairs(active, i), sets, threshold))
+        found = scratch.keep(linked(close, sets, threshold))
         if found.isEmpty():
             break
-        labels = components(labels, found)
-        release(spark, [])
-
-    tested = found.limit(0)
-    for i, (width, common) in enumerate(ROUNDS):
-        active = active_rows()
-        rank = F.row_number().over(Window.partitionBy("sig", "c").orderBy("e"))
-        active = materialize(active.withColumn("r", rank).select("sig", "d", "c", "r"))
-        met = active.filter("r = 1").select("sig", F.col("c").alias("c1"))
-        met = met.join(met.withColumnRenamed("c1", "c2"), "sig").filter("c1 < c2")
-        # Two single sets have been compared in the first round.
-        close = materialize(components_may_be_linked(met.select("c1", "c2").distinct(), labels, sets, least=1 if i == 0 else 3))
-        met = met.join(close, ["c1", "c2"])
-        if common is not None:
-            met = met.withColumn("k", F.row_number().over(Window.partitionBy("c1", "c2").orderBy("sig"))).filter(F.col("k") <= common).drop("k")
-        rows = active if width is None else active.filter(F.col("r") <= width)
-        left = rows.select("sig", F.col("d").alias("a"), F.col("c").alias("c1"))
-        right = rows.select("sig", F.col("d").alias("b"), F.col("c").alias("c2"))
-        pairs = met.join(left, ["sig", "c1"]).join(right, ["sig", "c2"]).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        pairs = materialize(pairs.join(tested, ["a", "b"], "left_anti"))
-        tested = tested.union(pairs)
-        found = materialize(linked(pairs, sets))
+        labels = components(labels, found, scratch)
+        active = scratch.keep(across(active.drop("d", "c"), labels))
+        scratch.forget_shuffles()
+    for spanning in (True, False):
+        close = scratch.keep(block_pairs(active, sets, scratch, spanning, threshold))
+        if close.isEmpty():
+            break
+        found = scratch.keep(linked(close, sets, threshold))
         if not found.isEmpty():
-            labels = components(labels, found)
-        release(spark, [])
+            labels = components(labels, found, scratch)
+            active = scratch.keep(across(active.drop("d", "c"), labels))
+        scratch.forget_shuffles()
     return labels
 
 
-def components_may_be_linked(pairs: DataFrame, labels: DataFrame, sets: DataFrame, least: int = 1) -> DataFrame:
-    """Pairs (c1, c2) of components of which some members may be linked, by sizes and sketches.
-
-    least: members that the two have together, at least.
-    """
-    every = labels.join(sets.select("d", "n", "folded"), "d").groupBy("c").agg(
-        F.min("n").alias("low"), F.max("n").alias("high"), F.count("*").alias("m"),
-        F.array(*[F.bit_and(F.col("folded")[i]) for i in range(FOLDED)]).alias("all"),
-        F.array(*[F.bit_or(F.col("folded")[i]) for i in range(FOLDED)]).alias("any"),
-    )
-    side = lambda i: every.select(F.col("c").alias(f"c{i}"), *[F.col(x).alias(f"{x}{i}") for x in ("low", "high", "m", "all", "any")])
-    rows = pairs.join(side(1), "c1").join(side(2), "c2").filter(F.col("m1") + F.col("m2") >= least)
-    # Odd in all of one and even in all of the other.
-    apart = lambda x, y: F.zip_with(x, y, lambda a, b: F.bit_count(a.bitwiseAND(F.bitwise_not(b))))
-    differ = F.aggregate(F.concat(apart("all1", "any2"), apart("all2", "any1")), F.lit(0), lambda t, x: t + x)
-    fits = (100 * F.col("high1") >= THRESHOLD * F.col("low2")) & (100 * F.col("high2") >= THRESHOLD * F.col("low1"))
-    near = (100 + THRESHOLD) * differ <= (100 - THRESHOLD) * (F.col("high1") + F.col("high2"))
-    return rows.filter(fits & near).select("c1", "c2")
-
-
-def _set_of(e: str):
-    return F.col(e).bitwiseAND(F.lit(-2))
-
-
-def with_key(docs: DataFrame, text_col: str = "text") -> DataFrame:
+def with_key(docs: DataFrame, text_col: str = "text", size: int = WORDS) -> DataFrame:
     """docs with _d (the key of the row's set) and _n (its size)."""
 
     def keyed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, text_col):
-                values, at = shingle_sets(*buffers(part.column(part.schema.get_field_index(text_col))))
+                values, at = shingle_sets(*buffers(part.column(part.schema.get_field_index(text_col))), size)
                 yield part.append_column("_d", pa.array(set_keys(values, at))).append_column("_n", pa.array(np.diff(at)))
 
     return docs.mapInArrow(keyed, StructType([*docs.schema.fields]).add("_d", LongType()).add("_n", LongType()))
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id for every document."""
-    return labelled(docs, id_col, text_col).select("doc_id", "n_shingles", "component_id")
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
+    """doc_id, n_shingles, component_id for every document; settings: as those of `labelled`."""
+    return labelled(docs, id_col, text_col, **settings).select("doc_id", "n_shingles", "component_id")
 
 
-def labelled(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id, d (the set's key) and c (its component's, ids or not) for every document."""
-    spark = docs.sparkSession
+def labelled(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = WORDS, threshold: int = THRESHOLD, exact: bool = False) -> DataFrame:
+    """doc_id, n_shingles, component_id, d (the set's key) and c (its component's, ids or not) for every document.
+
+    size: words of a shingle; threshold: similarity in per cent; exact: step 1 counts all shingles.
+    """
+    scratch = Scratch(docs.sparkSession)
     own = picked(docs, doc_id=id_col, text=text_col)
-    profile = materialize(profiles(own))
-    chosen = may_link(profile).select(F.col("doc_id").alias("chosen_id")).distinct()
-    sets = materialize(full_sets(own.join(chosen.hint("shuffle_hash"), own["doc_id"].eqNullSafe(F.col("chosen_id")), "left_semi")))
-    release(spark, [])
-    labels = similar_sets(sets)
-    release(spark, scratch_paths(sets))
+    profile = scratch.keep(profiles(own, size, threshold, exact))
+    chosen = scratch.keep(may_link(profile, threshold, exact).select(F.col("doc_id").alias("chosen_id")).distinct())
+    scratch.forget_shuffles()
+    few = chosen.count() <= BROADCAST_IDS
+    wanted = own.join(F.broadcast(chosen) if few else chosen.hint("shuffle_hash"), own["doc_id"].eqNullSafe(F.col("chosen_id")), "left_semi")
+    sets = scratch.keep(full_sets(wanted, size))
+    labels = similar_sets(sets, scratch, threshold)
+    labels = scratch.only(labels, profile)
     rows = profile.select("doc_id", "n_shingles", "d").join(labels, "d", "left").withColumn("c", F.coalesce("c", "d"))
     least = rows.groupBy("c").agg(F.min("doc_id").alias("least"))
     component = F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("doc_id"))
