@@ -59,6 +59,12 @@ class Scratch:
         self.paths += scratch_paths(out)
         return out
 
+    def drop(self, df: DataFrame) -> None:
+        """Remove the tables that df reads."""
+        gone = scratch_paths(df)
+        drop_tables(self.spark, gone)
+        self.paths = [p for p in self.paths if p not in gone]
+
     def only(self, last: DataFrame, *others: DataFrame) -> DataFrame:
         """`last`, with all tables removed but what it and the others read."""
         wanted = {p for df in (last, *others) for p in scratch_paths(df)}
@@ -78,6 +84,12 @@ def picked(docs: DataFrame, **columns: str) -> DataFrame:
     return docs.select(*[docs[old].alias(new) for new, old in columns.items()])
 
 
+def numbered(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """docs with columns c0, c1, ... and the new name of each old one: an operator's own columns can't clash with them."""
+    at = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    return docs.toDF(*at.values()), at
+
+
 def text_or_empty(text: Column) -> Column:
     return F.coalesce(text, F.lit(""))
 

@@ -12,7 +12,8 @@ representatives of their copies. For the other links:
    `SAMPLE` to 2 `SAMPLE` a set (all of them in smaller sets; every set also counts what partners
    of at least its own size by the threshold sample), and a set goes aside only if the chance of
    so few shared ones is under e^-`ASIDE` for a linked set (Chernoff's bound). With exact=True
-   all shingles are counted and no chance is left.
+   all shingles are counted and no chance is left. Of the sets that stay all shingles are
+   counted among themselves, and those with too few shared ones go for sure.
 2. PartEnum. Sizes fall into bands whose upper end is low / threshold, so that links stay in a
    band or join it to the next; a set has the signatures of its own band and of the one below.
    For a band the domain is split by hash into `parts` first-level partitions, each of those
@@ -282,6 +283,20 @@ def signature_lists(sets: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     return sets.select("d", "shingles").mapInArrow(signed, "e bigint, need int, total int, sig array<bigint>")
 
 
+def shared_sets(sets: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+    """d of the sets of which others hold the threshold's share of shingles, exactly."""
+    rows = sets.select("d", "n", F.explode("shingles").alias("s"))
+    alone = rows.groupBy("s").agg(F.min(F.struct("d", "n")).alias("one"), F.max("d").alias("other")).filter("one.d = other").groupBy("one.d", "one.n").agg(F.count("*").alias("alone"))
+    poor = alone.filter(100 * (F.col("n") - F.col("alone")) < threshold * F.col("n"))
+    return sets.select("d").distinct().join(poor, "d", "left_anti")
+
+
+def only_of(rows: DataFrame, ids: DataFrame, on) -> DataFrame:
+    """The rows of these ids: by a broadcast if the ids, which are counted, are few, else by a shuffle."""
+    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return rows.join(F.broadcast(ids) if few else ids.hint("shuffle_hash"), on, "left_semi")
+
+
 def across(held: DataFrame, labels: DataFrame | None) -> DataFrame:
     """e, need, total, sig, d, c: signatures that hold several components, of sets with enough of them for a link."""
     own = held.select("e", "need", "total", "sig", _set_of("e").alias("d"))
@@ -332,18 +347,25 @@ def linked(close: DataFrame, sets: DataFrame, threshold: int = THRESHOLD) -> Dat
 
 
 def components(labels: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
-    """d, c after merging along the links (a, b): each round takes the least label of a
-    component's neighbours, then follows labels once more."""
-    edges = links.select(F.col("a").alias("d"), F.col("b").alias("e")).union(links.select("b", "a"))
+    """d, c after merging along the links (a, b).
+
+    Only components that a link joins take part: each round gives them the least label of their
+    neighbours, then follows labels once more.
+    """
+    end = lambda k: labels.select(F.col("d").alias(k), F.col("c").alias(f"{k}c"))
+    joined = links.join(end("a"), "a").join(end("b"), "b").filter("ac <> bc").select("ac", "bc").distinct()
+    edges = scratch.keep(joined.select(F.col("ac").alias("v"), F.col("bc").alias("w")).union(joined.select("bc", "ac")))
+    merged = edges.select("v", F.col("v").alias("m")).distinct()
     while True:
-        near = edges.join(labels.select(F.col("d").alias("e"), "c"), "e").groupBy("d").agg(F.min("c").alias("m"))
-        lower = labels.join(near, "d", "left").select("d", F.col("c").alias("was"), F.least("c", F.coalesce("m", "c")).alias("c"))
+        near = edges.join(merged.select(F.col("v").alias("w"), "m"), "w").groupBy("v").agg(F.min("m").alias("near"))
+        lower = merged.join(near, "v").select("v", F.col("m").alias("was"), F.least("m", "near").alias("m"))
         # A label that a member lowers is lowered for all that bear it.
-        best = lower.groupBy("was").agg(F.min("c").alias("best"))
-        labels = scratch.keep(lower.join(best, "was").select("d", "was", F.least("c", "best").alias("c")))
-        if labels.filter("c <> was").isEmpty():
-            return labels.select("d", "c")
-        labels = labels.select("d", "c")
+        best = lower.groupBy("was").agg(F.min("m").alias("best"))
+        step = scratch.keep(lower.join(best, "was").select("v", "was", F.least("m", "best").alias("m")))
+        merged = step.select("v", "m")
+        if step.filter("m <> was").isEmpty():
+            break
+    return scratch.keep(labels.join(merged, F.col("c") == F.col("v"), "left").select("d", F.coalesce("m", "c").alias("c")))
 
 
 def blocks(active: DataFrame, sets: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
@@ -444,6 +466,8 @@ def similar_sets(sets: DataFrame, scratch: Scratch, threshold: int = THRESHOLD)
     """d, c: the component of every set that has a link (sets without one may be left out)."""
     signed = scratch.keep(signature_lists(sets, threshold))
     active = scratch.keep(across(signed, None))
+    scratch.drop(signed)
+    scratch.forget_shuffles()
     labels = active.select("d", F.col("d").alias("c")).distinct()
     for i in range(STARS):
         close = scratch.keep(may_be_linked(star_pairs(active, i), sets, threshold))
@@ -451,7 +475,8 @@ def similar_sets(sets: DataFrame, scratch: Scratch, threshold: int = THRESHOLD)
         if found.isEmpty():
             break
         labels = components(labels, found, scratch)
-        active = scratch.keep(across(active.drop("d", "c"), labels))
+        active, before = scratch.keep(across(active.drop("d", "c"), labels)), active
+        scratch.drop(before)
         scratch.forget_shuffles()
     for spanning in (True, False):
         close = scratch.keep(block_pairs(active, sets, scratch, spanning, threshold))
@@ -460,7 +485,8 @@ def similar_sets(sets: DataFrame, scratch: Scratch, threshold: int = THRESHOLD)
         found = scratch.keep(linked(close, sets, threshold))
         if not found.isEmpty():
             labels = components(labels, found, scratch)
-            active = scratch.keep(across(active.drop("d", "c"), labels))
+            active, before = scratch.keep(across(active.drop("d", "c"), labels)), active
+            scratch.drop(before)
         scratch.forget_shuffles()
     return labels
 
@@ -489,12 +515,15 @@ def labelled(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
     """
     scratch = Scratch(docs.sparkSession)
     own = picked(docs, doc_id=id_col, text=text_col)
-    profile = scratch.keep(profiles(own, size, threshold, exact))
-    chosen = scratch.keep(may_link(profile, threshold, exact).select(F.col("doc_id").alias("chosen_id")).distinct())
+    counted = scratch.keep(profiles(own, size, threshold, exact))
+    chosen = scratch.keep(may_link(counted, threshold, exact).select(F.col("doc_id").alias("chosen_id")).distinct())
+    profile = scratch.keep(counted.select("doc_id", "n_shingles", "d"))
+    scratch.drop(counted)
+    scratch.forget_shuffles()
+    full = scratch.keep(full_sets(only_of(own, chosen, own["doc_id"].eqNullSafe(F.col("chosen_id"))), size))
+    sets = scratch.keep(only_of(full, scratch.keep(shared_sets(full, threshold)), "d"))
+    scratch.drop(full)
     scratch.forget_shuffles()
-    few = chosen.count() <= BROADCAST_IDS
-    wanted = own.join(F.broadcast(chosen) if few else chosen.hint("shuffle_hash"), own["doc_id"].eqNullSafe(F.col("chosen_id")), "left_semi")
-    sets = scratch.keep(full_sets(wanted, size))
     labels = similar_sets(sets, scratch, threshold)
     labels = scratch.only(labels, profile)
     rows = profile.select("doc_id", "n_shingles", "d").join(labels, "d", "left").withColumn("c", F.coalesce("c", "d"))
