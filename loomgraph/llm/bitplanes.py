@@ -22,7 +22,6 @@ import os
 import struct
 import zlib
 from array import array
-from collections import deque
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -120,20 +119,27 @@ class _Words(dict):
     def __init__(self) -> None:
         super().__init__()
         self.new: set[bytes] = set()
+        self.missed = False
 
     def __missing__(self, word: bytes) -> bytes:
         self.new.add(word)
+        self.missed = True
         return b""
 
 
 @lru_cache(maxsize=2)
-def _worker(path: str) -> tuple[Tokenizer, _Words, np.ndarray]:
-    """The tokenizer, the words known so far, and which ids end a pre-token."""
+def _worker(path: str) -> tuple[Tokenizer, _Words, np.ndarray, bool]:
+    """The tokenizer, the words known so far, which ids end a pre-token, and whether case is folded."""
     tokenizer = Tokenizer.from_file(path)
     vocabulary = tokenizer.get_vocab()
     ends = np.zeros(max(vocabulary.values()) + 1, bool)
     ends[[i for piece, i in vocabulary.items() if piece.endswith("</w>")]] = True
-    return tokenizer, _Words(), ends
+    folds = tokenizer.normalizer is not None and tokenizer.normalizer.normalize_str("ABCXYZ") == "abcxyz"
+    return tokenizer, _Words(), ends, folds
+
+
+#: Words that are encoded as one text.
+TOGETHER = 200
 
 
 def _learn(words: list[bytes], tokenizer: Tokenizer, ends: np.ndarray) -> Iterator[tuple[bytes, bytes]]:
@@ -146,36 +152,57 @@ def _learn(words: list[bytes], tokenizer: Tokenizer, ends: np.ndarray) -> Iterat
     for w in words:
         s = w.decode()
         (plain if s.isalpha() and max(s) < "\u0250" else rest).append((w, s))
-    if plain:
-        ids = np.array(tokenizer.encode_batch_fast([" ".join(s for _, s in plain)], add_special_tokens=False)[0].ids, "<u4")
-        cuts = 4 * (np.flatnonzero(ends[ids]) + 1)
-        if len(cuts) == len(plain) and cuts[-1] == 4 * len(ids):
-            raw, start = ids.tobytes(), 0
-            for (w, _), end in zip(plain, cuts.tolist(), strict=True):
-                yield w, raw[start:end]
-                start = end
+    groups = [plain[i : i + TOGETHER] for i in range(0, len(plain), TOGETHER)]
+    for group, coded in zip(groups, tokenizer.encode_batch_fast([" ".join(s for _, s in g) for g in groups], add_special_tokens=False), strict=True):
+        ids = np.array(coded.ids, "<u4")
+        cuts = (4 * (np.flatnonzero(ends[ids]) + 1)).tolist()
+        if len(cuts) == len(group) and cuts[-1] == 4 * len(ids):
+            raw = ids.tobytes()
+            yield from ((w, raw[a:b]) for (w, _), a, b in zip(group, [0, *cuts], cuts, strict=False))
         else:
-            rest += plain
+            rest += group
     coded = tokenizer.encode_batch_fast([s for _, s in rest], add_special_tokens=False)
     yield from ((w, array("I", e.ids).tobytes()) for (w, _), e in zip(rest, coded, strict=True))
 
 
+_BYTES = np.arange(256)
+_LETTER = ((_BYTES >= 65) & (_BYTES <= 90)) | ((_BYTES >= 97) & (_BYTES <= 122))
+_STOP = np.isin(_BYTES, list(b".,;:!?"))
+
+
+def _words_of(texts: list[bytes], folds: bool) -> list[list[bytes]]:
+    """The words of each text, cut at ASCII white space and between a letter and a stop, where
+    pre-tokens end; in lower case if the tokenizer folds it (but for special tokens, which it looks for first)."""
+    if folds:
+        texts = [t if b"<|" in t else t.lower() for t in texts]
+    data = np.frombuffer(b"\n".join(texts), np.uint8)
+    at = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])
+    cuts = np.flatnonzero(_LETTER[data[:-1]] & _STOP[data[1:]]) + 1
+    raw, at = np.insert(data, cuts, 32).tobytes(), at + np.searchsorted(cuts, at)
+    return [raw[a:b].split() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+
+
 def encode_words(texts: list[bytes], path: str) -> list[bytes]:
     """Ids (little-endian u32) of each UTF-8 text.
 
     The tokenizer drops white space and no token reaches across it, so each word between
     ASCII spaces is encoded by the library once and looked up afterwards.
     """
-    tokenizer, known, ends = _worker(path)
-    split = [t.split() for t in texts]
-    for tokens in split:
-        deque(map(known.__getitem__, tokens), maxlen=0)
+    tokenizer, known, ends, folds = _worker(path)
+    split = _words_of(texts, folds)
+    out, again = [], []
+    for i, tokens in enumerate(split):
+        out.append(b"".join(map(known.__getitem__, tokens)))
+        if known.missed:
+            again.append(i)
+            known.missed = False
     if known.new:
         new = list(known.new)
         for i in range(0, len(new), 20_000):
             known.update(_learn(new[i : i + 20_000], tokenizer, ends))
         known.new = set()
-    out = [b"".join(map(known.__getitem__, tokens)) for tokens in split]
+    for i in again:
+        out[i] = b"".join(map(known.__getitem__, split[i]))
     if len(known) > CACHE:
         known.clear()
     return out
@@ -184,7 +211,7 @@ def encode_words(texts: list[bytes], path: str) -> list[bytes]:
 def write_ids(docs: DataFrame, path: str, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID) -> None:
     """Encode every document, in ascending id order, into segments under `path`.
 
-    Columns: part, seq (their order is the order of the ids) and payload. The texts are
+    Columns: part, seq (their order is the order of the ids), ids (how many) and payload. The texts are
     range-partitioned by id, so that one task holds one run of ids, and encoded afterwards.
     """
 
@@ -193,7 +220,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer_path: str, id_col: str = "do
 
         def closed() -> pa.RecordBatch:
             payload = pack_segment(held, np.frombuffer(b"".join(ids), "<u4"))
-            return pa.RecordBatch.from_arrays([pa.array([part_id], pa.int32()), pa.array([seq], pa.int32()), pa.array([payload], pa.binary())], ["part", "seq", "payload"])
+            return pa.RecordBatch.from_arrays([pa.array([part_id], pa.int32()), pa.array([seq], pa.int32()), pa.array([n], pa.int64()), pa.array([payload], pa.binary())], ["part", "seq", "ids", "payload"])
 
         end = struct.pack("<I", end_id)
         for batch in batches:
@@ -210,7 +237,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer_path: str, id_col: str = "do
             yield closed()
 
     rows = picked(docs, doc_id=id_col, text=text_col)
-    rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(segments, "part int, seq int, payload binary").write.option("compression", "none").parquet(path)
+    rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(segments, "part int, seq int, ids long, payload binary").write.option("compression", "none").parquet(path)
 
 
 def read_ids(spark, path: str) -> DataFrame:
@@ -240,15 +267,9 @@ def stored_ids(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", tex
     write_ids(docs, path, tokenizer_path, id_col, text_col)
     entries = read_ids(spark, path)
     # One row per segment of a million ids; parts first, so that each window holds one part or one row a part.
-    heads = spark.read.schema("part int, seq int, payload binary").parquet(path).select("part", "seq", _ids_in(F.col("payload")).alias("n"))
+    heads = spark.read.schema("part int, seq int, ids long").parquet(path).withColumnRenamed("ids", "n")
     in_part = heads.withColumn("before", F.sum("n").over(Window.partitionBy("part").orderBy("seq")) - F.col("n"))
     parts = heads.groupBy("part").agg(F.sum("n").alias("total"))
     parts = parts.select("part", (F.sum("total").over(Window.orderBy("part")) - F.col("total")).alias("part_start"))
     starts = in_part.join(parts, "part").select("part", "seq", (F.col("part_start") + F.col("before")).alias("offset"))
     return entries.join(starts, ["part", "seq"]).select("doc_id", (F.col("offset") + F.col("local_start")).alias("start"), "n_tokens", "ids_crc32")
-
-
-def _ids_in(payload):
-    """The u64 at byte 16 of a segment: its number of ids."""
-    backwards = F.reverse(F.split(F.regexp_replace(F.hex(F.substring(payload, 17, 8)), "(..)", "$1 "), " "))
-    return F.conv(F.array_join(backwards, ""), 16, 10).cast("long")
