@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructType
 
-from loomgraph.llm.common import buffers, drop_tables, materialize, range_hashes, scratch_paths, slices, words
+from loomgraph.llm.common import buffers, drop_tables, materialize, numbered, range_hashes, scratch_paths, slices, words
 
 OTHER = "(other)"
 MARGINS = ("source", "lang", "topic")
@@ -167,11 +167,16 @@ def rates_in_spark(cells: DataFrame, targets: Mapping[str, DataFrame], share: fl
     return ratio.select(*names, least(scale).alias("_rate")).union(cells.filter("NOT coalesce(tokens, 0) > 0").select(*names, F.lit(1.0)))
 
 
-def calibrated(docs: DataFrame, targets: Targets | None = None, share: float = 0.5, power: float = 0.5, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", seed: int = 1) -> DataFrame:
-    """docs with _source, _lang, _topic, _tokens, _rate and _kept."""
-    spark = docs.sparkSession
-    rows = _categories(with_topic(docs, text_col=text_col), source_col, lang_col)
-    cells = observed(_categories(with_topic(docs.select(*[F.col(f"`{c}`") for c in dict.fromkeys([source_col, lang_col, text_col])]), text_col=text_col), source_col, lang_col))
+#: The columns that `calibrated` adds.
+OWN = ("_source", "_lang", "_topic", "_tokens", "_rate", "_kept")
+
+
+def _calibrated(rows: DataFrame, at: Mapping[str, str], targets: Targets | None = None, topics: Mapping[str, list[str]] = TOPICS, share: float = 0.5, power: float = 0.5, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", seed: int = 1) -> DataFrame:
+    """The numbered rows and OWN."""
+    spark = rows.sparkSession
+    ident, text, source, lang = (at[c] for c in (id_col, text_col, source_col, lang_col))
+    cells = observed(_categories(with_topic(rows.select(*dict.fromkeys([source, lang, text])), topics, text), source, lang))
+    rows = _categories(with_topic(rows, topics, text), source, lang)
     if targets:
         rows = named(rows, targets)
         cells = observed(named(cells, targets).withColumnRenamed("tokens", "_tokens"))
@@ -187,10 +192,17 @@ def calibrated(docs: DataFrame, targets: Targets | None = None, share: float = 0
         goals = {m: spark.createDataFrame(list(targets[m].items()), "category string, target double") if targets else materialize(tempered(cells, m, power)) for m in MARGINS}
         table = materialize(rates_in_spark(cells, goals, share))
     out = rows.join(table, names, "left")
-    number = (F.xxhash64(F.lit(seed), F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).bitwiseAND(F.lit((1 << 53) - 1)) / F.lit(float(1 << 53)))
+    number = F.xxhash64(F.lit(seed), F.col(ident), F.col(text)).bitwiseAND(F.lit((1 << 53) - 1)) / F.lit(float(1 << 53))
     return out.withColumn("_kept", number < F.coalesce("_rate", F.lit(1.0)))
 
 
+def calibrated(docs: DataFrame, **options) -> DataFrame:
+    """docs with _source, _lang, _topic, _tokens, _rate and _kept, which replace columns of their names."""
+    rows, at = numbered(docs)
+    return _calibrated(rows, at, **options).select(*[F.col(new).alias(old) for old, new in at.items() if old not in OWN], *OWN)
+
+
 def mix(docs: DataFrame, **options) -> DataFrame:
     """The sampled documents, with their own columns."""
-    return calibrated(docs, **options).filter("_kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows, at = numbered(docs)
+    return _calibrated(rows, at, **options).filter("_kept").select(*[F.col(new).alias(old) for old, new in at.items()])

@@ -14,7 +14,7 @@ prior weights cover all documents.
 Defined results: a null or empty text has the features of an empty one; null hosts and paths
 form a group of their own; repeated rows count each time; without labels of both kinds the
 model gives every document a ratio of 1 and the global rate 0.5, and all are kept; an empty
-table gives an empty table; other columns pass through `classify` unchanged.
+table gives an empty table; other columns of any name but ADDED pass through `classify` unchanged.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.llm import quality_rules
-from loomgraph.llm.common import buffers, picked, range_hashes, slices, words
+from loomgraph.llm.common import buffers, materialize, numbered, picked, range_hashes, slices, words
 
 TRAIN_ROWS = 20_000
 #: Least posterior of a kept document.
@@ -161,7 +161,8 @@ def site_rates(rated: DataFrame, rate0: float) -> tuple[DataFrame, dict[str, flo
     rated: _host, _path, _ratio of all documents.
     """
     p = 1 / (1 + F.exp(-(F.col("_ratio") + math.log(rate0 / (1 - rate0)))))
-    paths = rated.groupBy("_host", "_path").agg(F.count("*").cast("double").alias("n_path"), F.sum(p).alias("good_path"))
+    # Written: all below reads these sums, not the texts.
+    paths = materialize(rated.groupBy("_host", "_path").agg(F.count("*").cast("double").alias("n_path"), F.sum(p).alias("good_path")))
     hosts = paths.groupBy("_host").agg(F.sum("n_path").alias("n_host"), F.sum("good_path").alias("good_host"))
     both = paths.join(hosts, "_host")
     total = hosts.agg(F.sum("n_host").alias("n"), F.sum("good_host").alias("good")).collect()[0]
@@ -171,20 +172,27 @@ def site_rates(rated: DataFrame, rate0: float) -> tuple[DataFrame, dict[str, flo
     return both, {"rate": rate, "k_host": k_host, "k_path": k_path}
 
 
+#: The columns that `classify` adds.
+ADDED = ("log_ratio", "host_rate", "path_rate", "p_quality", "kept")
+
+
 def classify(docs: DataFrame, model: Model, host_col: str = "source", path_cols: tuple[str, ...] = ("source", "lang"), text_col: str = "text", cut: float = CUT) -> DataFrame:
-    """docs with host_rate, path_rate, p_quality and kept; those four replace columns of their names."""
-    from loomgraph.llm.common import materialize
+    """docs with log_ratio, host_rate, path_rate, p_quality and kept, which replace columns of their names.
 
-    site = lambda c: F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("\0"))
+    Two passes over the texts: one sums each path's documents, which are few rows and are written;
+    the other judges each document by them.
+    """
+    rows, at = numbered(docs)
+    site = lambda c: F.coalesce(F.col(at[c]).cast("string"), F.lit("\0"))
     host, path = site(host_col).alias("_host"), F.concat_ws("/", *[site(c) for c in path_cols]).alias("_path")
-    first = with_ratio(docs.select(host, path, F.col(f"`{text_col}`").alias("text")), model)
+    first = with_ratio(rows.select(host, path, F.col(at[text_col]).alias("text")), model)
     rates, prior = site_rates(first.select("_host", "_path", "_ratio"), model.rate)
-    rates = materialize(rates)
     own = 1 / (1 + F.exp(-(F.col("_ratio") + math.log(model.rate / (1 - model.rate)))))
     host_rate = (F.col("good_host") - own + prior["k_host"] * prior["rate"]) / (F.col("n_host") - 1 + prior["k_host"])
     path_rate = (F.col("good_path") - own + prior["k_path"] * F.col("host_rate")) / (F.col("n_path") - 1 + prior["k_path"])
     inside = lambda c: F.least(F.greatest(c, F.lit(1e-4)), F.lit(1 - 1e-4))
-    out = with_ratio(docs.select("*", host, path), model, text_col).join(rates, ["_host", "_path"])
+    out = with_ratio(rows.select("*", host, path), model, at[text_col]).join(rates, ["_host", "_path"])
     out = out.withColumn("host_rate", inside(host_rate)).withColumn("path_rate", inside(path_rate))
     out = out.withColumn("p_quality", 1 / (1 + F.exp(-(F.col("_ratio") + _logit(F.col("path_rate"))))))
-    return out.withColumn("kept", F.col("p_quality") >= cut).drop("_host", "_path", "n_path", "good_path", "n_host", "good_host").withColumnRenamed("_ratio", "log_ratio")
+    out = out.withColumn("kept", F.col("p_quality") >= cut).withColumnRenamed("_ratio", "log_ratio")
+    return out.select(*[F.col(new).alias(old) for old, new in at.items() if old not in ADDED], *ADDED)

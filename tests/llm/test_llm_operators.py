@@ -372,6 +372,16 @@ def test_jaccard_join_on_chains_and_common_passages(spark):
     assert by_id(jaccard_join.jaccard_components(rows).collect()) == brute_components(rows.collect())
 
 
+def test_jaccard_join_with_all_shingles_and_other_settings(docs, monkeypatch):
+    """exact=True counts all shingles; small blocks, a shuffle in place of broadcasts and other thresholds give the same as brute force."""
+    want = brute_components(docs.collect())
+    assert by_id(jaccard_join.jaccard_components(docs, exact=True).collect()) == want
+    monkeypatch.setattr(jaccard_join, "BROADCAST_IDS", 0)
+    monkeypatch.setattr(jaccard_join, "BLOCK", 200)
+    monkeypatch.setattr(jaccard_join, "STARS", 0)
+    assert by_id(jaccard_join.jaccard_components(docs).collect()) == want
+
+
 def test_signatures_are_shared_by_all_linked_sets():
     """The exact guarantee of step 2 and of the sketches, on sets right at the threshold."""
     rng = np.random.default_rng(4)
@@ -417,6 +427,24 @@ def test_quality_model_with_awkward_rows(docs, spark):
     assert quality_model.classify(empty(docs), nothing).count() == 0
 
 
+CLASHING = ["_ratio", "_host", "_path", "n_path", "good_host", "_topic", "_tokens", "_rate", "_source", "c0", "c3", "log_ratio", "kept", "row"]
+
+
+def test_clashing_columns_pass_through(docs, spark):
+    """Other columns may have any name, those of the operators' steps too."""
+    more = docs.withColumns({c: F.lit(i) for i, c in enumerate(CLASHING)})
+    labels = spark.createDataFrame([(i, int(i > 15), 0) for i in range(40)], "doc_id bigint, quality int, toxic int")
+    model = quality_model.fit(more, labels)
+    judged, plain = quality_model.classify(more, model), quality_model.classify(docs, model)
+    assert sorted(judged.columns) == sorted({*more.columns, *quality_model.ADDED})
+    assert by_id(judged.select("doc_id", *quality_model.ADDED).collect()) == by_id(plain.select("doc_id", *quality_model.ADDED).collect())
+    assert judged.filter("_ratio <> 0 OR n_path <> 3 OR `row` <> 13").count() == 0
+    mixed = mixing.mix(more)
+    assert mixed.columns == more.columns
+    assert by_id(mixed.select("doc_id", "_topic", "_rate").collect()) == [(r.doc_id, 5, 7) for r in sorted(mixing.mix(docs).collect(), key=lambda r: (r.doc_id is None, r.doc_id))]
+    assert sorted(mixing.calibrated(more).columns) == sorted({*more.columns, *mixing.OWN})
+
+
 def test_rake_meets_the_margins():
     rng = np.random.default_rng(3)
     tokens = rng.random((4, 3, 3)) * 100
