@@ -108,7 +108,7 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, at - at[0]
 
 
-def slices(batch: pa.RecordBatch, text: str = "text", most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, text: str = "text", most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Runs of whole rows with about `most` bytes of text each (one long row may be more)."""
     column = batch.column(batch.schema.get_field_index(text))
     _, at = buffers(column)
