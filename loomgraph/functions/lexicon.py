@@ -10,104 +10,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Closed label and relation registries of the property graph.
-NODE_LABELS = """
-Chunk DocPage ExampleNotebook TestCase PythonModule PythonClass PythonFunction Parameter PortfolioMethod RiskMeasure ConstraintType
-Estimator ReportType PlotType Solver Concept AssetClass FactorModel MarketRegime BenchmarkIndex BacktestScenario OptimizationProblem
-""".split()
-RELATION_TYPES = """
-HAS_CHUNK MENTIONS DESCRIBES DEMONSTRATES VALIDATES IMPLEMENTS DECLARES HAS_PARAMETER USES SUPPORTS_RISK_MEASURE SUPPORTS_CONSTRAINT
-USES_ESTIMATOR PRODUCES_REPORT RELATED_TO IS_SUBTYPE_OF ALTERNATIVE_TO REQUIRES PARAMETERIZED_BY BENCHMARKED_ON CALIBRATED_ON PRECEDES
-HAS_CONSTRAINT VALIDATED_AGAINST
-""".split()
-
-# Label | canonical name | aliases.
-DOMAIN_TEXT = """
-PortfolioMethod | Hierarchical Risk Parity | hierarchical risk parity, hrp
-PortfolioMethod | Hierarchical Equal Risk Contribution | hierarchical equal risk contribution, herc
-PortfolioMethod | Nested Clustered Optimization | nested clustered optimization, nco
-PortfolioMethod | Risk Parity | risk parity, risk budgeting
-PortfolioMethod | Black Litterman | black litterman
-PortfolioMethod | Mean-Variance Optimization | mean variance, mean-variance
-PortfolioMethod | Minimum Variance | minimum variance
-PortfolioMethod | Maximum Sharpe | maximum sharpe
-PortfolioMethod | Kelly Criterion | kelly criterion
-RiskMeasure | CVaR | cvar, conditional value at risk, conditional var, expected shortfall, es, cvar95, cvar99
-RiskMeasure | VaR | value at risk, var, value-at-risk, var95, var99
-RiskMeasure | Semi Deviation | semi deviation, semi standard deviation, semi-std, semidev, downside deviation
-RiskMeasure | Semi Variance | semi variance, semivariance
-RiskMeasure | MAD | mean absolute deviation, mad
-RiskMeasure | Ulcer Index | ulcer index
-RiskMeasure | EVaR | entropic value at risk, evar
-RiskMeasure | EDaR | entropic drawdown at risk, edar
-RiskMeasure | RLVaR | relativistic value at risk, rlvar
-RiskMeasure | RLDaR | relativistic drawdown at risk, rldar
-RiskMeasure | Tail Gini | tail gini
-FactorModel | Fama-French 3 Factor | fama french 3, fama-french 3, ff3
-FactorModel | Fama-French 5 Factor | fama french 5, fama-french 5, ff5
-FactorModel | Carhart 4 Factor | carhart, carhart 4
-FactorModel | Macroeconomic Factor Model | macroeconomic factor, macro factor
-FactorModel | Statistical PCA Factor | statistical pca, pca factor model
-AssetClass | Equity | equity, equities, stocks
-AssetClass | Fixed Income | fixed income, bonds, debt
-AssetClass | Commodity | commodity, commodities
-AssetClass | Alternatives | alternatives, alternative investments, alts
-AssetClass | Cash | cash, money market
-MarketRegime | Bull Market | bull market, bull, uptrend
-MarketRegime | Bear Market | bear market, bear, downtrend
-MarketRegime | High Volatility | high volatility, high vol, volatility regime
-MarketRegime | Low Correlation | low correlation, decorrelated, diversification regime
-ConstraintType | Budget Constraint | budget constraint
-ConstraintType | Turnover Constraint | turnover constraint
-ConstraintType | Tracking Error Constraint | tracking error constraint
-ConstraintType | Leverage Constraint | leverage constraint
-ConstraintType | Long-Only Constraint | long only, long-only
-ConstraintType | Short-Selling Constraint | short selling, short-selling
-ConstraintType | Cardinality Constraint | cardinality constraint
-ConstraintType | Risk Contribution Constraint | risk contribution constraint
-ConstraintType | Factor Exposure Constraint | factor exposure, factor constraint
-Estimator | Historical Estimator | historical estimates, historical estimator
-Estimator | EWMA | ewma
-Estimator | Ledoit-Wolf | ledoit wolf, ledoit-wolf
-Estimator | OAS | oas
-Estimator | Shrinkage | shrinkage estimator, shrinkage
-Estimator | Stepwise Regression | stepwise regression
-Estimator | Principal Components | principal components, pcr
-ReportType | Performance Report | performance report
-ReportType | Risk Report | risk report
-ReportType | Portfolio Report | portfolio report
-ReportType | Allocation Report | allocation report
-PlotType | Efficient Frontier Plot | efficient frontier
-PlotType | Dendrogram Plot | dendrogram
-PlotType | Network Plot | network plot, asset network
-PlotType | Risk Contribution Plot | risk contribution plot
-PlotType | Pie Chart | pie chart
-PlotType | Bar Chart | bar chart
-PlotType | Histogram | histogram
-Solver | CVXPY | cvxpy
-Solver | MOSEK | mosek
-Solver | ECOS | ecos
-Solver | OSQP | osqp
-Solver | SCS | scs
-Solver | Clarabel | clarabel
-"""
-# Label | sibling | sibling.
-SIBLING_TEXT = """
-RiskMeasure | CVaR | VaR
-RiskMeasure | EVaR | CVaR
-RiskMeasure | EDaR | RLDaR
-PortfolioMethod | Hierarchical Risk Parity | Hierarchical Equal Risk Contribution
-PortfolioMethod | Mean-Variance Optimization | Minimum Variance
-PortfolioMethod | Mean-Variance Optimization | Maximum Sharpe
-"""
-# A small dictionary of frequent words, for corpora of other domains.
-COMMON_TEXT = """
-Determiner | The | the
-Determiner | Demonstrative | that, this
-Conjunction | And | and
-Preposition | For | for
-Preposition | With | with, from, with this
-Copula | Be | was, are
-"""
+NODE_LABELS = [
+    "Chunk", "DocPage", "ExampleNotebook", "TestCase", "PythonModule", "PythonClass", "PythonFunction", "Parameter", "PortfolioMethod",
+    "RiskMeasure", "ConstraintType", "Estimator", "ReportType", "PlotType", "Solver", "Concept", "AssetClass", "FactorModel", "MarketRegime",
+    "BenchmarkIndex", "BacktestScenario", "OptimizationProblem",
+]
+RELATION_TYPES = [
+    "HAS_CHUNK", "MENTIONS", "DESCRIBES", "DEMONSTRATES", "VALIDATES", "IMPLEMENTS", "DECLARES", "HAS_PARAMETER", "USES", "SUPPORTS_RISK_MEASURE",
+    "SUPPORTS_CONSTRAINT", "USES_ESTIMATOR", "PRODUCES_REPORT", "RELATED_TO", "IS_SUBTYPE_OF", "ALTERNATIVE_TO", "REQUIRES", "PARAMETERIZED_BY",
+    "BENCHMARKED_ON", "CALIBRATED_ON", "PRECEDES", "HAS_CONSTRAINT", "VALIDATED_AGAINST",
+]
 
 
 class Entry(NamedTuple):
@@ -116,16 +28,96 @@ class Entry(NamedTuple):
     aliases: tuple[str, ...]
 
 
-def _rows(text: str) -> list[list[str]]:
-    return [[part.strip() for part in line.split("|")] for line in text.strip().splitlines()]
-
-
-def entries(text: str) -> list[Entry]:
-    return [Entry(label, name, tuple(a.strip() for a in aliases.split(","))) for label, name, aliases in _rows(text)]
+# Label, canonical name, aliases.
+DOMAIN = [
+    Entry("PortfolioMethod", "Hierarchical Risk Parity", ("hierarchical risk parity", "hrp",)),
+    Entry("PortfolioMethod", "Hierarchical Equal Risk Contribution", ("hierarchical equal risk contribution", "herc",)),
+    Entry("PortfolioMethod", "Nested Clustered Optimization", ("nested clustered optimization", "nco",)),
+    Entry("PortfolioMethod", "Risk Parity", ("risk parity", "risk budgeting",)),
+    Entry("PortfolioMethod", "Black Litterman", ("black litterman",)),
+    Entry("PortfolioMethod", "Mean-Variance Optimization", ("mean variance", "mean-variance",)),
+    Entry("PortfolioMethod", "Minimum Variance", ("minimum variance",)),
+    Entry("PortfolioMethod", "Maximum Sharpe", ("maximum sharpe",)),
+    Entry("PortfolioMethod", "Kelly Criterion", ("kelly criterion",)),
+    Entry("RiskMeasure", "CVaR", ("cvar", "conditional value at risk", "conditional var", "expected shortfall", "es", "cvar95", "cvar99",)),
+    Entry("RiskMeasure", "VaR", ("value at risk", "var", "value-at-risk", "var95", "var99",)),
+    Entry("RiskMeasure", "Semi Deviation", ("semi deviation", "semi standard deviation", "semi-std", "semidev", "downside deviation",)),
+    Entry("RiskMeasure", "Semi Variance", ("semi variance", "semivariance",)),
+    Entry("RiskMeasure", "MAD", ("mean absolute deviation", "mad",)),
+    Entry("RiskMeasure", "Ulcer Index", ("ulcer index",)),
+    Entry("RiskMeasure", "EVaR", ("entropic value at risk", "evar",)),
+    Entry("RiskMeasure", "EDaR", ("entropic drawdown at risk", "edar",)),
+    Entry("RiskMeasure", "RLVaR", ("relativistic value at risk", "rlvar",)),
+    Entry("RiskMeasure", "RLDaR", ("relativistic drawdown at risk", "rldar",)),
+    Entry("RiskMeasure", "Tail Gini", ("tail gini",)),
+    Entry("FactorModel", "Fama-French 3 Factor", ("fama french 3", "fama-french 3", "ff3",)),
+    Entry("FactorModel", "Fama-French 5 Factor", ("fama french 5", "fama-french 5", "ff5",)),
+    Entry("FactorModel", "Carhart 4 Factor", ("carhart", "carhart 4",)),
+    Entry("FactorModel", "Macroeconomic Factor Model", ("macroeconomic factor", "macro factor",)),
+    Entry("FactorModel", "Statistical PCA Factor", ("statistical pca", "pca factor model",)),
+    Entry("AssetClass", "Equity", ("equity", "equities", "stocks",)),
+    Entry("AssetClass", "Fixed Income", ("fixed income", "bonds", "debt",)),
+    Entry("AssetClass", "Commodity", ("commodity", "commodities",)),
+    Entry("AssetClass", "Alternatives", ("alternatives", "alternative investments", "alts",)),
+    Entry("AssetClass", "Cash", ("cash", "money market",)),
+    Entry("MarketRegime", "Bull Market", ("bull market", "bull", "uptrend",)),
+    Entry("MarketRegime", "Bear Market", ("bear market", "bear", "downtrend",)),
+    Entry("MarketRegime", "High Volatility", ("high volatility", "high vol", "volatility regime",)),
+    Entry("MarketRegime", "Low Correlation", ("low correlation", "decorrelated", "diversification regime",)),
+    Entry("ConstraintType", "Budget Constraint", ("budget constraint",)),
+    Entry("ConstraintType", "Turnover Constraint", ("turnover constraint",)),
+    Entry("ConstraintType", "Tracking Error Constraint", ("tracking error constraint",)),
+    Entry("ConstraintType", "Leverage Constraint", ("leverage constraint",)),
+    Entry("ConstraintType", "Long-Only Constraint", ("long only", "long-only",)),
+    Entry("ConstraintType", "Short-Selling Constraint", ("short selling", "short-selling",)),
+    Entry("ConstraintType", "Cardinality Constraint", ("cardinality constraint",)),
+    Entry("ConstraintType", "Risk Contribution Constraint", ("risk contribution constraint",)),
+    Entry("ConstraintType", "Factor Exposure Constraint", ("factor exposure", "factor constraint",)),
+    Entry("Estimator", "Historical Estimator", ("historical estimates", "historical estimator",)),
+    Entry("Estimator", "EWMA", ("ewma",)),
+    Entry("Estimator", "Ledoit-Wolf", ("ledoit wolf", "ledoit-wolf",)),
+    Entry("Estimator", "OAS", ("oas",)),
+    Entry("Estimator", "Shrinkage", ("shrinkage estimator", "shrinkage",)),
+    Entry("Estimator", "Stepwise Regression", ("stepwise regression",)),
+    Entry("Estimator", "Principal Components", ("principal components", "pcr",)),
+    Entry("ReportType", "Performance Report", ("performance report",)),
+    Entry("ReportType", "Risk Report", ("risk report",)),
+    Entry("ReportType", "Portfolio Report", ("portfolio report",)),
+    Entry("ReportType", "Allocation Report", ("allocation report",)),
+    Entry("PlotType", "Efficient Frontier Plot", ("efficient frontier",)),
+    Entry("PlotType", "Dendrogram Plot", ("dendrogram",)),
+    Entry("PlotType", "Network Plot", ("network plot", "asset network",)),
+    Entry("PlotType", "Risk Contribution Plot", ("risk contribution plot",)),
+    Entry("PlotType", "Pie Chart", ("pie chart",)),
+    Entry("PlotType", "Bar Chart", ("bar chart",)),
+    Entry("PlotType", "Histogram", ("histogram",)),
+    Entry("Solver", "CVXPY", ("cvxpy",)),
+    Entry("Solver", "MOSEK", ("mosek",)),
+    Entry("Solver", "ECOS", ("ecos",)),
+    Entry("Solver", "OSQP", ("osqp",)),
+    Entry("Solver", "SCS", ("scs",)),
+    Entry("Solver", "Clarabel", ("clarabel",)),
+]
+
+# Label, sibling, sibling.
+SIBLINGS = [
+    ("RiskMeasure", "CVaR", "VaR"),
+    ("RiskMeasure", "EVaR", "CVaR"),
+    ("RiskMeasure", "EDaR", "RLDaR"),
+    ("PortfolioMethod", "Hierarchical Risk Parity", "Hierarchical Equal Risk Contribution"),
+    ("PortfolioMethod", "Mean-Variance Optimization", "Minimum Variance"),
+    ("PortfolioMethod", "Mean-Variance Optimization", "Maximum Sharpe"),
+]
 
-
-DOMAIN, COMMON = entries(DOMAIN_TEXT), entries(COMMON_TEXT)
-SIBLINGS = [tuple(r) for r in _rows(SIBLING_TEXT)]
+# A small dictionary of frequent words, for corpora of other domains.
+COMMON = [
+    Entry("Determiner", "The", ("the",)),
+    Entry("Determiner", "Demonstrative", ("that", "this",)),
+    Entry("Conjunction", "And", ("and",)),
+    Entry("Preposition", "For", ("for",)),
+    Entry("Preposition", "With", ("with", "from", "with this",)),
+    Entry("Copula", "Be", ("was", "are",)),
+]
 
 
 def alias_pattern(aliases: Iterable[str]) -> str:

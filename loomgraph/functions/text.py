@@ -79,5 +79,7 @@ def embedding_cells(rows: DataFrame, key: str, text: str, dim: int = 256) -> Dat
     index, sign = token_cell(F.col("token"), max(8, dim))
     cells = rows.select(key, F.explode(tokens(F.col(text))).alias("token")).select(key, index.alias("idx"), sign.alias("sign"))
     cells = cells.groupBy(key, "idx").agg(F.sum("sign").alias("value")).filter("value <> 0")
-    norms = cells.groupBy(key).agg(F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("norm"))
-    return cells.join(norms, key)
+    # A row's cells, `dim` at most, meet once: their norm is taken there, so that no step is done twice.
+    own = cells.groupBy(key).agg(F.collect_list(F.struct("idx", "value")).alias("cells"))
+    norm = F.sqrt(F.aggregate("cells", F.lit(0).cast("double"), lambda t, x: t + x["value"] * x["value"]))
+    return own.select(key, norm.alias("norm"), F.inline("cells")).select(key, "idx", "value", "norm")

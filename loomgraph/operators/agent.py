@@ -12,7 +12,7 @@ from loomgraph.operators.graph import top_per
 from loomgraph.operators.routing import route
 
 # Words that no sub-question is about.
-STOP_WORDS = "what how why when where which does portfolio about with into".split()
+STOP_WORDS = ["what", "how", "why", "when", "where", "which", "does", "portfolio", "about", "with", "into"]
 MOST_SUBQUESTIONS, MOST_FOCUS, MOST_CONTEXT = 3, 4, 5
 LEAST_OVERLAP = 0.25
 NO_CONTEXT = "I could not find supporting context for that question yet."

@@ -23,23 +23,30 @@ def window_starts(n: Column, size: int, overlap: int) -> Column:
     return F.when(n > 0, F.transform(F.sequence(F.lit(0), last), lambda i: i * step)).otherwise(F.array().cast("array<int>"))
 
 
-def text_windows(parts: DataFrame, order: list[str], size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
+def text_windows(parts: DataFrame, order: list[str] | None, size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
     """Windows over the parts of each file, numbered over the file without blank ones.
 
     parts: relative_path, text, line_start, line_end, section and whatever else, which is kept;
-    `order` orders the parts of a file. Adds chunk_index, chunk_id, content, content_hash and
+    `order` orders the parts of a file. None: a file is one part, so that its windows are numbered
+    within the row and nothing is shuffled. Adds chunk_index, chunk_id, content, content_hash and
     the windows' own lines, estimated in proportion to the characters.
     """
     n = F.length("text")
-    rows = parts.select("*", n.alias("_n"), F.explode(window_starts(n, size, overlap)).alias("_start"))
-    rows = rows.withColumn("content", strip(F.substring(F.col("text"), F.col("_start") + 1, F.lit(size)))).filter("content <> ''")
+    own = lambda start: strip(F.substring(F.col("text"), start + 1, F.lit(size)))
+    starts = window_starts(n, size, overlap)
+    if order is None:
+        filled = F.filter(F.transform(starts, lambda i: F.struct(i.alias("start"), own(i).alias("content"))), lambda w: w["content"] != "")
+        rows = parts.select("*", n.alias("_n"), F.posexplode(filled).alias("chunk_index", "_w"))
+        rows = rows.withColumn("_start", F.col("_w.start")).withColumn("content", F.col("_w.content")).drop("_w")
+    else:
+        rows = parts.select("*", n.alias("_n"), F.explode(starts).alias("_start")).withColumn("content", own(F.col("_start"))).filter("content <> ''")
     lines = F.greatest(F.lit(1), F.col("line_end") - F.col("line_start") + 1)
     at = lambda c: F.floor(lines * c / F.col("_n")).cast("int")
     rows = rows.withColumn("_from", F.col("line_start") + at(F.col("_start")))
     rows = rows.withColumn("_to", F.least(F.col("line_end"), F.greatest(F.col("_from"), F.col("line_start") + at(F.least(F.col("_n"), F.col("_start") + size)))))
     rows = rows.withColumn("line_start", F.col("_from")).withColumn("line_end", F.col("_to"))
-    number = F.row_number().over(Window.partitionBy("relative_path").orderBy(*order, "_start")) - 1
-    rows = rows.withColumn("chunk_index", number)
+    if order is not None:
+        rows = rows.withColumn("chunk_index", F.row_number().over(Window.partitionBy("relative_path").orderBy(*order, "_start")) - 1)
     rows = rows.withColumn("chunk_id", chunk_id(F.col("relative_path"), F.col("chunk_index")))
     return rows.withColumn("content_hash", content_hash()).drop("_n", "_start", "_from", "_to", "text")
 
@@ -63,7 +70,7 @@ def whole_files(files: DataFrame, kind: str | Column = "fallback") -> DataFrame:
 
 def window_chunks(files: DataFrame, size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
     """relative_path, text (and more) -> one row per window."""
-    return text_windows(whole_files(files), ["_part"], size, overlap).drop("_part")
+    return text_windows(whole_files(files), None, size, overlap).drop("_part")
 
 
 def sections(files: DataFrame) -> DataFrame:

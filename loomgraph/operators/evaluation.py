@@ -202,17 +202,17 @@ def sample_deltas(baseline: DataFrame, candidate: DataFrame, metrics: list[str]
     return out.withColumns({f"delta_{m}": F.round(F.col(f"candidate_{m}") - F.col(f"baseline_{m}"), 4) for m in metrics})
 
 
+# Question, reference answer, expected terms.
+SAMPLES = [
+    ("What is Hierarchical Risk Parity (HRP)?", "HRP is a hierarchical portfolio allocation method based on clustering and risk budgeting.", ["hrp", "hierarchical risk parity", "clustering", "risk parity"]),
+    ("How is CVaR-based optimization computed?", "CVaR is a risk measure and portfolios can be optimized under CVaR objectives and constraints.", ["cvar", "value at risk", "risk measure", "optimization"]),
+    ("Which estimators are used for covariance?", "Several estimators are documented, including historical and shrinkage-style estimators.", ["historical", "ledoit", "shrinkage", "covariance"]),
+    ("What constraints can be applied in optimization?", "Portfolio constraints such as budget, leverage, and risk-related constraints.", ["constraint", "budget", "leverage", "risk contribution"]),
+    ("How do examples demonstrate portfolio reports and plots?", "Examples and docs show plotting and reporting workflows for frontier, allocations, and risk contributions.", ["examples", "report", "plot", "efficient frontier"]),
+]
+
+
 def default_samples(spark: SparkSession) -> DataFrame:
     """The built-in questions with their expected terms."""
-    rows = [(q.strip(), r.strip(), [t.strip() for t in e.split(",")]) for q, r, e in (line.split("|") for line in SAMPLE_TEXT.strip().splitlines())]
-    return spark.createDataFrame(rows, "question string, reference_answer string, expected array<string>")
+    return spark.createDataFrame(SAMPLES, "question string, reference_answer string, expected array<string>")
 
-
-# Question | reference answer | expected terms.
-SAMPLE_TEXT = """
-What is Hierarchical Risk Parity (HRP)? | HRP is a hierarchical portfolio allocation method based on clustering and risk budgeting. | hrp, hierarchical risk parity, clustering, risk parity
-How is CVaR-based optimization computed? | CVaR is a risk measure and portfolios can be optimized under CVaR objectives and constraints. | cvar, value at risk, risk measure, optimization
-Which estimators are used for covariance? | Several estimators are documented, including historical and shrinkage-style estimators. | historical, ledoit, shrinkage, covariance
-What constraints can be applied in optimization? | Portfolio constraints such as budget, leverage, and risk-related constraints. | constraint, budget, leverage, risk contribution
-How do examples demonstrate portfolio reports and plots? | Examples and docs show plotting and reporting workflows for frontier, allocations, and risk contributions. | examples, report, plot, efficient frontier
-"""

@@ -19,7 +19,7 @@ from loomgraph.functions.text import strip
 
 EDGE_KEY = ["src_label", "src_name", "rel", "dst_label", "dst_name"]
 # Call-like names that are no API targets.
-BUILTINS = "assert print len range list dict set tuple int float str bool enumerate zip".split()
+BUILTINS = ["assert", "print", "len", "range", "list", "dict", "set", "tuple", "int", "float", "str", "bool", "enumerate", "zip"]
 NAME = "[A-Za-z_][A-Za-z0-9_]*"
 
 

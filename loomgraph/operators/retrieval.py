@@ -135,5 +135,7 @@ def retrieve(chunks: DataFrame, mentions: DataFrame, has_chunk: DataFrame, edges
 
 
 def upsert_chunks(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Chunks by id, a new one in place of an old one."""
-    return old.join(new.select("chunk_id"), "chunk_id", "left_anti").unionByName(new.dropDuplicates(["chunk_id"]))
+    """Chunks by id, a new one in place of an old one; of new ones with one id the greatest row stays, so that a rerun gives the same."""
+    rest = [c for c in new.columns if c != "chunk_id"]
+    last = new.groupBy("chunk_id").agg(F.max(F.struct(*rest)).alias("last")).select("chunk_id", "last.*").select(*new.columns)
+    return old.join(new.select("chunk_id"), "chunk_id", "left_anti").unionByName(last)

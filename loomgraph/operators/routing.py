@@ -91,7 +91,7 @@ def route(questions: DataFrame, least: float = LEAST_CONFIDENCE, dim: int = DIM,
     option = lambda i, m: F.struct((EMBEDDING_SHARE * similarity(m) + RULE_SHARE * F.when(F.col("_rule.mode") == m, F.col("_rule.score")).otherwise(0.0)).alias("score"), F.lit(-i).alias("order"), F.lit(m).alias("mode"), similarity(m).alias("embedding"))
     rows = rows.withColumn("_best", F.array_max(F.array(*[option(i, m) for i, m in enumerate(prototypes)])))
     blank, weak = strip(F.coalesce("text", F.lit(""))) == "", F.col("_best.score") < least
-    shown = F.format_string("embedding=%.3f", F.col("_best.embedding"))
+    shown = F.format_string("embedding=%.3f", F.col("_best.score"))
     reason = F.when(F.col("_best.mode") == F.col("_rule.mode"), F.concat_ws("; ", F.col("_rule.reason"), shown)).otherwise(shown)
     return rows.withColumns({
         "mode": F.when(blank | weak, "hybrid_rerank").otherwise(F.col("_best.mode")),

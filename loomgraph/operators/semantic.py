@@ -14,34 +14,33 @@ from loomgraph.functions.text import slug, strip
 #: The ontology's namespace: a parameter of every function that makes identifiers.
 NAMESPACE = "urn:graph:v1#"
 RDF, RDFS, OWL, XSD = "http://www.w3.org/1999/02/22-rdf-syntax-ns#", "http://www.w3.org/2000/01/rdf-schema#", "http://www.w3.org/2002/07/owl#", "http://www.w3.org/2001/XMLSchema#"
-# Relation | domain | range (owl:Thing where a label is none), datatype properties, equivalent classes.
-AXIOM_TEXT = """
-MENTIONS Thing Thing
-IS_SUBTYPE_OF Thing Thing
-ALTERNATIVE_TO Thing Thing
-REQUIRES Thing Thing
-PARAMETERIZED_BY Thing Thing
-SUPPORTS_RISK_MEASURE PortfolioMethod RiskMeasure
-USES_ESTIMATOR PortfolioMethod Estimator
-HAS_PARAMETER Thing Parameter
-BENCHMARKED_ON BacktestScenario BenchmarkIndex
-CALIBRATED_ON Estimator AssetClass
-PRECEDES Thing Thing
-HAS_CONSTRAINT PortfolioMethod ConstraintType
-VALIDATED_AGAINST Thing Thing
-RELATED_TO Thing Thing
-DESCRIBES Thing Thing
-DEMONSTRATES Thing Thing
-VALIDATES Thing Thing
-IMPLEMENTS Thing Thing
-"""
-DATATYPE_PROPERTIES = "hasConfidenceLevel hasTargetReturn hasWeightUpperBound hasWeightLowerBound hasRiskBudgetFraction".split()
+# Relation, domain, range (owl:Thing where a label is none), datatype properties, equivalent classes.
+AXIOMS = {
+    "MENTIONS": ("Thing", "Thing"),
+    "IS_SUBTYPE_OF": ("Thing", "Thing"),
+    "ALTERNATIVE_TO": ("Thing", "Thing"),
+    "REQUIRES": ("Thing", "Thing"),
+    "PARAMETERIZED_BY": ("Thing", "Thing"),
+    "SUPPORTS_RISK_MEASURE": ("PortfolioMethod", "RiskMeasure"),
+    "USES_ESTIMATOR": ("PortfolioMethod", "Estimator"),
+    "HAS_PARAMETER": ("Thing", "Parameter"),
+    "BENCHMARKED_ON": ("BacktestScenario", "BenchmarkIndex"),
+    "CALIBRATED_ON": ("Estimator", "AssetClass"),
+    "PRECEDES": ("Thing", "Thing"),
+    "HAS_CONSTRAINT": ("PortfolioMethod", "ConstraintType"),
+    "VALIDATED_AGAINST": ("Thing", "Thing"),
+    "RELATED_TO": ("Thing", "Thing"),
+    "DESCRIBES": ("Thing", "Thing"),
+    "DEMONSTRATES": ("Thing", "Thing"),
+    "VALIDATES": ("Thing", "Thing"),
+    "IMPLEMENTS": ("Thing", "Thing"),
+}
+DATATYPE_PROPERTIES = ["hasConfidenceLevel", "hasTargetReturn", "hasWeightUpperBound", "hasWeightLowerBound", "hasRiskBudgetFraction"]
 EQUIVALENT = {
     "PortfolioMethod": "https://spec.edmcouncil.org/fibo/ontology/SEC/InvestmentStrategy",
     "RiskMeasure": "https://spec.edmcouncil.org/fibo/ontology/FBC/RiskMeasure",
     "Estimator": "http://purl.obolibrary.org/obo/STATO_0000118",
 }
-AXIOMS = {r: (d, g) for r, d, g in (line.split() for line in AXIOM_TEXT.strip().splitlines())}
 
 
 def node_iri(name: Column, ns: str = NAMESPACE) -> Column:

@@ -76,7 +76,11 @@ _BOOST = "+ 0.03::DOUBLE * len(entities) + 0.015::DOUBLE * (len(entities) + len(
 _SOURCE_LABEL = "CASE kind WHEN 'docs' THEN 'DocPage' WHEN 'example' THEN 'ExampleNotebook' WHEN 'test' THEN 'TestCase' ELSE 'PythonModule' END"
 _SOURCE_NAME = "CASE WHEN kind = 'python' THEN replace(path, '/', '.') ELSE path END"
 _CONCEPT_REL = "CASE kind WHEN 'docs' THEN 'DESCRIBES' WHEN 'example' THEN 'DEMONSTRATES' WHEN 'test' THEN 'VALIDATES' ELSE 'IMPLEMENTS' END"
-_KEYWORDS = "assert print len range list dict set tuple int float str bool enumerate zip False None True and as async await break class continue def del elif else except finally for from global if import in is lambda nonlocal not or pass raise return try while with yield".split()
+_KEYWORDS = [
+    "assert", "print", "len", "range", "list", "dict", "set", "tuple", "int", "float", "str", "bool", "enumerate", "zip", "False", "None", "True",
+    "and", "as", "async", "await", "break", "class", "continue", "def", "del", "elif", "else", "except", "finally", "for", "from", "global", "if",
+    "import", "in", "is", "lambda", "nonlocal", "not", "or", "pass", "raise", "return", "try", "while", "with", "yield",
+]
 _SYMBOLS = rf"""
 code AS (SELECT * FROM chunks WHERE kind IN ('python', 'test')),
 classes AS (SELECT DISTINCT chunk_id, path, kind, 'PythonClass' AS label, unnest(regexp_extract_all(content, '(?m)^\s*class\s+([A-Za-z_][A-Za-z0-9_]*)\b', 1)) AS name FROM code),
@@ -141,7 +145,7 @@ sets AS (SELECT name, list_distinct(regexp_extract_all(lower(name), '[a-z0-9]+')
 alike AS (SELECT a.name AS a, b.name AS b FROM sets a JOIN sets b ON a.name < b.name AND len(list_intersect(a.ws, b.ws)) / len(list_distinct(list_concat(a.ws, b.ws))) >= 0.7)
 """
 
-_CONTEXTS = f"{_CORPUS}, ctx AS (SELECT path AS relative_path, list(content ORDER BY chunk_index) AS contexts FROM chunks WHERE chunk_index < 5 GROUP BY path)"
+_CONTEXTS = f"{_CORPUS}, ctx AS (SELECT path AS relative_path, list(content ORDER BY chunk_index) AS contexts FROM chunks GROUP BY path)"
 _TERMS = "['the', 'with this', 'zebra', 'und']"
 _HAS_TERM = f"len(list_filter({_TERMS}, lambda t: contains(lower(c), t))) > 0"
 _TOKENS_OF = lambda c: f"list_distinct(regexp_extract_all(lower({c}), {_TOKEN}))"
@@ -161,7 +165,11 @@ _RULES = [
     ("dense", 0.85, "rule_dense_intent", [r"\b(define|definition|what is|meaning|overview|explain)\b"]),
 ]
 _RULE_CASE = " ".join(f"WHEN regexp_matches(low, '{'|'.join(f'(?:{p})' for p in ps)}') THEN {{{'mode'!r}: '{m}', 'score': {s}::DOUBLE, 'reason': '{r}'}}" for m, s, r, ps in _RULES)
-_LABELS = "Chunk DocPage ExampleNotebook TestCase PythonModule PythonClass PythonFunction Parameter PortfolioMethod RiskMeasure ConstraintType Estimator ReportType PlotType Solver Concept AssetClass FactorModel MarketRegime BenchmarkIndex BacktestScenario OptimizationProblem".split()
+_LABELS = [
+    "Chunk", "DocPage", "ExampleNotebook", "TestCase", "PythonModule", "PythonClass", "PythonFunction", "Parameter", "PortfolioMethod",
+    "RiskMeasure", "ConstraintType", "Estimator", "ReportType", "PlotType", "Solver", "Concept", "AssetClass", "FactorModel", "MarketRegime",
+    "BenchmarkIndex", "BacktestScenario", "OptimizationProblem",
+]
 _STRIP = lambda c: f"regexp_replace({c}, '^\\s+|\\s+$', '', 'g')"
 
 ORACLES = {
@@ -197,7 +205,15 @@ ORACLES = {
       both_ways AS (SELECT src_label AS label, src_name AS name, dst_label AS l, dst_name AS n FROM edges UNION ALL SELECT dst_label, dst_name, src_label, src_name FROM edges),
       near AS (SELECT DISTINCT b.l AS label, b.n AS name FROM both_ways b JOIN seeds USING (label, name) JOIN (SELECT DISTINCT label AS l, name AS n FROM nodes WHERE name <> '') USING (l, n)),
       kept AS (SELECT label, name FROM (SELECT label, name, min(hop) AS hop FROM (SELECT *, 0 AS hop FROM seeds UNION ALL SELECT *, 1 FROM near) GROUP BY ALL) ORDER BY hop, label, name LIMIT 300)
-      SELECT * FROM edges WHERE (src_label, src_name) IN (SELECT (label, name) FROM kept) AND (dst_label, dst_name) IN (SELECT (label, name) FROM kept)""",
+      SELECT e.* FROM edges e SEMI JOIN kept a ON e.src_label = a.label AND e.src_name = a.name SEMI JOIN kept b ON e.dst_label = b.label AND e.dst_name = b.name""",
+    "section_chunks": f"""WITH turns AS (SELECT conv_id, turn, coalesce(role, 'none') AS section, {_STRIP("regexp_replace('# ' || coalesce(role, 'none') || chr(10) || coalesce(text, ''), chr(13) || chr(10) || '?', chr(10), 'g')")} AS text FROM conversations),
+      pieces AS (SELECT conv_id, turn, section, {_STRIP("substring(text, k * 900 + 1, 1000)")} AS content FROM (SELECT *, unnest(range(0, CASE WHEN length(text) <= 1000 THEN 1 ELSE CAST(ceil((length(text) - 1000) / 900.0) AS BIGINT) + 1 END)) AS k FROM turns))
+      SELECT section, count(*) AS n_chunks, count(DISTINCT conv_id || '/' || turn) AS n_turns, sum(length(content))::BIGINT AS n_chars FROM pieces WHERE content <> '' GROUP BY section""",
+    "agent_plan": f"""WITH said AS (SELECT conv_id, turn, coalesce(text, '') AS text FROM conversations),
+      toks AS (SELECT conv_id, turn, token, min(i) AS i FROM (SELECT conv_id, turn, unnest(ts) AS token, generate_subscripts(ts, 1) AS i FROM (SELECT conv_id, turn, regexp_extract_all(lower(text), {_TOKEN}) AS ts FROM said)) GROUP BY ALL),
+      focus AS (SELECT conv_id, turn, 'Corpus details on ' || array_to_string(list(token ORDER BY i)[:4], ' ') AS about FROM toks WHERE token NOT IN ('what', 'how', 'why', 'when', 'where', 'which', 'does', 'portfolio', 'about', 'with', 'into') GROUP BY ALL),
+      given AS (SELECT list_filter([{_STRIP("text")}, about, CASE WHEN regexp_matches(lower(text), 'how|why') THEN {_STRIP("'methodology evidence for: ' || text")} END], lambda x: x IS NOT NULL AND x <> '') AS parts FROM said LEFT JOIN focus USING (conv_id, turn))
+      SELECT (part - 1)::INTEGER AS part, count(*) AS n, sum(length(t))::BIGINT AS n_chars FROM (SELECT unnest(parts) AS t, generate_subscripts(parts, 1) AS part FROM given) GROUP BY part""",
     "graph_view": f"""WITH {_STAR}, deg AS (SELECT label, name, count(*) AS degree FROM (SELECT src_label AS label, src_name AS name FROM edges UNION ALL SELECT dst_label, dst_name FROM edges) GROUP BY ALL)
       SELECT label, name, degree FROM nodes JOIN deg USING (label, name) WHERE name <> '' AND label <> 'Order' ORDER BY degree DESC, label, name LIMIT 35""",
     "edge_integrity": f"""WITH {_STAR}, keys AS (SELECT DISTINCT label, name FROM nodes), c AS (SELECT count(*) AS n_edges, count(*) FILTER (NOT ((src_label, src_name) IN (SELECT (label, name) FROM keys) AND (dst_label, dst_name) IN (SELECT (label, name) FROM keys))) AS n_skipped FROM edges)
@@ -218,10 +234,12 @@ ORACLES = {
     "er_similar": f"WITH {_NAMES} SELECT a, b FROM alike",
     "context_metrics": f"""WITH {_CONTEXTS}, m AS (SELECT relative_path, contexts, list_filter(range(1, len(contexts) + 1), lambda i: len(list_filter({_TERMS}, lambda t: contains(lower(contexts[i]), t))) > 0)[1] AS hit FROM ctx)
       SELECT relative_path, round(len(list_filter({_TERMS}, lambda t: contains(lower(array_to_string(contexts, chr(10))), t))) / 4, 6) AS recall,
-        round(len(list_filter(contexts, lambda c: {_HAS_TERM})) / len(contexts), 6) AS precision, coalesce(hit, 0)::INTEGER AS first_hit, CASE WHEN hit <= 3 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS hits_3 FROM m""",
-    "faithfulness_claims": f"""WITH {_CONTEXTS}, a AS (SELECT relative_path, {_TOKENS_OF('contexts[2]')} AS said, {_TOKENS_OF('contexts[1]')} AS seen,
-        list_filter(list_transform(regexp_split_to_array(contexts[2], '[.!?]\\s+|\\n+'), lambda x: {_STRIP('x')}), lambda x: len(regexp_extract_all(lower(x), {_TOKEN})) >= 3) AS claims FROM ctx WHERE len(contexts) > 1)
-      SELECT relative_path, round(CASE WHEN len(claims) = 0 THEN 0.0 ELSE len(list_filter(claims, lambda c: len(list_intersect({_TOKENS_OF('c')}, seen)) / len({_TOKENS_OF('c')}) >= 0.25)) / len(claims) END, 6) AS faithfulness,
+        round(len(list_filter(contexts, lambda c: {_HAS_TERM})) / len(contexts), 6) AS precision, coalesce(hit, 0)::INTEGER AS first_hit, CASE WHEN hit <= 3 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS hits_3,
+        CASE WHEN hit <= 10 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS hits_10, CASE WHEN hit IS NULL THEN 0.0::DOUBLE ELSE round(1.0::DOUBLE / hit, 4) END AS mrr FROM m""",
+    "faithfulness_claims": f"""WITH {_CORPUS}, pairs AS (SELECT path AS relative_path, (chunk_index + 1)::INTEGER AS chunk, content, lag(content) OVER (PARTITION BY path ORDER BY chunk_index) AS prior FROM chunks),
+      a AS (SELECT relative_path, chunk, {_TOKENS_OF('content')} AS said, {_TOKENS_OF('prior')} AS seen,
+        list_filter(list_transform(regexp_split_to_array(content, '[.!?]\\s+|\\n+'), lambda x: {_STRIP('x')}), lambda x: len(regexp_extract_all(lower(x), {_TOKEN})) >= 3) AS claims FROM pairs WHERE prior IS NOT NULL)
+      SELECT relative_path, chunk, round(CASE WHEN len(claims) = 0 THEN 0.0 ELSE len(list_filter(claims, lambda c: len(list_intersect({_TOKENS_OF('c')}, seen)) / len({_TOKENS_OF('c')}) >= 0.25)) / len(claims) END, 6) AS faithfulness,
         round(CASE WHEN len(said) = 0 OR len(seen) = 0 THEN 0.0 ELSE len(list_intersect(said, seen)) / len(said) END, 6) AS overlap FROM a""",
     "precision_weighted": f"""WITH {_CONTEXTS}, s AS (SELECT relative_path, list_transform(contexts, lambda c: CASE WHEN len({_TOKENS_OF('c')}) = 0 THEN 0.0::DOUBLE ELSE 0.65::DOUBLE * (len(list_intersect(['the', 'and'], {_TOKENS_OF('c')})) / 2)
         + 0.35::DOUBLE * (len(list_intersect(['the', 'and', 'that', 'with'], {_TOKENS_OF('c')})) / len(list_distinct(list_concat(['the', 'and', 'that', 'with'], {_TOKENS_OF('c')})))) END) AS scores FROM ctx)

@@ -311,7 +311,7 @@ def eval_rows(spark: SparkSession, sf_dir: str, mode: str = "sparse") -> DataFra
 
 
 def context_metrics(spark, sf_dir):
-    """Recall, both precisions and link ranks over each document's first chunks and fixed terms."""
+    """Recall, precision and link ranks over all chunks of each document and fixed terms."""
     rows = _document_contexts(spark, sf_dir)
     e, c = F.array(*map(F.lit, ["the", "with this", "zebra", "und"])), F.col("contexts")
     link = evaluation.link_metrics(e, c)
@@ -321,19 +321,24 @@ def context_metrics(spark, sf_dir):
         F.round(evaluation.context_precision(e, c), 6).alias("precision"),
         F.coalesce(evaluation.first_hit(e, c), F.lit(0)).alias("first_hit"),
         link["link_hits_3"].alias("hits_3"),
+        link["link_hits_10"].alias("hits_10"),
+        link["link_mrr"].alias("mrr"),
     )
 
 
 def _document_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = chunks(spark, sf_dir).filter(F.col("chunk_index") < K)
+    """All chunks of each document, in order: its own text, so bounded by it."""
+    rows = chunks(spark, sf_dir)
     return rows.groupBy("relative_path").agg(F.transform(F.array_sort(F.collect_list(F.struct("chunk_index", "content"))), lambda x: x["content"]).alias("contexts"))
 
 
 def faithfulness_claims(spark, sf_dir):
-    """Claims of each document's second chunk against its first."""
+    """Claims of each chunk after a document's first against the chunk before it."""
     rows = _document_contexts(spark, sf_dir).filter(F.size("contexts") > 1)
-    answer, contexts = F.element_at("contexts", 2), F.slice("contexts", 1, 1)
-    return rows.select("relative_path", F.round(evaluation.claim_faithfulness(answer, contexts), 6).alias("faithfulness"), F.round(evaluation.token_faithfulness(answer, contexts), 6).alias("overlap"))
+    follow = F.transform(F.slice("contexts", 2, F.size("contexts") - 1), lambda x, i: F.struct((i + 2).alias("chunk"), x.alias("answer"), F.element_at("contexts", i + 1).alias("seen")))
+    rows = rows.select("relative_path", F.inline(follow))
+    answer, contexts = F.col("answer"), F.array("seen")
+    return rows.select("relative_path", "chunk", F.round(evaluation.claim_faithfulness(answer, contexts), 6).alias("faithfulness"), F.round(evaluation.token_faithfulness(answer, contexts), 6).alias("overlap"))
 
 
 def precision_weighted(spark, sf_dir):

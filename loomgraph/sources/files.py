@@ -35,7 +35,7 @@ def load_directory(spark: SparkSession, root: str, prefix: str = "", package_roo
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     clean = F.regexp_replace("path", "^[a-z]+:/+", "/")
     below = F.regexp_extract(clean, "^" + root.split(":", 1)[-1].rstrip("/").replace(".", "\\.") + "/(.*)$", 1)
-    rows = files.select(F.concat(F.lit(prefix), below).alias("relative_path"), F.col("path").alias("source_path"), F.decode("content", "UTF-8").alias("text"))
+    rows = files.select(F.concat(F.lit(prefix), below).alias("relative_path"), F.col("path").alias("source_path"), F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
     rows = rows.withColumn("filename", F.element_at(F.split("relative_path", "/"), -1)).withColumn("extension", F.regexp_extract("filename", "(\\.[^.]+)$", 1))
     rows = rows.filter(F.col("extension").isin(EXTENSIONS)).withColumn("source_type", source_type(F.col("relative_path")))
     module = F.when(F.col("source_type") == "python", module_name(F.col("relative_path"), package_root)).otherwise(module_name(F.col("relative_path")))
@@ -84,10 +84,14 @@ def summarize(chunks: DataFrame) -> DataFrame:
 
 
 def load_samples(spark: SparkSession, path: str) -> DataFrame:
-    """Evaluation samples: a JSON array, or an object with `samples`; checked and trimmed."""
-    rows = spark.read.schema(f"samples array<struct<{SAMPLE_SCHEMA}>>, {SAMPLE_SCHEMA}").json(path, multiLine=True)
-    inner = rows.select(F.explode("samples").alias("s")).select("s.*")
-    rows = rows.filter("samples IS NULL").drop("samples").unionByName(inner)
+    """Evaluation samples: a JSON array, an object with `samples`, or JSON lines; checked and trimmed."""
+    # A file is read whole, as its beginning tells which of the three it is.
+    text = F.trim(F.col("value"), F.lit(" \t\r\n"))
+    array = F.from_json(text, f"array<struct<{SAMPLE_SCHEMA}>>")
+    wrapped = F.from_json(text, f"struct<samples:array<struct<{SAMPLE_SCHEMA}>>>")["samples"]
+    lines = F.transform(F.filter(F.split(text, "\n"), lambda x: F.trim(x) != ""), lambda x: F.from_json(x, f"struct<{SAMPLE_SCHEMA}>"))
+    found = F.when(text.startswith("["), array).otherwise(F.coalesce(wrapped, lines))
+    rows = spark.read.text(path, wholetext=True).select(F.explode(found).alias("s")).select("s.*")
     clean = lambda c: F.filter(F.transform(F.coalesce(c, F.array().cast("array<string>")), lambda x: F.trim(x)), lambda x: x != "")
     texts, lists = ["question", "reference_answer", "domain", "difficulty", "retrieval_type"], ["expected_context_terms", "retrieved_contexts", "retrieved_sources", "tags"]
     rows = rows.withColumns({c: F.trim(F.coalesce(F.col(c), F.lit(""))) for c in texts} | {c: clean(F.col(c)) for c in lists})
@@ -110,10 +114,16 @@ def append_audit(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").json(path)
 
 
+#: Signs that a literal escapes, the escape's own first.
+ESCAPES = [("\\", "\\"), ('"', '"'), ("\n", "n"), ("\r", "r"), ("\t", "t")]
+
+
 def write_triples(triples: DataFrame, path: str) -> None:
     """N-Triples, which every Turtle reader takes."""
     iri = lambda c: F.concat(F.lit("<"), c, F.lit(">"))
-    plain = F.regexp_replace(F.regexp_replace(F.regexp_replace("o", "\\\\", "\\\\\\\\"), '"', '\\\\"'), "\n", "\\\\n")
+    plain = F.col("o")
+    for sign, name in ESCAPES:
+        plain = F.replace(plain, F.lit(sign), F.lit("\\" + name))
     literal = F.concat(F.lit('"'), plain, F.lit('"'))
     line = F.concat_ws(" ", iri(F.col("s")), iri(F.col("p")), F.when(F.col("o_kind") == "literal", literal).otherwise(iri(F.col("o"))), F.lit("."))
     triples.select(line.alias("value")).write.mode("overwrite").text(path)
@@ -122,6 +132,9 @@ def write_triples(triples: DataFrame, path: str) -> None:
 def read_triples(spark: SparkSession, path: str) -> DataFrame:
     pattern = '^<([^>]*)> <([^>]*)> (?:<([^>]*)>|"((?:[^"\\\\]|\\\\.)*)") \\.$'
     part = lambda i: F.regexp_extract("value", pattern, i)
-    plain = F.regexp_replace(F.regexp_replace(F.regexp_replace(part(4), "\\\\n", "\n"), '\\\\"', '"'), "\\\\\\\\", "\\\\")
+    # One pass: each run between escapes, and each escape by its own sign.
+    pieces = F.regexp_extract_all(part(4), F.lit("[^\\\\]+|\\\\."), F.lit(0))
+    signs = F.create_map(*[F.lit(x) for sign, name in ESCAPES for x in ("\\" + name, sign)])
+    plain = F.array_join(F.transform(pieces, lambda x: F.coalesce(signs[x], x)), "")
     is_literal = F.col("value").rlike('" \\.$')
     return spark.read.text(path).filter(F.col("value").rlike(pattern)).select(part(1).alias("s"), part(2).alias("p"), F.when(is_literal, plain).otherwise(part(3)).alias("o"), F.when(is_literal, "literal").otherwise("iri").alias("o_kind"))

@@ -283,3 +283,30 @@ def test_agent_plan_takes_every_turn(spark, tmp_path):
     spark.createDataFrame(turns, "conv_id bigint, turn int, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
     got = {r.part: r.n for r in registry.agent_plan(spark, str(tmp_path)).collect()}
     assert got == {0: 3, 1: 3, 2: 1}
+
+
+def test_files_round_trip(spark, tmp_path):
+    """Samples in all three forms, triples with every escape, and files that are no UTF-8."""
+    from loomgraph.sources import files
+
+    rows = spark.createDataFrame([(f"question {i}?", "an answer", ["one", " two "]) for i in range(10)], "question string, reference_answer string, expected_context_terms array<string>")
+    files.save_samples(rows.repartition(2), str(tmp_path / "saved"))
+    assert sorted(r.question for r in files.load_samples(spark, str(tmp_path / "saved")).collect()) == sorted(r.question for r in rows.collect())
+    for name, text in (("array.json", '[{"question": "q1", "reference_answer": "a"}, {"question": "q2", "reference_answer": "a"}]'), ("object.json", '{"samples": [{"question": "q1", "reference_answer": "a"}, {"question": "q2", "reference_answer": "a"}]}')):
+        (tmp_path / name).write_text(text)
+        assert sorted(r.question for r in files.load_samples(spark, str(tmp_path / name)).collect()) == ["q1", "q2"]
+    odd = ["plain", 'say "hi"', "back\\nslash", "line\nbreak", "car\rriage", "tab\there", "\\", ""]
+    triples = spark.createDataFrame([(f"urn:s{i}", "urn:p", o, "literal") for i, o in enumerate(odd)] + [("urn:s", "urn:p", "urn:o", "iri")], "s string, p string, o string, o_kind string")
+    files.write_triples(triples, str(tmp_path / "triples"))
+    assert sorted(map(tuple, files.read_triples(spark, str(tmp_path / "triples")).collect())) == sorted(map(tuple, triples.collect()))
+    (tmp_path / "tree").mkdir()
+    (tmp_path / "tree" / "bad.txt").write_bytes(b"good \xff bytes")
+    assert [r.text for r in files.load_directory(spark, str(tmp_path / "tree")).collect()] == ["good \ufffd bytes"]
+
+
+def test_upsert_keeps_one_row_of_an_id(spark):
+    from loomgraph.operators import retrieval
+
+    old = spark.createDataFrame([("a", "old"), ("b", "old")], "chunk_id string, content string")
+    new = spark.createDataFrame([("a", "first"), ("a", "second"), ("c", "new")], "chunk_id string, content string")
+    assert sorted(map(tuple, retrieval.upsert_chunks(old, new).collect())) == [("a", "second"), ("b", "old"), ("c", "new")]

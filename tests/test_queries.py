@@ -9,7 +9,7 @@ import pytest
 from loomgraph.plans import registry
 
 ORACLES = registry.oracle_sql()
-SLOW = {"agent_answers", "eval_report", "retrieve_modes", "graph_stats", "hybrid_rerank", "query_subgraph"}
+SLOW = {"agent_answers", "eval_report", "retrieve_modes", "graph_stats", "hybrid_rerank"}
 
 
 def norm(v):
