@@ -21,6 +21,7 @@ import re
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -32,28 +33,33 @@ from loomgraph.llm.common import materialize, picked, slices
 HOST_PATHS, PAGE_VOTES = 3, 3
 
 # Element kinds of HTML.
-VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title iframe svg select option button object canvas audio video".split())
+VOID = frozenset(["area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"])
+RAW = frozenset(["script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "select", "option", "button", "object", "canvas", "audio", "video"])
 #: Those of RAW whose content is no markup, and those that run to the end of the page if they never close.
-PLAIN, ENDLESS = frozenset("script style textarea title iframe".split()), frozenset("script style".split())
+PLAIN, ENDLESS = frozenset(["script", "style", "textarea", "title", "iframe"]), frozenset(["script", "style"])
 #: Never left out by an id alone, and not so inside an article either.
-TEXT_TAGS, ARTICLE_TAGS = frozenset("h1 h2 h3 h4 h5 h6 p li".split()), frozenset(["section"])
-CONTAINERS = frozenset("html body div section article main aside nav header footer form table tbody tr td ul ol dl figure blockquote details fieldset center dialog menu search".split())
-BLOCKS = CONTAINERS | frozenset("p h1 h2 h3 h4 h5 h6 li dt dd pre hr br address figcaption summary thead tfoot th caption hgroup legend".split())
-PARAGRAPHS = frozenset("p h1 h2 h3 h4 h5 h6 li dd dt pre blockquote td".split())
-LEFT_OUT_TAGS = frozenset("nav aside footer form menu dialog search head".split())
-LEFT_OUT_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
+TEXT_TAGS, ARTICLE_TAGS = frozenset(["h1", "h2", "h3", "h4", "h5", "h6", "p", "li"]), frozenset(["section"])
+CONTAINERS = frozenset(["html", "body", "div", "section", "article", "main", "aside", "nav", "header", "footer", "form", "table", "tbody", "tr", "td", "ul", "ol", "dl", "figure", "blockquote", "details", "fieldset", "center", "dialog", "menu", "search"])
+BLOCKS = CONTAINERS | frozenset(["p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "dt", "dd", "pre", "hr", "br", "address", "figcaption", "summary", "thead", "tfoot", "th", "caption", "hgroup", "legend"])
+PARAGRAPHS = frozenset(["p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "dd", "dt", "pre", "blockquote", "td"])
+LEFT_OUT_TAGS = frozenset(["nav", "aside", "footer", "form", "menu", "dialog", "search", "head"])
+LEFT_OUT_ROLES = frozenset(["navigation", "banner", "contentinfo", "complementary", "search", "form", "alert", "alertdialog", "dialog", "menu", "menubar", "toolbar"])
 #: Words of class and id names that mark what is no article text.
 LEFT_OUT_WORDS = frozenset(
-    "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner popup modal overlay cookie cookies consent gdpr notice "
-    "notification alert menu nav navbar navigation breadcrumb breadcrumbs pagination pager sidebar aside widget footer masthead comment comments "
-    "respond reply replies disqus discussion related recommended recommendations share sharing social newsletter subscribe subscription signup login "
-    "search toolbar skip hidden sr outbrain taboola".split()
+    [
+        "ad", "ads", "advert", "adverts", "advertisement", "advertising", "adsense", "sponsor", "sponsored", "promo", "promotion", "banner", "popup",
+        "modal", "overlay", "cookie", "cookies", "consent", "gdpr", "notice", "notification", "alert", "menu", "nav", "navbar", "navigation",
+        "breadcrumb", "breadcrumbs", "pagination", "pager", "sidebar", "aside", "widget", "footer", "masthead", "comment", "comments", "respond",
+        "reply", "replies", "disqus", "discussion", "related", "recommended", "recommendations", "share", "sharing", "social", "newsletter",
+        "subscribe", "subscription", "signup", "login", "search", "toolbar", "skip", "hidden", "sr", "outbrain", "taboola",
+    ]
 )
 #: As above, for whole names.
-LEFT_OUT_NAMES = frozenset("header site-header page-header top-bar topbar sr-only visually-hidden screen-reader-text comment-list comments-area".split())
+LEFT_OUT_NAMES = frozenset(["header", "site-header", "page-header", "top-bar", "topbar", "sr-only", "visually-hidden", "screen-reader-text", "comment-list", "comments-area"])
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_OPEN = re.compile(r"(<!--.*?(?:-->|\Z))|<[!?]|<(/?)([a-zA-Z][^\s/>]*)", re.S)
+#: The rest of a tag: a quote opens a value only after "=".
+_REST = re.compile(r"""((?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+)>""")
 _LABEL = re.compile("[^<]*")
 _ATTRIBUTE = re.compile(r"""([a-zA-Z_:][-\w:.]*)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _NAME_WORD = re.compile("[A-Z]?[a-z]+|[A-Z]+")
@@ -76,6 +82,42 @@ class Page:
     segments: list[tuple[Container, str]] = field(default_factory=list)  # text with " " at block borders
 
 
+class Token(NamedTuple):
+    """A tag, or with no name a comment or declaration."""
+
+    start: int
+    end: int
+    closing: bool
+    name: str | None
+    rest: str
+
+
+class Tokens:
+    """The tags of a text, in one pass: where a quoted value never ends, tags end at the next > from there on."""
+
+    def __init__(self, text: str):
+        self.text, self.final, self.broken = text, text.rfind(">"), False
+
+    def search(self, at: int) -> Token | None:
+        text = self.text
+        m = _OPEN.search(text, at)
+        if m is None:
+            return None
+        if m[1]:
+            return Token(m.start(), m.end(), False, None, "")
+        if m.end() > self.final:  # no > is left: all text
+            return None if "<!--" not in text[m.end() :] else self._comment(m.end())
+        rest = _REST.match(text, m.end()) if m[3] and not self.broken else None
+        if rest:
+            return Token(m.start(), rest.end(), bool(m[2]), m[3], rest[1])
+        self.broken = self.broken or bool(m[3])
+        end = text.index(">", m.end())
+        return Token(m.start(), end + 1, bool(m[2]), m[3], text[m.end() : end])
+
+    def _comment(self, at: int) -> Token:
+        return Token(self.text.index("<!--", at), len(self.text), False, None, "")
+
+
 def _attributes(raw: str) -> dict[str, str]:
     return {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(raw)} if raw.strip(" /\t\n\r") else {}
 
@@ -100,9 +142,10 @@ def _step(tag: str, attributes: dict[str, str]) -> str:
     return tag + "".join(f".{n}" for n in names) if names else f"{tag}#{re.sub('[0-9]+', '#', attributes['id'].lower())}" if attributes.get("id") else tag
 
 
-def _raw_end(text: str, tag: str, at: int, last: dict[str, int]) -> int:
+def _raw_end(tokens: Tokens, tag: str, at: int, last: dict[str, int]) -> int:
     """Where the content of a RAW element that begins at `at` ends: after its end tag, if that comes
     before its container's; else before the next tag, as if it were void."""
+    text = tokens.text
     if tag == "option":
         return at + len(_LABEL.match(text, at)[0])
     end = re.compile(rf"</{re.escape(tag)}\s*>", re.I)
@@ -112,17 +155,17 @@ def _raw_end(text: str, tag: str, at: int, last: dict[str, int]) -> int:
         found = end.search(text, at) if at <= last[tag] else None
         return found.end() if found else len(text) if tag in ENDLESS else at
     depth, i = 0, at
-    while i <= last[tag] and (m := _TOKEN.search(text, i)):
-        i = m.end()
-        if m[2] is None:
+    while i <= last[tag] and (m := tokens.search(i)):
+        i = m.end
+        if m.name is None:
             continue
-        inner = m[2].lower()
-        if m[1] and inner == tag:
+        inner = m.name.lower()
+        if m.closing and inner == tag:
             return i
-        if inner in PLAIN and not m[1]:
-            i = _raw_end(text, inner, i, last)
+        if inner in PLAIN and not m.closing:
+            i = _raw_end(tokens, inner, i, last)
         elif inner in CONTAINERS:
-            depth += -1 if m[1] else 1
+            depth += -1 if m.closing else 1
             if depth < 0:
                 break
     return at + len(_LABEL.match(text, at)[0]) if tag == "button" else at
@@ -170,18 +213,18 @@ def parse(text: str) -> Page:
         del stack[i:]
 
     last: dict[str, int] = {}
-    at, n = 0, len(text)
+    tokens, at, n = Tokens(text), 0, len(text)
     while at < n:
-        m = _TOKEN.search(text, at)
+        m = tokens.search(at)
         if m is None:
             add(text[at:])
             break
-        add(text[at : m.start()])
-        at = m.end()
-        if m[2] is None:
+        add(text[at : m.start])
+        at = m.end
+        if m.name is None:
             continue
-        tag = m[2].lower()
-        if m[1]:
+        tag = m.name.lower()
+        if m.closing:
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == tag:
                     if tag in BLOCKS:
@@ -196,8 +239,8 @@ def parse(text: str) -> Page:
                 in_paragraph = False
             continue
         if tag in RAW:
-            if tag in PLAIN or not m[3].rstrip().endswith("/"):
-                at = _raw_end(text, tag, at, last)
+            if tag in PLAIN or not m.rest.rstrip().endswith("/"):
+                at = _raw_end(tokens, tag, at, last)
             continue
         if tag in BLOCKS:
             close_block()
@@ -212,7 +255,7 @@ def parse(text: str) -> Page:
         if tag in VOID:
             continue
         container, out = where()
-        attributes = _attributes(m[3])
+        attributes = _attributes(m.rest)
         inside = container.inside_article
         if not out and attributes or tag in LEFT_OUT_TAGS or tag == "header":
             out = out or _left_out(tag, attributes, inside)

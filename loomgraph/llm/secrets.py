@@ -47,22 +47,30 @@ TRAIN_STRINGS = 100_000
 PER_CHAR, IN_ALL = 0.5, 12.0
 
 #: Ordinary words that identifiers are made of, beside those of the documents.
-ORDINARY = """
-account action address album amount android answer apple archive array article asset author average backup balance banner batch beach binary block board
-body border branch bridge browser bucket buffer build button cache calendar camera candidate catalog center chain change channel chapter chart check child
-city class client cloud cluster code collection color column command comment common company config connection content context control copy count country
-create current customer dashboard data database date default delete design detail device digital directory document domain download driver email energy
-engine entry error event example export family feature field file filter final find folder format frame function garden gateway general global graph green
-group handler header health height history home host image import index info input instance internal item java key kernel label language last layer layout
-level library license light limit line link list local location login machine mail main manager map market master matrix media member memory menu message
-method metric mobile mode model module money month mountain movie music name network node note number object office online operation option orange order
-output owner package page parent parser part partner path payment people phone photo picture place plan player plugin point policy power price print
-private process product profile program project property protocol provider public query queue random range record region release remote report request
-resource response result review road role root route rule sample school score screen script search section security select sensor series server service
-session setting shape share shop simple size snapshot source space speed spring stage standard start state static station status storage store story
-stream street string style subject summer support system table target task team template test text theme thread time title token total track traffic
-transfer tree type update upload user utility value version video view water weather week weight wheel white width window winter word worker world writer
-""".split()
+ORDINARY = [
+    "account", "action", "address", "album", "amount", "android", "answer", "apple", "archive", "array", "article", "asset", "author", "average",
+    "backup", "balance", "banner", "batch", "beach", "binary", "block", "board", "body", "border", "branch", "bridge", "browser", "bucket", "buffer",
+    "build", "button", "cache", "calendar", "camera", "candidate", "catalog", "center", "chain", "change", "channel", "chapter", "chart", "check",
+    "child", "city", "class", "client", "cloud", "cluster", "code", "collection", "color", "column", "command", "comment", "common", "company",
+    "config", "connection", "content", "context", "control", "copy", "count", "country", "create", "current", "customer", "dashboard", "data",
+    "database", "date", "default", "delete", "design", "detail", "device", "digital", "directory", "document", "domain", "download", "driver",
+    "email", "energy", "engine", "entry", "error", "event", "example", "export", "family", "feature", "field", "file", "filter", "final", "find",
+    "folder", "format", "frame", "function", "garden", "gateway", "general", "global", "graph", "green", "group", "handler", "header", "health",
+    "height", "history", "home", "host", "image", "import", "index", "info", "input", "instance", "internal", "item", "java", "key", "kernel",
+    "label", "language", "last", "layer", "layout", "level", "library", "license", "light", "limit", "line", "link", "list", "local", "location",
+    "login", "machine", "mail", "main", "manager", "map", "market", "master", "matrix", "media", "member", "memory", "menu", "message", "method",
+    "metric", "mobile", "mode", "model", "module", "money", "month", "mountain", "movie", "music", "name", "network", "node", "note", "number",
+    "object", "office", "online", "operation", "option", "orange", "order", "output", "owner", "package", "page", "parent", "parser", "part",
+    "partner", "path", "payment", "people", "phone", "photo", "picture", "place", "plan", "player", "plugin", "point", "policy", "power", "price",
+    "print", "private", "process", "product", "profile", "program", "project", "property", "protocol", "provider", "public", "query", "queue",
+    "random", "range", "record", "region", "release", "remote", "report", "request", "resource", "response", "result", "review", "road", "role",
+    "root", "route", "rule", "sample", "school", "score", "screen", "script", "search", "section", "security", "select", "sensor", "series",
+    "server", "service", "session", "setting", "shape", "share", "shop", "simple", "size", "snapshot", "source", "space", "speed", "spring", "stage",
+    "standard", "start", "state", "static", "station", "status", "storage", "store", "story", "stream", "street", "string", "style", "subject",
+    "summer", "support", "system", "table", "target", "task", "team", "template", "test", "text", "theme", "thread", "time", "title", "token",
+    "total", "track", "traffic", "transfer", "tree", "type", "update", "upload", "user", "utility", "value", "version", "video", "view", "water",
+    "weather", "week", "weight", "wheel", "white", "width", "window", "winter", "word", "worker", "world", "writer",
+]
 
 Span = tuple[int, int, str]
 

@@ -400,6 +400,21 @@ def test_signatures_are_shared_by_all_linked_sets():
             assert jaccard_join.sketch_distance(jaccard_join.parity_sketch(a), jaccard_join.parity_sketch(b)) <= size + n_b - 2 * both
 
 
+def test_html_with_stray_and_open_quotes():
+    """A quote opens a value only after "="; a text of open quotes costs its length."""
+    import time
+
+    text = lambda page: " ".join(t for _, t in html_extract.parse(page).segments)
+    assert text("<p title=it's>John's text</p><p>Rest</p>") == "John's text Rest"
+    assert text('<p title="x"y">One</p><p class=\'a"b\'>Two</p>') == "One Two"
+    assert text('<p title="a > b">In</p><p title="open>Lost quote</p><p>End</p>').endswith("End")
+    assert text("<p>5 < 6 and <b") == "5 < 6 and <b"
+    for page in ('<a title="x' * 90_000, "<!" * 500_000, '<a title="x' * 90_000 + "'>", "<a b=" * 200_000):
+        start = time.perf_counter()
+        html_extract.parse(page)
+        assert time.perf_counter() - start < 5
+
+
 def test_quality_model(spark, sf_dir):
     docs, labels = spark.read.parquet(f"{sf_dir}/../sf0.01/documents.parquet"), spark.read.parquet(f"{sf_dir}/../sf0.01/labels.parquet")
     train, held = labels.filter("doc_id % 3 > 0"), labels.filter("doc_id % 3 = 0")
