@@ -5,6 +5,7 @@ entities: entity_id, name.
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -64,7 +65,7 @@ def greedy_leaders(reps: DataFrame, pairs: DataFrame, materialize: Callable[[Dat
     A key is decided once all its smaller similar keys are: it joins the smallest of them that
     is a leader, or leads. Rounds stop when all keys are decided; each one decides at least the
     smallest undecided key of every component. materialize cuts the lineage of a round (default:
-    a checkpoint in the session's checkpoint folder, or a persisted frame if it has none).
+    a checkpoint in the session's checkpoint folder).
     """
     cut = materialize or _cut
     state = cut(reps.select("key").withColumn("leader", F.lit(None).cast("string")))
@@ -84,10 +85,10 @@ def greedy_leaders(reps: DataFrame, pairs: DataFrame, materialize: Callable[[Dat
 
 def _cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder and not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint() if spark.sparkContext._jsc.sc().getCheckpointDir().isDefined() else df.persist()
+    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        # A cluster names its shared folder; only a session without one, as in tests, gets its own.
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-"))
+    return df.checkpoint()
 
 
 def assisted_pairs(reps: DataFrame, candidates: DataFrame, same: Callable[[Column, Column], Column]) -> DataFrame:

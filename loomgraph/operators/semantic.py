@@ -86,11 +86,12 @@ def instances(nodes: DataFrame, edges: DataFrame, ns: str = NAMESPACE) -> DataFr
     """Label, type and relation triples of nodes and edges with names."""
     named = nodes.filter(strip(F.coalesce("name", F.lit(""))) != "")
     s = node_iri(F.col("name"), ns)
-    labels = named.select(s.alias("s"), F.lit(RDFS + "label").alias("p"), strip(F.col("name")).alias("o"), F.lit("literal").alias("o_kind"))
-    types = named.select(s, F.lit(RDF + "type"), F.concat(F.lit(ns), "label"), F.lit("iri"))
+    triple = lambda p, o, kind: F.struct(s.alias("s"), F.lit(p).alias("p"), o.alias("o"), F.lit(kind).alias("o_kind"))
+    # Both triples of a node come from one pass over the nodes.
+    own = named.select(F.inline(F.array(triple(RDFS + "label", strip(F.col("name")), "literal"), triple(RDF + "type", F.concat(F.lit(ns), "label"), "iri"))))
     full = edges.filter((strip(F.coalesce("src_name", F.lit(""))) != "") & (strip(F.coalesce("dst_name", F.lit(""))) != "") & (strip(F.coalesce("rel", F.lit(""))) != ""))
     links = full.select(node_iri(F.col("src_name"), ns), F.concat(F.lit(ns), strip(F.col("rel"))), node_iri(F.col("dst_name"), ns), F.lit("iri"))
-    return labels.union(types).union(links).distinct()
+    return own.union(links).distinct()
 
 
 def snapshot(nodes: DataFrame, edges: DataFrame, most_nodes: int | None = 300, most_edges: int | None = 600) -> tuple[DataFrame, DataFrame]:
