@@ -72,7 +72,7 @@ SECOND, LOOSE = 3, 1
 STARS = 2
 #: Shingles of a block's sets, about: sketches take at most a byte a shingle.
 BLOCK = 1 << 16
-#: Ids that are broadcast at most (8 bytes each, about 40 in a hash table); more are joined by a shuffle.
+#: Rows of ids or labels that are broadcast at most (up to 16 bytes each, about 50 in a hash table); more are joined by a shuffle.
 BROADCAST_IDS = 1 << 20
 
 
@@ -291,16 +291,20 @@ def shared_sets(sets: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     return sets.select("d").distinct().join(poor, "d", "left_anti")
 
 
+def small(rows: DataFrame) -> DataFrame:
+    """Rows of one or two longs, to be broadcast if they, which are counted, are few."""
+    return F.broadcast(rows) if rows.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else rows.hint("shuffle_hash")
+
+
 def only_of(rows: DataFrame, ids: DataFrame, on) -> DataFrame:
-    """The rows of these ids: by a broadcast if the ids, which are counted, are few, else by a shuffle."""
-    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    return rows.join(F.broadcast(ids) if few else ids.hint("shuffle_hash"), on, "left_semi")
+    """The rows of these ids: by a broadcast if the ids are few, else by a shuffle."""
+    return rows.join(small(ids), on, "left_semi")
 
 
 def across(held: DataFrame, labels: DataFrame | None) -> DataFrame:
     """e, need, total, sig, d, c: signatures that hold several components, of sets with enough of them for a link."""
     own = held.select("e", "need", "total", "sig", _set_of("e").alias("d"))
-    own = own.withColumn("c", F.col("d")) if labels is None else own.join(labels, "d")
+    own = own.withColumn("c", F.col("d")) if labels is None else own.join(small(labels), "d")
     rows = own.select("e", "need", "total", "d", "c", F.explode("sig").alias("sig"))
     several = rows.groupBy("sig").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low <> high").select("sig")
     left = rows.join(several, "sig", "left_semi").groupBy("e", "need", "total", "d", "c").agg(F.collect_list("sig").alias("sig"))
@@ -339,7 +343,7 @@ def may_be_linked(pairs: DataFrame, sets: DataFrame, threshold: int = THRESHOLD)
 def linked(close: DataFrame, sets: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """Of the pairs (a, b), those whose whole sets are similar enough."""
     ids = close.select(F.col("a").alias("d")).union(close.select("b"))
-    wanted = sets.select("d", "shingles").join(ids, "d", "left_semi")
+    wanted = only_of(sets.select("d", "shingles"), ids, "d")
     both = F.size(F.array_intersect("x", "y"))
     similar = 100 * both >= threshold * (F.size("x") + F.size("y") - both)
     rows = close.join(wanted.select(F.col("d").alias("a"), F.col("shingles").alias("x")), "a").join(wanted.select(F.col("d").alias("b"), F.col("shingles").alias("y")), "b")
@@ -436,7 +440,7 @@ def _forest(ends: np.ndarray, order: np.ndarray) -> list[int]:
 def block_pairs(active: DataFrame, sets: DataFrame, scratch: Scratch, spanning: bool, threshold: int = THRESHOLD) -> DataFrame:
     """Pairs (a, b) across components that the sketches leave; spanning: of those of two blocks, only a spanning forest."""
     placed, filled = blocks(active, sets, scratch)
-    rows = active.select("d", "c", F.explode("sig").alias("sig")).join(placed, "d")
+    rows = active.select("d", "c", F.explode("sig").alias("sig")).join(small(placed), "d")
     met = rows.groupBy("sig", "block").agg(F.min("c").alias("low"), F.max("c").alias("high"))
     # Two different pairs of extremes, or one that is no single component.
     first, second = met.select("sig", *[F.col(k).alias(f"{k}1") for k in ("block", "low", "high")]), met.select("sig", *[F.col(k).alias(f"{k}2") for k in ("block", "low", "high")])
