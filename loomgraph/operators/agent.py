@@ -43,7 +43,7 @@ def merge_context(hits: DataFrame) -> DataFrame:
     """question_id, context: the best score of each chunk, the best chunks first."""
     best = top_per(hits.withColumn("_key", F.concat_ws("\0", "question_id", "chunk_id")), "_key", 1, F.desc("score"), "part").drop("rank", "_key")
     kept = top_per(best, "question_id", MOST_CONTEXT, F.desc("score"), "chunk_id")
-    item = F.struct("rank", "chunk_id", "relative_path", "section", "content", "score", "entities", "neighbours")
+    item = F.struct("rank", "chunk_id", "relative_path", "section", "content", "score", "entities", "neighbours", "chunk_index", "line_start", "line_end")
     return kept.groupBy("question_id").agg(F.array_sort(F.collect_list(item)).alias("context"))
 
 
@@ -69,17 +69,17 @@ Retriever = Callable[[DataFrame], DataFrame]
 
 
 def answer(questions: DataFrame, retriever: Retriever, generator: Callable[[Column, Column], Column] = draft, adaptive: bool = True, retry: bool = True, subject: str = "Corpus") -> DataFrame:
-    """query_id, text, sub_questions, context, answer, verified for each question.
+    """query_id, text, sub_questions, context, answer, citations, attempts, verified for each question.
 
     retriever: questions (query_id, text, mode) -> ranked hits with content. generator: a column
-    expression or a pandas_udf of (question, context). A failed check is answered again once,
-    which the generator, being a function of the same inputs, can only repeat; without retry an
-    unsupported answer becomes a caution.
+    expression or a pandas_udf of (question, context), marked asNondeterministic if it can say
+    something else the second time. An answer that fails its check is generated once more, for
+    which a verified row passes nulls, and checked again; without retry it becomes a caution.
     """
     parts = plan(questions, subject)
     asked = route(parts) if adaptive else parts.withColumn("mode", F.lit("hybrid_rerank"))
     hits = retriever(asked).join(parts.select("query_id", "question_id", "part"), "query_id")
-    none = F.array().cast("array<struct<rank:int,chunk_id:string,relative_path:string,section:string,content:string,score:double,entities:array<string>,neighbours:array<string>>>")
+    none = F.array().cast("array<struct<rank:int,chunk_id:string,relative_path:string,section:string,content:string,score:double,entities:array<string>,neighbours:array<string>,chunk_index:int,line_start:int,line_end:int>>")
     rows = questions.join(merge_context(hits).withColumnRenamed("question_id", "query_id"), "query_id", "left")
     rows = rows.withColumn("context", F.coalesce("context", none)).withColumn("sub_questions", sub_questions(F.col("text"), subject))
     rows = rows.withColumn("answer", generator(F.col("text"), F.col("context")))
@@ -87,7 +87,31 @@ def answer(questions: DataFrame, retriever: Retriever, generator: Callable[[Colu
     if not retry:
         caution = F.lit("The retrieved sources do not support a confident answer.")
         rows = rows.withColumn("answer", F.when(F.col("verified") | (F.size("context") == 0), F.col("answer")).otherwise(caution))
-    return rows.select("query_id", "text", "sub_questions", "context", "answer", "verified")
+        rows = rows.withColumn("attempts", F.lit(1))
+    else:
+        failed = ~F.coalesce("verified", F.lit(False))
+        again = generator(F.when(failed, F.col("text")), F.when(failed, F.col("context")))
+        rows = rows.withColumn("attempts", F.when(failed, 2).otherwise(1)).withColumn("answer", F.when(failed, again).otherwise(F.col("answer")))
+        rows = rows.withColumn("verified", supported(F.col("answer"), F.col("context")))
+    return rows.withColumn("citations", citations(F.col("context"))).select("query_id", "text", "sub_questions", "context", "answer", "citations", "attempts", "verified")
+
+
+def citations(context: Column) -> Column:
+    """array<struct>: the place of each piece of evidence, in its order."""
+    fields = ["chunk_id", "relative_path", "chunk_index", "section", "line_start", "line_end", "score"]
+    return F.transform(context, lambda c: F.struct(*[c[f].alias(f) for f in fields], c["entities"].alias("matched_entities"), c["neighbours"].alias("graph_neighbours")))
+
+
+def insights(answers: DataFrame) -> DataFrame:
+    """query_id, support, n_citations, sources, entities of answered questions, for display."""
+    distinct = lambda c: F.array_sort(F.array_distinct(c))
+    return answers.select(
+        "query_id",
+        support_status(F.col("verified"), F.size("citations")).alias("support"),
+        F.size("citations").alias("n_citations"),
+        distinct(F.transform("citations", lambda c: c["relative_path"])).alias("sources"),
+        distinct(F.flatten(F.transform("citations", lambda c: c["matched_entities"]))).alias("entities"),
+    )
 
 
 def context_preview(context: Column, most: int = 5, chars: int = 500) -> Column:

@@ -6,6 +6,8 @@ A results row is one question: question, reference_answer, expected (terms), ans
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -173,9 +175,36 @@ def failure_reasons() -> Column:
     return F.array_compact(F.array(*[F.when(F.col(m) < least, f"low_{m}") for m, least in FAILURES.items()]))
 
 
-def report(scored: DataFrame) -> DataFrame:
-    """One row: the mean of every metric that the samples have, to 4 places."""
-    return scored.agg(F.count("*").alias("num_samples"), *[F.round(F.avg(m), 4).alias(m) for m in METRICS if m in scored.columns])
+RESULT = "rank:int,content:string,relative_path:string,entities:array<string>,neighbours:array<string>"
+
+
+def answer_samples(samples: DataFrame, retriever: Callable[[DataFrame], DataFrame], modes: list[str]) -> DataFrame:
+    """Results rows of every sample (query_id, question, reference_answer, expected) by every mode, in one plan.
+
+    retriever: questions (query_id, text, mode) -> ranked hits with content. A sample without hits
+    has an empty context and the template's answer for it.
+    """
+    rows = samples.withColumn("mode", F.explode(F.array(*map(F.lit, modes)))).withColumn("query_id", F.concat_ws("/", "query_id", "mode"))
+    hits = retriever(rows.select("query_id", F.col("question").alias("text"), "mode"))
+    items = hits.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "content", "relative_path", "entities", "neighbours"))).alias("results"))
+    rows = rows.join(items, "query_id", "left").withColumn("results", F.coalesce("results", F.array().cast(f"array<struct<{RESULT}>>")))
+    rows = rows.withColumn("contexts", F.transform("results", lambda r: r["content"]))
+    return rows.withColumn("answer", synthesize(F.col("question"), F.col("results")))
+
+
+def report(scored: DataFrame, *by: str, er: DataFrame | None = None, metadata: dict[str, str] | None = None) -> DataFrame:
+    """The mean of every metric that the samples have, to 4 places: one row, or one per group.
+
+    A measured latency_ms column becomes avg_latency_ms. er: one row of precision, recall and f1,
+    which joins every row with er_ before its names. metadata: constant columns (such as the mode).
+    """
+    if "latency_ms" in scored.columns and "avg_latency_ms" not in scored.columns:
+        scored = scored.withColumnRenamed("latency_ms", "avg_latency_ms")
+    out = scored.groupBy(*by).agg(F.count("*").alias("num_samples"), *[F.round(F.avg(m), 4).alias(m) for m in METRICS if m in scored.columns])
+    if er is not None:
+        one = er.select(*[F.coalesce(m, F.lit(0.0)).alias(f"er_{m}") for m in ("precision", "recall", "f1")]).limit(1)
+        out = out.join(F.broadcast(one), how="cross")
+    return out.withColumns({k: F.lit(v) for k, v in (metadata or {}).items()})
 
 
 def contrast(baseline: DataFrame, candidate: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomgraph.functions.lexicon import NODE_LABELS
@@ -39,6 +39,26 @@ def trend(reports: DataFrame, by: str, order: str, metrics: list[str], keep: int
     return rows.withColumn("_r", F.row_number().over(w.orderBy(F.desc(order)))).filter(F.col("_r") <= keep).drop("_r")
 
 
+def append_history(reports: DataFrame, path: str) -> None:
+    """Adds reports to the history, a table in Parquet; readers cut it to the last ones (trend)."""
+    reports.write.mode("append").parquet(path)
+
+
+def history(spark: SparkSession, path: str, by: str, order: str, metrics: list[str], keep: int = HISTORY) -> DataFrame:
+    """The kept history of every series with its changes and whether it drifted."""
+    rows = trend(spark.read.parquet(path), by, order, metrics, keep)
+    return rows.withColumn("drift_flagged", drift(rows.columns))
+
+
+def read_only(statement: Column) -> Column:
+    """A statement starts with match and has no unsafe word."""
+    text = F.lower(strip(F.coalesce(statement, F.lit(""))))
+    safe = text.startswith("match")
+    for word in UNSAFE:
+        safe = safe & ~F.contains(text, F.lit(word))
+    return safe
+
+
 def drift(columns: list[str]) -> Column:
     """Any score fell, or latency or cost rose, by its limit; of the delta columns that there are."""
     out = F.lit(False)

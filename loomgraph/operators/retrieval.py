@@ -8,6 +8,7 @@ after the cut, so scoring carries keys and scores only.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window
@@ -34,14 +35,18 @@ def sparse_hits(chunks: DataFrame, questions: DataFrame, k: int) -> DataFrame:
     return top_hits(scored, k)
 
 
-def dense_hits(chunks: DataFrame, questions: DataFrame, k: int, dim: int = 256, metric: str = "l2") -> DataFrame:
-    """Score 1 / (1 + distance) of hash embeddings; metric l2, squared_l2 or cosine.
+#: rows, key column, text column, dim -> key, idx, value, norm: a provider of embeddings as their non-zero cells.
+Embedder = Callable[[DataFrame, str, str, int], DataFrame]
+
+
+def dense_hits(chunks: DataFrame, questions: DataFrame, k: int, dim: int = 256, metric: str = "l2", embedder: Embedder = embedding_cells) -> DataFrame:
+    """Score 1 / (1 + distance) of embeddings (hashed ones by default); metric l2, squared_l2 or cosine.
 
     Only cells that a question has can add to a product, so chunk cells meet the questions'
     (broadcast) cells by index; a chunk without a common cell is no hit.
     """
-    cells = embedding_cells(chunks, "chunk_id", "content", dim)
-    asked = embedding_cells(questions, "query_id", "text", dim).select("query_id", "idx", F.col("value").alias("q"), F.col("norm").alias("q_norm"))
+    cells = embedder(chunks, "chunk_id", "content", dim)
+    asked = embedder(questions, "query_id", "text", dim).select("query_id", "idx", F.col("value").alias("q"), F.col("norm").alias("q_norm"))
     products = cells.join(F.broadcast(asked), "idx").groupBy("query_id", "chunk_id").agg(F.sum(F.col("value") * F.col("q")).alias("dot"), F.max("norm").alias("norm"), F.max("q_norm").alias("q_norm"))
     cosine = F.col("dot") / (F.col("norm") * F.col("q_norm"))
     return top_hits(products.select("query_id", "chunk_id", (1 / (1 + _distance(cosine, metric))).alias("score")), k)
@@ -138,17 +143,22 @@ def rerank(expanded: DataFrame) -> DataFrame:
     return expanded.withColumn("score", F.round(F.col("score") + 0.03 * F.size("entities") + 0.015 * F.size("neighbours"), 6))
 
 
-def retrieve(chunks: DataFrame, mentions: DataFrame, has_chunk: DataFrame, edges: DataFrame, questions: DataFrame, lexicon: list[Entry], k: int = 5, dim: int = 256) -> DataFrame:
-    """Expanded hits of every question by its mode (dense, sparse, graph or hybrid_rerank), ranked."""
+def retrieve(chunks: DataFrame, mentions: DataFrame, has_chunk: DataFrame, edges: DataFrame, questions: DataFrame, lexicon: list[Entry], k: int = 5, dim: int = 256, dense: Callable[[DataFrame, DataFrame, int], DataFrame] | None = None) -> DataFrame:
+    """Expanded hits of every question by its mode (dense, sparse, graph or hybrid_rerank), ranked.
+
+    dense: the store that answers dense questions, dense_hits by default; sparse_hits makes it a
+    lexical store.
+    """
+    dense = dense or (lambda rows, asked, most: dense_hits(rows, asked, most, dim))
     of = lambda *modes: questions.filter(F.col("mode").isin(*modes))
     hybrid = questions.filter(~F.coalesce("mode", F.lit("")).isin("dense", "sparse", "graph"))
-    plain = dense_hits(chunks, of("dense"), k, dim).unionByName(sparse_hits(chunks, of("sparse"), k))
+    plain = dense(chunks, of("dense"), k).unionByName(sparse_hits(chunks, of("sparse"), k))
     seeds, hops = graph_seed_hits(mentions, of("graph"), k), graph_hop_hits(mentions, edges, of("graph"), lexicon, k)
     plain = plain.unionByName(top_hits(merge_hits(seeds, hops, 2 * k), k))
-    mixed = merge_hits(dense_hits(chunks, hybrid, k, dim), sparse_hits(chunks, hybrid, k), k)
+    mixed = merge_hits(dense(chunks, hybrid, k), sparse_hits(chunks, hybrid, k), k)
     out = expand(plain, mentions, has_chunk).unionByName(rerank(expand(mixed, mentions, has_chunk)))
     ranked = top_per(out, "query_id", k, F.desc("score"), "chunk_id")
-    return ranked.join(chunks.select("chunk_id", "content", "relative_path", "section"), "chunk_id")
+    return ranked.join(chunks.select("chunk_id", "content", "relative_path", "section", "chunk_index", "line_start", "line_end"), "chunk_id")
 
 
 def upsert_chunks(old: DataFrame, new: DataFrame) -> DataFrame:

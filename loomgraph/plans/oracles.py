@@ -165,6 +165,14 @@ _RULES = [
     ("dense", 0.85, "rule_dense_intent", [r"\b(define|definition|what is|meaning|overview|explain)\b"]),
 ]
 _RULE_CASE = " ".join(f"WHEN regexp_matches(low, '{'|'.join(f'(?:{p})' for p in ps)}') THEN {{{'mode'!r}: '{m}', 'score': {s}::DOUBLE, 'reason': '{r}'}}" for m, s, r, ps in _RULES)
+# The modes' prototype texts, in order.
+_PROTOTYPE_TEXTS = {
+    "dense": ["explain concept definition and overview", "summarize method and rationale", "what does this term mean"],
+    "sparse": ["exact function name parameter signature", "file path section line range", "specific keyword search in code", "api parameter default value signature", "python function class method module"],
+    "graph": ["relationship between entities dependencies", "which components mention concept", "connected nodes and neighbourhood"],
+    "hybrid_rerank": ["compare methods and evidence from docs and code", "multi-hop question with entities and details", "retrieve broad context and rerank"],
+}
+_PROTOTYPES = ", ".join(f"('{m}', {i}, '{m}{j}', '{t}')" for i, (m, ts) in enumerate(_PROTOTYPE_TEXTS.items()) for j, t in enumerate(ts))
 _LABELS = [
     "Chunk", "DocPage", "ExampleNotebook", "TestCase", "PythonModule", "PythonClass", "PythonFunction", "Parameter", "PortfolioMethod",
     "RiskMeasure", "ConstraintType", "Estimator", "ReportType", "PlotType", "Solver", "Concept", "AssetClass", "FactorModel", "MarketRegime",
@@ -232,6 +240,12 @@ ORACLES = {
       r AS (SELECT *, "both" / greatest(1, predicted) AS p, "both" / greatest(1, actual) AS q FROM n)
       SELECT predicted, actual, "both", round(p, 4) AS precision, round(q, 4) AS recall, round(CASE WHEN p + q = 0 THEN 0 ELSE 2 * p * q / (p + q) END, 4) AS f1 FROM r""",
     "er_similar": f"WITH {_NAMES} SELECT a, b FROM alike",
+    "er_greedy": f"""WITH RECURSIVE {_NAMES.replace("sets AS (", "sets AS MATERIALIZED (").replace("alike AS (", "alike AS MATERIALIZED (")}, ids AS MATERIALIZED (SELECT name, row_number() OVER (ORDER BY name) AS i FROM (SELECT a AS name FROM alike UNION SELECT b FROM alike)),
+      low AS MATERIALIZED (SELECT y.i, list(x.i ORDER BY x.i) AS prior FROM alike JOIN ids x ON x.name = a JOIN ids y ON y.name = b GROUP BY y.i),
+      step(i, leaders) AS (SELECT 0::BIGINT, []::BIGINT[] UNION ALL SELECT s.i + 1, CASE WHEN l.prior IS NOT NULL AND list_has_any(s.leaders, l.prior) THEN s.leaders ELSE list_append(s.leaders, s.i + 1) END FROM step s LEFT JOIN low l ON l.i = s.i + 1 WHERE s.i < (SELECT count(*) FROM ids)),
+      done AS (SELECT leaders FROM step ORDER BY i DESC LIMIT 1),
+      led AS (SELECT ids.name, CASE WHEN list_contains(leaders, ids.i) THEN ids.i ELSE list_min(list_intersect(leaders, prior)) END AS lead FROM ids LEFT JOIN low USING (i), done)
+      SELECT leader, count(*) AS n FROM (SELECT x.name AS leader FROM led JOIN ids x ON x.i = lead UNION ALL SELECT name FROM sets WHERE name NOT IN (SELECT name FROM ids)) GROUP BY leader""",
     "context_metrics": f"""WITH {_CONTEXTS}, m AS (SELECT relative_path, contexts, list_filter(range(1, len(contexts) + 1), lambda i: len(list_filter({_TERMS}, lambda t: contains(lower(contexts[i]), t))) > 0)[1] AS hit FROM ctx)
       SELECT relative_path, round(len(list_filter({_TERMS}, lambda t: contains(lower(array_to_string(contexts, chr(10))), t))) / 4, 6) AS recall,
         round(len(list_filter(contexts, lambda c: {_HAS_TERM})) / len(contexts), 6) AS precision, coalesce(hit, 0)::INTEGER AS first_hit, CASE WHEN hit <= 3 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS hits_3,
@@ -255,6 +269,15 @@ ORACLES = {
       SELECT event_type, strftime(day, '%Y-%m-%d') AS day, round(age, 1) AS freshness_hours, round(1 - grounding, 6) <= 0.5 AS drift_met, age <= 1080 AS freshness_met, grounding >= 0.4 AS grounding_met,
         CASE WHEN round(1 - grounding, 6) <= 0.5 AND age <= 1080 AND grounding >= 0.4 AND answer_faithfulness >= 0.4 AND avg_latency_ms <= 3000 AND estimated_cost_usd <= 0.02 THEN 'healthy' ELSE 'degraded' END AS status FROM s""",
     "route_rules": f"""SELECT conv_id, turn, r.mode AS mode, r.score AS score, r.reason AS reason FROM (SELECT conv_id, turn, CASE {_RULE_CASE} ELSE {{'mode': 'sparse', 'score': 0.55::DOUBLE, 'reason': 'rule_default'}} END AS r FROM (SELECT *, lower(coalesce(text, '')) AS low FROM conversations))""",
+    "route_modes": f"""WITH turns AS (SELECT conv_id || '/' || turn AS query_id, coalesce(text, '') AS text, lower(coalesce(text, '')) AS low FROM conversations),
+      protos(mode, ord, pid, text) AS (VALUES {_PROTOTYPES}), pc AS {_cells("protos", "pid", "text", 128)}, tc AS {_cells("turns", "query_id", "text", 128)},
+      mean AS (SELECT mode, idx, sum(value / norm) / max(nt) AS p FROM pc JOIN protos USING (pid) JOIN (SELECT mode, count(*) AS nt FROM protos GROUP BY mode) USING (mode) GROUP BY mode, idx),
+      dots AS (SELECT query_id, mode, sum(value * p) / (max(norm) * max(pnorm)) AS c FROM tc JOIN (SELECT *, sqrt(sum(p * p) OVER (PARTITION BY mode)) AS pnorm FROM mean) USING (idx) GROUP BY ALL),
+      ruled AS (SELECT query_id, text, CASE {_RULE_CASE} ELSE {{'mode': 'sparse', 'score': 0.55::DOUBLE, 'reason': 'rule_default'}} END AS r FROM turns),
+      options AS (SELECT query_id, text, m.mode, ord, 0.65::DOUBLE * greatest(0.0::DOUBLE, least(1.0::DOUBLE, coalesce(c, 0.0::DOUBLE))) + 0.35::DOUBLE * CASE WHEN r.mode = m.mode THEN r.score ELSE 0.0::DOUBLE END AS score FROM ruled CROSS JOIN (SELECT DISTINCT mode, ord FROM protos) m LEFT JOIN dots USING (query_id, mode)),
+      best AS (SELECT * FROM options QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ord) = 1),
+      chosen AS (SELECT CASE WHEN {_STRIP("text")} = '' OR score < 0.2 THEN 'hybrid_rerank' ELSE mode END AS mode, CASE WHEN {_STRIP("text")} = '' THEN 0.0::DOUBLE ELSE score END AS confidence FROM best)
+      SELECT mode, count(*) AS n, round(avg(confidence), 6) AS confidence FROM chosen GROUP BY mode""",
     "guard_decisions": f"""WITH made AS (SELECT conv_id, turn, {_STRIP("lower(CASE WHEN turn % 3 = 0 THEN 'Count chunk for ' || role WHEN turn % 3 = 1 THEN 'who mentions ' || role || '?' ELSE coalesce(text, '') END)")} AS q FROM conversations),
       p AS (SELECT *, list_filter([{', '.join(f"'{x}'" for x in _LABELS)}], lambda l: lower(l) = regexp_extract(q, 'count\\s+(\\w+)', 1))[1] AS lab, {_STRIP("regexp_extract(q, 'mentions?\\s+([a-zA-Z0-9_\\-\\s]+)', 1)")} AS ent,
         {' OR '.join(f"contains(q, '{w}')" for w in ('create', 'merge', 'delete', 'set ', 'remove', 'drop', 'call dbms', 'load csv'))} AS bad FROM made),

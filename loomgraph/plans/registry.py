@@ -301,13 +301,8 @@ def er_greedy(spark, sf_dir):
 def eval_rows(spark: SparkSession, sf_dir: str, mode: str = "sparse") -> DataFrame:
     """Results rows of the evaluated questions, by one retrieval mode."""
     samples = spark.createDataFrame([(f"e{i}", *s) for i, s in enumerate(EVALUATED)], "query_id string, question string, reference_answer string, expected array<string>")
-    asked = samples.select("query_id", F.col("question").alias("text"), F.lit(mode).alias("mode"))
-    hits = retrieval.retrieve(chunks(spark, sf_dir), mentions(spark, sf_dir), has_chunk(spark, sf_dir), common_edges(spark), asked, lx.COMMON, K)
-    items = hits.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "content", "relative_path", "entities", "neighbours"))).alias("results"))
-    none = F.array().cast("array<struct<rank:int,content:string,relative_path:string,entities:array<string>,neighbours:array<string>>>")
-    rows = samples.join(items, "query_id", "left").withColumn("results", F.coalesce("results", none))
-    rows = rows.withColumn("contexts", F.transform("results", lambda r: r["content"]))
-    return rows.withColumn("answer", evaluation.synthesize(F.col("question"), F.col("results")))
+    retriever = lambda q: retrieval.retrieve(chunks(spark, sf_dir), mentions(spark, sf_dir), has_chunk(spark, sf_dir), common_edges(spark), q, lx.COMMON, K)
+    return evaluation.answer_samples(samples, retriever, [mode]).withColumn("query_id", F.substring_index("query_id", "/", 1))
 
 
 def context_metrics(spark, sf_dir):
@@ -418,7 +413,7 @@ def agent_answers(spark, sf_dir):
     rows, names, sources = chunks(spark, sf_dir), mentions(spark, sf_dir), has_chunk(spark, sf_dir)
     retriever = lambda q: retrieval.retrieve(rows, names, sources, common_edges(spark), q, lx.COMMON, K)
     out = agent.answer(questions(spark).select("query_id", "text"), retriever)
-    return out.select("query_id", F.size("sub_questions").alias("n_parts"), F.size("context").alias("n_context"), F.length("answer").alias("n_chars"), "verified")
+    return out.select("query_id", F.size("sub_questions").alias("n_parts"), F.size("context").alias("n_context"), F.length("answer").alias("n_chars"), F.size("citations").alias("n_citations"), "attempts", "verified")
 
 
 def question_terms(spark, sf_dir):

@@ -103,6 +103,18 @@ def save_samples(samples: DataFrame, path: str) -> None:
     samples.write.mode("overwrite").json(path)
 
 
+def save_report(report: DataFrame, path: str) -> None:
+    """An evaluation report as JSON lines, one per row of the report (a mode, or the whole)."""
+    report.write.mode("overwrite").json(path)
+
+
+def save_comparison(contrasted: DataFrame, deltas: DataFrame, path: str, baseline: str = "baseline", candidate: str = "candidate") -> None:
+    """A comparison: the metrics' verdicts with both labels, and the changes per question below it."""
+    labels = {"baseline_label": F.lit(baseline), "candidate_label": F.lit(candidate)}
+    contrasted.withColumns(labels).write.mode("overwrite").json(f"{path}/metrics")
+    deltas.withColumns(labels).write.mode("overwrite").json(f"{path}/samples")
+
+
 def read_reports(spark: SparkSession, path: str) -> DataFrame:
     """Evaluation reports; a metric that is missing is 0."""
     rows = spark.read.schema("ts timestamp, " + ", ".join(f"{m} double" for m in REPORT_METRICS)).json(path)

@@ -6,9 +6,10 @@ import os
 import duckdb
 import pytest
 
-from loomgraph.plans import registry
+from loomgraph.plans import code_files, evaluated, registry
 
-ORACLES = registry.oracle_sql()
+QUERIES = registry.queries() | code_files.queries() | evaluated.queries()
+ORACLES = registry.oracle_sql() | code_files.ORACLES | evaluated.ORACLES
 SLOW = {"agent_answers", "eval_report", "retrieve_modes", "graph_stats", "hybrid_rerank"}
 
 
@@ -20,7 +21,7 @@ def norm(v):
 
 @pytest.mark.parametrize("name", sorted(set(ORACLES) - SLOW))
 def test_query_matches_sql(spark, sf_dir, name):
-    df = registry.queries()[name](spark, sf_dir)
+    df = QUERIES[name](spark, sf_dir)
     con = duckdb.connect()
     for f in glob.glob(f"{sf_dir}/*.parquet"):
         con.sql(f"create view {os.path.basename(f)[:-8]} as select * from '{f}'")
@@ -33,7 +34,7 @@ def test_query_matches_sql(spark, sf_dir, name):
 
 
 def test_every_oracle_has_a_query():
-    assert set(ORACLES) <= set(registry.queries())
+    assert set(ORACLES) <= set(QUERIES)
 
 
 def test_entry_imports_without_training_data(monkeypatch):
