@@ -27,6 +27,11 @@ def _mean(values: Column) -> Column:
     return F.when(F.size(values) == 0, 0.0).otherwise(F.round(total / F.size(values), 4))
 
 
+def _once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is worked out once: inside a lambda, an expression is worked out for every element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def _lower(terms: Column) -> Column:
     return F.transform(terms, F.lower)
 
@@ -50,11 +55,10 @@ def weighted_precision(question: Column, expected: Column, contexts: Column) ->
     """Mean over contexts of 0.65 of the terms that are its tokens and 0.35 Jaccard with the question."""
     terms, asked = F.array_distinct(_lower(expected)), token_set(question)
 
-    def score(c: Column) -> Column:
-        seen = token_set(c)
+    def score(seen: Column) -> Column:
         return F.when(F.size(seen) == 0, 0.0).otherwise(0.65 * coverage(terms, seen) + 0.35 * jaccard(asked, seen))
 
-    return _mean(F.transform(contexts, score))
+    return _mean(F.transform(F.transform(contexts, token_set), score))
 
 
 def token_faithfulness(answer: Column, contexts: Column) -> Column:
@@ -63,9 +67,13 @@ def token_faithfulness(answer: Column, contexts: Column) -> Column:
 
 def claim_faithfulness(answer: Column, contexts: Column) -> Column:
     """The part of the answer's claims of which a quarter of the tokens are in the contexts together."""
-    said, seen = claims(answer), token_set(F.array_join(contexts, "\n"))
-    held = F.filter(said, lambda c: coverage(token_set(c), seen) >= SUPPORT)
-    return F.when(F.size(said) == 0, 0.0).otherwise(F.size(held) / F.size(said))
+    said = F.transform(claims(answer), token_set)
+
+    def share(x: Column) -> Column:
+        held = F.filter(x["said"], lambda c: coverage(c, x["seen"]) >= SUPPORT)
+        return F.when(F.size(x["said"]) == 0, 0.0).otherwise(F.size(held) / F.size(x["said"]))
+
+    return _once(F.struct(said.alias("said"), token_set(F.array_join(contexts, "\n")).alias("seen")), share)
 
 
 def token_relevance(question: Column, answer: Column) -> Column:
@@ -82,14 +90,15 @@ def grounding(answer: Column, contexts: Column, top: int = 3) -> Column:
     """Mean over claims of 0.75 of the support by the first contexts and 0.25 of its share in all support."""
     said = claims(answer)
     said = F.when((F.size(said) == 0) & (strip(answer) != ""), F.array(strip(answer))).otherwise(said)
-    everything, first = token_set(F.array_join(contexts, "\n")), token_set(F.array_join(F.slice(contexts, 1, max(1, top)), "\n"))
+    sets = F.filter(F.transform(said, token_set), lambda s: F.size(s) > 0)
+    seen = lambda texts: token_set(F.array_join(texts, "\n"))
 
-    def score(c: Column) -> Column:
-        seen, high = coverage(token_set(c), everything), coverage(token_set(c), first)
-        return 0.75 * high + 0.25 * F.when(seen > 0, high / seen).otherwise(0.0)
+    def support(x: Column) -> Column:
+        both = F.transform(x["sets"], lambda s: F.struct(coverage(s, x["all"]).alias("seen"), coverage(s, x["first"]).alias("high")))
+        scores = F.transform(both, lambda b: 0.75 * b["high"] + 0.25 * F.when(b["seen"] > 0, b["high"] / b["seen"]).otherwise(0.0))
+        return F.when((F.size(x["all"]) == 0) | (F.size(x["first"]) == 0), 0.0).otherwise(_once(scores, _mean))
 
-    scores = F.transform(F.filter(said, lambda c: F.size(token_set(c)) > 0), score)
-    return F.when((F.size(everything) == 0) | (F.size(first) == 0), 0.0).otherwise(_mean(scores))
+    return _once(F.struct(sets.alias("sets"), seen(contexts).alias("all"), seen(F.slice(contexts, 1, max(1, top))).alias("first")), support)
 
 
 def _all_tokens(texts: Column) -> Column:
@@ -99,20 +108,20 @@ def _all_tokens(texts: Column) -> Column:
 def multi_hop(question: Column, results: Column) -> Column:
     """0.45 query coverage, 0.35 best bridge to another result, 0.20 for entities with graph context."""
     asked = token_set(question)
-    support = F.transform(results, lambda r: F.struct(
+    given = F.transform(results, lambda r: F.struct(
         _all_tokens(F.concat(F.array(r["content"]), r["entities"], r["neighbours"])).alias("all"),
         _all_tokens(r["entities"]).alias("entities"),
         _all_tokens(F.array_except(r["neighbours"], r["entities"])).alias("graph"),
     ))
 
-    def score(s: Column, i: Column) -> Column:
+    def score(support: Column, s: Column, i: Column) -> Column:
         others = F.filter(support, lambda o, j: (i != j) & (F.size(o["all"]) > 0))
         bridge = F.when(F.size(s["entities"]) == 0, 0.0).otherwise(F.coalesce(F.array_max(F.transform(others, lambda o: jaccard(s["entities"], o["all"]))), F.lit(0.0)))
         structure = F.when((F.size(s["entities"]) > 0) & (F.size(s["graph"]) > 0), 1.0).when(F.size(s["entities"]) > 0, 0.5).otherwise(0.0)
         full = F.round(0.45 * coverage(asked, s["all"]) + 0.35 * bridge + 0.20 * structure, 4)
         return F.when(F.size(s["all"]) == 0, 0.0).otherwise(full)
 
-    return _mean(F.transform(support, score))
+    return _once(_once(given, lambda support: F.transform(support, lambda s, i: score(support, s, i))), _mean)
 
 
 def first_hit(expected: Column, contexts: Column) -> Column:

@@ -67,8 +67,8 @@ def greedy_leaders(reps: DataFrame, pairs: DataFrame, materialize: Callable[[Dat
     smallest undecided key of every component. materialize cuts the lineage of a round (default:
     a checkpoint in the session's checkpoint folder).
     """
-    cut = materialize or _cut
-    state = cut(reps.select("key").withColumn("leader", F.lit(None).cast("string")))
+    keep = materialize or cut
+    state = keep(reps.select("key").withColumn("leader", F.lit(None).cast("string")))
     lower = pairs.select(F.col("b").alias("key"), "a")
     while True:
         known = state.select(F.col("key").alias("a"), F.col("leader").alias("a_leader"))
@@ -78,12 +78,13 @@ def greedy_leaders(reps: DataFrame, pairs: DataFrame, materialize: Callable[[Dat
         )
         rows = state.join(seen, "key", "left")
         ready = F.col("first_open").isNull() | (F.col("first_leader") < F.col("first_open"))
-        state = cut(rows.select("key", F.coalesce("leader", F.when(ready, F.coalesce("first_leader", "key"))).alias("leader")))
+        state = keep(rows.select("key", F.coalesce("leader", F.when(ready, F.coalesce("first_leader", "key"))).alias("leader")))
         if state.filter("leader IS NULL").isEmpty():
             return state
 
 
-def _cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame) -> DataFrame:
+    """df written to the session's checkpoint folder, its plan cut off."""
     spark = df.sparkSession
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         # A cluster names its shared folder; only a session without one, as in tests, gets its own.

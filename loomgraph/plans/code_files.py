@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions import lexicon as lx
 from loomgraph.operators import chunking, extraction, graph, semantic
+from loomgraph.operators.resolution import cut
 from loomgraph.plans import oracles
 from loomgraph.plans.registry import Query, corpus, table
 from loomgraph.sources import files as fs
@@ -44,7 +45,8 @@ def file_chunks(spark, sf_dir):
 
 def symbol_edges(spark, sf_dir):
     """Declared classes and functions, their parameters, and what tests call."""
-    edges = extraction.extract(chunking.chunk_files(source_files(spark, sf_dir)), lx.DOMAIN)[1]
+    # Chunks are written once: each kind of edge is a pass over them.
+    edges = extraction.extract(cut(chunking.chunk_files(source_files(spark, sf_dir))), lx.DOMAIN)[1]
     edges = edges.filter(F.col("rel").isin("DECLARES", "HAS_PARAMETER", "VALIDATES") & F.col("dst_label").isin("PythonClass", "PythonFunction", "Parameter"))
     return extraction.merge_edges(edges).select(*graph.EDGE_KEY)
 

@@ -310,3 +310,63 @@ def test_upsert_keeps_one_row_of_an_id(spark):
     old = spark.createDataFrame([("a", "old"), ("b", "old")], "chunk_id string, content string")
     new = spark.createDataFrame([("a", "first"), ("a", "second"), ("c", "new")], "chunk_id string, content string")
     assert sorted(map(tuple, retrieval.upsert_chunks(old, new).collect())) == [("a", "second"), ("b", "old"), ("c", "new")]
+
+
+def test_failed_answers_get_a_second_call(spark):
+    from pyspark.sql.functions import pandas_udf
+
+    calls = spark.sparkContext.accumulator(0)
+
+    @pandas_udf("string")
+    def generator(text, context):
+        calls.add(int(text.notna().sum()))
+        return text.map(lambda t: "alpha beta" if t == "good question" else "zzz yyy")
+
+    hit = ("c1", 1, 0.5, ["alpha"], ["alpha"], "alpha beta", "m.py", "s", 0, 1, 2)
+    schema = "chunk_id string, rank int, score double, entities array<string>, neighbours array<string>, content string, relative_path string, section string, chunk_index int, line_start int, line_end int"
+    hits = spark.createDataFrame([hit], schema)
+    asked = spark.createDataFrame([("a", "good question"), ("b", "bad question")], "query_id string, text string")
+    out = agent.answer(asked, lambda q: q.select("query_id").crossJoin(F.broadcast(hits)), generator.asNondeterministic())
+    rows = {r.query_id: r for r in out.collect()}
+    assert (rows["a"].attempts, rows["a"].verified, rows["b"].attempts, rows["b"].verified) == (1, True, 2, False)
+    assert calls.value >= 3
+    assert [(c.chunk_id, c.relative_path, c.line_start, c.line_end, c.matched_entities) for c in rows["a"].citations] == [("c1", "m.py", 1, 2, ["alpha"])]
+    assert {r.query_id: r.support for r in agent.insights(out).collect()} == {"a": "Strong source support", "b": "Partial source support"}
+
+
+def test_reports_and_comparisons_are_saved(spark, tmp_path):
+    scored = spark.createDataFrame([("a", 0.5, 10.0), ("b", 1.0, 20.0)], "question string, context_recall double, latency_ms double")
+    er = spark.createDataFrame([(0.5, 1.0, 0.6667)], "precision double, recall double, f1 double")
+    report = evaluation.report(scored, er=er, metadata={"retrieval_mode": "sparse"})
+    row = report.first()
+    assert (row.num_samples, row.context_recall, row.avg_latency_ms, row.er_f1, row.retrieval_mode) == (2, 0.75, 15.0, 0.6667, "sparse")
+    fs.save_report(report, str(tmp_path / "report"))
+    assert fs.read_reports(spark, str(tmp_path / "report")).first().avg_latency_ms == 15.0
+    better = evaluation.report(scored.withColumn("context_recall", F.lit(1.0)))
+    deltas = evaluation.sample_deltas(scored, scored.withColumn("context_recall", F.lit(1.0)), ["context_recall"])
+    fs.save_comparison(evaluation.contrast(report, better), deltas, str(tmp_path / "both"), "old", "new")
+    assert {(r.metric, r.verdict, r.candidate_label) for r in spark.read.json(str(tmp_path / "both/metrics")).collect()} == {("context_recall", "improved", "new"), ("avg_latency_ms", "unchanged", "new")}
+    assert sorted(r.delta_context_recall for r in spark.read.json(str(tmp_path / "both/samples")).collect()) == [0.0, 0.5]
+
+
+def test_history_is_appended_and_cut(spark, tmp_path):
+    path = str(tmp_path / "history")
+    for day in range(33):
+        spark.createDataFrame([("s", day, 0.9 if day < 32 else 0.5)], "series string, day int, grounding double").coalesce(1).write.mode("append").parquet(path) if day < 32 else governance.append_history(spark.createDataFrame([("s", day, 0.5)], "series string, day int, grounding double"), path)
+    rows = governance.history(spark, path, "series", "day", ["grounding"]).orderBy("day").collect()
+    assert [r.day for r in rows] == list(range(3, 33))
+    assert [r.drift_flagged for r in rows] == [False] * 29 + [True]
+
+
+def test_only_reading_statements_pass(spark):
+    df = spark.createDataFrame([("MATCH (n) RETURN n",), ("match (n) delete n",), ("CREATE (n)",), (None,)], "s string")
+    assert [r[0] for r in df.select(governance.read_only(F.col("s"))).collect()] == [True, False, False, False]
+
+
+def test_an_embedder_takes_the_hash_embeddings_place(spark):
+    def by_length(rows, key, text, dim):
+        return rows.select(key, F.lit(0).alias("idx"), F.length(text).alias("value"), F.length(text).cast("double").alias("norm"))
+
+    chunks = spark.createDataFrame([("c0", "abc"), ("c1", "xyz")], "chunk_id string, content string")
+    asked = spark.createDataFrame([("q", "other words")], "query_id string, text string")
+    assert [(r.chunk_id, r.score) for r in retrieval.dense_hits(chunks, asked, 2, embedder=by_length).orderBy("rank").collect()] == [("c0", 1.0), ("c1", 1.0)]
