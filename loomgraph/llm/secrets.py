@@ -6,7 +6,8 @@ lines leave of it, is scored by two order-1 Markov models over characters, one o
 strings and one of ordinary identifiers, and is a secret when the log-likelihood ratio a character and in
 all is over its threshold. `train` fits both models on labelled samples: random strings
 (drawn here by rule, together with what the base rules found in a bounded sample of
-documents) and ordinary words and identifiers (from the same documents and by rule).
+documents) and ordinary words and identifiers (from the same documents and by rule). A part in the form of a
+UUID is an identifier and not scored (base rules still find one that is assigned to a keyword).
 
 Defined results: a null or empty text has no spans; offsets are code points, ends exclusive;
 rows are scanned one by one (repeated rows and null ids give the same); texts of any length
@@ -39,6 +40,8 @@ LEAST = 12
 _RUN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{%d,}+(?:={1,2}(?![A-Za-z0-9+/_=-]))?" % LEAST)
 #: Drawn lines, which are borders too.
 _LINE = re.compile(r"([+/_=-])\1{3,}")
+#: UUIDs name things and are no keys. Their form tells them: their characters follow each other as a hexadecimal key's do.
+_UUID = re.compile("[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}", re.I | re.A)
 #: Documents that `train` reads at most.
 TRAIN_DOCS = 2000
 #: Distinct strings of either kind that it learns from.
@@ -128,6 +131,8 @@ def identifier_samples(vocabulary: list[str], n: int = 3000) -> list[str]:
         a, b, c = (vocabulary[(i * k + k) % len(vocabulary)] for k in (7, 31, 101))
         forms = [f"{a}_{b}_{i}", f"{a}{b.title()}{c.title()}{i % 100}", f"{a}-{b}-{c}-{i}", f"{a.upper()}_{b.upper()}_{i % 10}", f"{a}/{b}/{c}{i % 10}", f"2{i % 1000:03d}-{i % 12 + 1:02d}-{i % 28 + 1:02d}_{a}-{b}", f"v{i % 9}_{i % 20}_{i % 7}-{a}{b}", f"{i:08d}-{i * 7 % 10000:04d}-{a}"]
         out.append(forms[i % len(forms)])
+        names = [f"__{a.lower()}_{b.lower()}__", f"_{a.upper()}_{b.upper()}_{c.upper()}", f"/{a.lower()}/{b.lower()}/{c.lower()}", f"{a.upper()}_{b.upper()}"]
+        out.append(names[i % len(names)])
     return out
 
 
@@ -151,7 +156,7 @@ def _parts(text: str, base: list[Span]) -> Iterator[tuple[int, int]]:
         cuts = [(a, b) for a, b, _ in base if a < m.end() and m.start() < b]
         cuts += [x.span() for x in _LINE.finditer(text, m.start(), m.end())]
         for a, b in [*sorted(cuts), (m.end(), m.end())]:
-            if a - at >= LEAST:
+            if a - at >= LEAST and not _UUID.fullmatch(text, at, a):
                 yield at, a
             at = max(at, b)
 
