@@ -23,6 +23,8 @@ def scratch_dir(spark: SparkSession) -> str:
     """A new folder under spark.checkpoint.dir, which driver and executors share."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-")
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
@@ -73,6 +75,11 @@ class Scratch:
         self.forget_shuffles()
         return last
 
+    def clear(self) -> None:
+        """Remove all tables: nothing reads them any more."""
+        drop_tables(self.spark, self.paths)
+        self.paths = []
+
     def forget_shuffles(self) -> None:
         """Let Spark remove the shuffle files of steps that nothing refers to any more."""
         gc.collect()
@@ -119,30 +126,45 @@ def slices(batch: pa.RecordBatch, text: str = "text", most: int = 1 << 20) -> It
         start = end
 
 
-# 64-bit polynomial hashes of byte ranges, by prefix sums: B is odd, so it has an inverse.
+# Polynomial hashes of byte ranges modulo two primes below 2^31, by prefix sums. (A polynomial modulo
+# 2^64 has known collisions: Thue-Morse sequences of 1,024 or more.)
+_LOW = np.uint64((1 << 31) - 1)
+_SHIFT = np.uint64(31)
+#: Each prime is 2^31 - c.
+_PRIMES = {1: (1 << 31) - 1, 19: (1 << 31) - 19}
+_BASES = {1: 1_391_873_917, 19: 1_103_515_193}
+_powers: dict[tuple[int, int], np.ndarray] = {}
 _B = np.uint64(0x9E3779B97F4A7C15)
-_B_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_powers: dict[str, np.ndarray] = {}
 
 
-def _table(fold: bool) -> np.ndarray:
-    """A random 64-bit value for each byte; fold: A-Z count as a-z."""
-    values = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+def _table(fold: bool, c: int) -> np.ndarray:
+    """A random value for each byte; fold: A-Z count as a-z."""
+    values = np.random.default_rng(20240229 + c).integers(1, _PRIMES[c], 256, dtype=np.uint64)
     if fold:
         values[65:91] = values[97:123]
     return values
 
 
-_TABLES = {fold: _table(fold) for fold in (False, True)}
+_TABLES = {(fold, c): _table(fold, c) for fold in (False, True) for c in _PRIMES}
+
+
+def _reduced(x: np.ndarray, c: int) -> np.ndarray:
+    """x in place, below 2^62 before and 2^36 after, of the same residue modulo 2^31 - c."""
+    high = x >> _SHIFT
+    x &= _LOW
+    high *= np.uint64(c)
+    x += high
+    return x
 
 
-def powers(base: np.uint64, n: int) -> np.ndarray:
-    key = str(base)
-    if key not in _powers or len(_powers[key]) < n:
-        steps = np.full(max(n, 1 << 16), base, np.uint64)
-        steps[0] = 1
-        _powers[key] = np.multiply.accumulate(steps)
-    return _powers[key][:n]
+def powers(base: int, n: int, c: int) -> np.ndarray:
+    """base^0 to base^(n - 1) modulo 2^31 - c."""
+    p = _PRIMES[c]
+    have = _powers.get((base, c), np.ones(1, np.uint64))
+    while len(have) < n:
+        have = np.concatenate([have, have * np.uint64(pow(base, len(have), p)) % np.uint64(p)])
+    _powers[base, c] = have
+    return have[:n]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -154,10 +176,15 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def range_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool = False) -> np.ndarray:
     """The 64-bit hash of each data[start:end]; equal bytes have equal hashes anywhere."""
+    out = np.zeros(len(starts), np.uint64)
     sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_TABLES[fold][data] * powers(_B, len(data)), out=sums[1:])
-    own = (sums[ends] - sums[starts]) * powers(_B_INVERSE, len(data) + 1)[starts]
-    return mix(own + (ends - starts).astype(np.uint64))
+    for c, p in _PRIMES.items():
+        terms = _TABLES[fold, c][data]
+        terms *= powers(_BASES[c], len(data), c)
+        np.cumsum(_reduced(terms, c), out=sums[1:])
+        back = powers(pow(_BASES[c], -1, p), len(data) + 1, c)[starts]
+        out = (out << _SHIFT) | ((sums[ends] - sums[starts]) % np.uint64(p) * back % np.uint64(p))
+    return mix(out + (ends - starts).astype(np.uint64) * _B)
 
 
 def window_hashes(h: np.ndarray, n: int) -> np.ndarray:

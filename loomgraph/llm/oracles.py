@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from loomgraph.llm.sharding import OVERHEAD, SHARDS, WHOLE
 from loomgraph.llm.quality_rules import BASE_LIMIT, LINE_LIMIT, MIN_WORDS, NGRAMS
 
 _WORDS = r"list_filter(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'), lambda w: w <> '')"
@@ -40,4 +41,21 @@ SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {BASE_LIMIT} * n_words
     AND {" AND ".join(f"100 * dup_chars_{n} <= {limit} * word_chars" for n, limit in NGRAMS.items())} AS kept
 FROM a"""
 
-ORACLES = {"op1_quality_rules": _OP1}
+# CRC-32 from its definition: the table of the reflected polynomial, then a step a byte.
+_CRC = """
+  t AS (SELECT list_transform(range(256), lambda b: list_reduce(range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, b::BIGINT)) AS crc),
+  b AS (SELECT doc_id, xor(4294967295, list_reduce(list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: ('0x' || x)::BIGINT),
+      lambda c, x: xor(c // 256, crc[xor(c % 256, x) + 1]), 4294967295))::BIGINT AS text_crc32, row_number() OVER () AS r FROM documents, t)"""
+
+_OP11 = f"""
+WITH {_CRC.strip()},
+  d AS (SELECT doc_id, coalesce(text, '') AS text, row_number() OVER () AS r FROM documents),
+  k AS (SELECT doc_id, r, strlen(text)::BIGINT + {OVERHEAD} AS size, ('0x' || substr(md5(text), 1, 15))::BIGINT AS h FROM d),
+  s AS (SELECT *, row_number() OVER o - 1 AS row, sum(size) OVER o - size AS byte, sum(size) OVER () AS total FROM k
+    WINDOW o AS (ORDER BY h, doc_id NULLS FIRST, r ROWS UNBOUNDED PRECEDING)),
+  g AS (SELECT *, min(byte) OVER (PARTITION BY h) AS group_byte, sum(size) OVER (PARTITION BY h) AS group_size FROM s),
+  p AS (SELECT *, ({SHARDS} * (CASE WHEN group_size * {SHARDS * WHOLE} <= total THEN 2 * group_byte + group_size ELSE 2 * byte + size END) // (2 * total))::INT AS shard FROM g)
+SELECT p.doc_id, size, text_crc32, 'bytes' AS law, shard, row - min(row) OVER (PARTITION BY shard) AS slot, NULL::INT AS grown_shard
+FROM p JOIN b USING (r)"""
+
+ORACLES = {"op1_quality_rules": _OP1, "op11_sharding": _OP11}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgraph.llm import bitplanes, byte_bpe, html_extract, jaccard_join, jpeg, mixing, quality_model, quality_rules, secrets, token_counts
+from loomgraph.llm import bitplanes, byte_bpe, html_extract, jaccard_join, jpeg, mixing, quality_model, quality_rules, secrets, sharding, token_counts
 from loomgraph.llm.oracles import ORACLES
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -73,8 +73,12 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jpeg.media(table(spark, sf_dir, "documents"))
 
 
+def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_documents(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_quality_model, op3_token_counts, op4_mixing, op5_byte_bpe, op6_jaccard_join, op7_secrets, op8_token_ids, op9_html_extract, op10_media)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_quality_model, op3_token_counts, op4_mixing, op5_byte_bpe, op6_jaccard_join, op7_secrets, op8_token_ids, op9_html_extract, op10_media, op11_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:

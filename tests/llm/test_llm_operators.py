@@ -77,6 +77,20 @@ def test_quality_rules(docs):
     assert quality_rules.quality_rules(empty(docs)).count() == 0
 
 
+def thue_morse(n, a, b):
+    return "".join(b if i.bit_count() % 2 else a for i in range(n))
+
+
+@pytest.mark.parametrize("n", [512, 1024, 2048])
+def test_hashes_tell_thue_morse_strings_apart(spark, n):
+    """Under a polynomial modulo 2^64 these pairs collide for any base."""
+    x, y = thue_morse(n, "a", "b"), thue_morse(n, "b", "a")
+    lines = spark.createDataFrame([(1, f"{x}\n{y}\nz"), (2, f"{x}\n{x}\nz")], "doc_id bigint, text string")
+    assert [r.n_dup_lines for r in quality_rules.quality_rules(lines).orderBy("doc_id").collect()] == [0, 1]
+    sets = spark.createDataFrame([(1, f"{x} w1 w2 w3 w4"), (2, f"{y} w1 w2 w3 w4"), (3, f"{x.upper()} w1 w2 w3 w4")], "doc_id bigint, text string")
+    assert {r.doc_id: r.component_id for r in jaccard_join.jaccard_components(sets).collect()} == {1: 1, 2: 2, 3: 1}
+
+
 def test_token_counts(docs):
     import sentencepiece
 
