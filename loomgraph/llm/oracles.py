@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from loomgraph.llm.sharding import OVERHEAD, SHARDS, WHOLE
+from loomgraph.llm.hard_negatives import HIGH, LOW, NEGATIVES, POSITIVES
 from loomgraph.llm.quality_rules import BASE_LIMIT, LINE_LIMIT, MIN_WORDS, NGRAMS
+from loomgraph.llm.sharding import OVERHEAD, SHARDS, WHOLE
 
 _WORDS = r"list_filter(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'), lambda w: w <> '')"
 
@@ -58,4 +59,16 @@ WITH {_CRC.strip()},
 SELECT p.doc_id, size, text_crc32, 'bytes' AS law, shard, row - min(row) OVER (PARTITION BY shard) AS slot, NULL::INT AS grown_shard
 FROM p JOIN b USING (r)"""
 
-ORACLES = {"op1_quality_rules": _OP1, "op11_sharding": _OP11}
+_OP13 = f"""
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, row_number() OVER () AS r,
+    list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x)))),
+  s AS (SELECT a.r AS anchor, a.vec_id AS anchor_id, a.label = v.label AS same, v.vec_id, v.r, list_dot_product(a.v, v.v)::BIGINT AS score
+    FROM (SELECT * FROM v WHERE vec_id % 100 = 0) a, v WHERE a.r <> v.r),
+  p AS (SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY score DESC, vec_id NULLS LAST) <= {POSITIVES})
+SELECT p.anchor_id, p.vec_id AS positive_id, row_number() OVER (PARTITION BY p.anchor, p.r ORDER BY s.score DESC, s.vec_id NULLS LAST)::INT AS rank,
+  s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score
+FROM p JOIN s ON s.anchor = p.anchor AND NOT s.same AND {LOW} * p.score <= 100 * s.score AND 100 * s.score <= {HIGH} * p.score
+QUALIFY rank <= {NEGATIVES}"""
+
+ORACLES = {"op1_quality_rules": _OP1, "op13_hard_negatives": _OP13, "op11_sharding": _OP11}
