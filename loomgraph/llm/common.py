@@ -29,10 +29,10 @@ def scratch_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame) -> DataFrame:
+def materialize(df: DataFrame, compression: str | None = None) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: its lineage ends there."""
     path = scratch_dir(df.sparkSession)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -56,8 +56,8 @@ class Scratch:
     def __init__(self, spark: SparkSession):
         self.spark, self.paths = spark, []
 
-    def keep(self, df: DataFrame) -> DataFrame:
-        out = materialize(df)
+    def keep(self, df: DataFrame, compression: str | None = None) -> DataFrame:
+        out = materialize(df, compression)
         self.paths += scratch_paths(out)
         return out
 
@@ -102,10 +102,10 @@ def text_or_empty(text: Column) -> Column:
 
 
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """UTF-8 bytes and the n + 1 offsets of a string column; a null is empty."""
+    """Bytes and the n + 1 offsets of a string or binary column; a null is empty."""
     if column.null_count:
-        column = column.fill_null("")
-    wide = pa.types.is_large_string(column.type)
+        column = column.fill_null(b"" if pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type) else "")
+    wide = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)
     _, offsets, data = column.buffers()
     n = len(column)
     if offsets is None:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgraph.llm import bitplanes, byte_bpe, hard_negatives, html_extract, jaccard_join, jpeg, mixing, quality_model, quality_rules, secrets, sharding, token_counts
+from loomgraph.llm import alignment, bitplanes, byte_bpe, hard_negatives, html_extract, jaccard_join, jpeg, mixing, quality_model, quality_rules, secrets, sharding, token_counts
 from loomgraph.llm.oracles import ORACLES
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -77,12 +77,16 @@ def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.aligned_documents(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.tiktoken"), split_pattern(), tokenizer_path("piece_bpe_32k.model"))
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.mined(table(spark, sf_dir, "embeddings"))
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_quality_model, op3_token_counts, op4_mixing, op5_byte_bpe, op6_jaccard_join, op7_secrets, op8_token_ids, op9_html_extract, op10_media, op11_sharding, op13_hard_negatives)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_quality_model, op3_token_counts, op4_mixing, op5_byte_bpe, op6_jaccard_join, op7_secrets, op8_token_ids, op9_html_extract, op10_media, op11_sharding, op12_alignment, op13_hard_negatives)}
 
 
 def oracle_sql() -> dict[str, str]:
