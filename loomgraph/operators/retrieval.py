@@ -9,13 +9,13 @@ after the cut, so scoring carries keys and scores only.
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.functions.lexicon import Entry
 from loomgraph.functions.text import embedding_cells, n_contained, question_tokens
+from loomgraph.operators import vector_index
 from loomgraph.operators.graph import top_per
 
 DENSE_SHARE, SPARSE_SHARE = 0.65, 0.35
@@ -57,27 +57,12 @@ def _distance(cosine, metric: str):
     return {"l2": F.sqrt(squared), "squared_l2": squared, "cosine": F.greatest(F.lit(0.0), 1 - cosine)}[metric]
 
 
-#: Queries that one pass over the vectors takes: with 1,000 floats each, 80 MB are broadcast.
-QUERY_BLOCK = 20_000
-
-
 def vector_neighbours(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """Exact nearest neighbours of stored vectors (vec_id, embedding) by L2 distance, without themselves.
 
-    The queries are counted; up to QUERY_BLOCK are broadcast, more go in blocks of about that size.
+    A scan in blocks; vector_index.search visits fewer rows.
     """
-    asked = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    n_blocks = -(-queries.count() // QUERY_BLOCK)
-    if n_blocks <= 1:
-        return _nearest(vectors, asked, k)
-    blocks = [_nearest(vectors, asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)) == i), k) for i in range(n_blocks)]
-    return reduce(DataFrame.unionByName, blocks)
-
-
-def _nearest(vectors: DataFrame, asked: DataFrame, k: int) -> DataFrame:
-    squared = F.aggregate(F.zip_with("embedding", "q", lambda a, b: (a.cast("double") - b.cast("double")) * (a.cast("double") - b.cast("double"))), F.lit(0.0), lambda s, x: s + x)
-    rows = vectors.join(F.broadcast(asked), F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", F.sqrt(squared).alias("distance"))
-    return top_per(rows, "query_id", k, F.round("distance", 9), "vec_id")
+    return vector_index.full_scan(vectors, queries, k)
 
 
 def graph_seed_hits(mentions: DataFrame, questions: DataFrame, k: int) -> DataFrame:
