@@ -9,6 +9,8 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomgraph.functions import automaton
+
 # Closed label and relation registries of the property graph.
 NODE_LABELS = [
     "Chunk", "DocPage", "ExampleNotebook", "TestCase", "PythonModule", "PythonClass", "PythonFunction", "Parameter", "PortfolioMethod",
@@ -127,12 +129,11 @@ def alias_pattern(aliases: Iterable[str]) -> str:
 
 
 def mentions(text: Column, lexicon: list[Entry]) -> Column:
-    """array<struct<label, canonical>>: which entries a text mentions, sorted.
+    """array<struct<label, canonical>>: which entries a text mentions (by alias_pattern's rules), sorted.
 
-    One pattern per entry, folded into the projection: no join and no shuffle.
+    One automaton finds all aliases in one pass over the text: no join and no shuffle.
     """
-    found = [F.when(text.rlike(alias_pattern(e.aliases)), F.struct(F.lit(e.label).alias("label"), F.lit(e.canonical).alias("canonical"))) for e in lexicon]
-    return F.array_sort(F.array_compact(F.array(*found)))
+    return automaton.mentions(text, tuple((e.label, e.canonical, e.aliases) for e in lexicon))
 
 
 def taxonomy(spark: SparkSession, lexicon: list[Entry], siblings: list[tuple[str, str, str]]) -> tuple[DataFrame, DataFrame]:

@@ -74,19 +74,20 @@ def _props(**values: Column) -> Column:
     return F.map_filter(F.create_map(*[x for k, v in values.items() for x in (F.lit(k), v.cast("string"))]), lambda _, v: v.isNotNull())
 
 
-_NONE = F.lit
-
-
 def _no_props() -> Column:
     return F.create_map().cast("map<string,string>")
 
 
-def _node(rows: DataFrame, label: Column, name: Column, props: Column | None = None) -> DataFrame:
-    return rows.select(label.alias("label"), name.alias("name"), (_no_props() if props is None else props).alias("props"), "ord")
+def _node(label: Column, name: Column, props: Column | None = None) -> Column:
+    return F.struct(label.alias("label"), name.alias("name"), (_no_props() if props is None else props).alias("props"))
+
 
+def _edge(src_label: Column, src: Column, rel: Column, dst_label: Column, dst: Column) -> Column:
+    return F.struct(src_label.alias("src_label"), src.alias("src_name"), rel.alias("rel"), dst_label.alias("dst_label"), dst.alias("dst_name"))
 
-def _edge(rows: DataFrame, src_label: Column, src: Column, rel: Column, dst_label: Column, dst: Column) -> DataFrame:
-    return rows.select(src_label.alias("src_label"), src.alias("src_name"), rel.alias("rel"), dst_label.alias("dst_label"), dst.alias("dst_name"), _no_props().alias("props"), "ord")
+
+def _to(rel: str, kind: str, ends: tuple[Column, Column]) -> Callable[[Column], Column]:
+    return lambda x: _edge(*ends, F.lit(rel), F.lit(kind), x)
 
 
 def chunk_mentions(chunks: DataFrame, lexicon: list[Entry]) -> DataFrame:
@@ -106,42 +107,54 @@ def related_pairs(chunks: DataFrame, lexicon: list[Entry]) -> DataFrame:
 
 
 def extract(chunks: DataFrame, lexicon: list[Entry]) -> tuple[DataFrame, DataFrame]:
-    """All nodes and edges of the chunks, not yet merged."""
+    """All nodes and edges of the chunks, not yet merged.
+
+    A chunk's nodes, and its edges, are made inside its row and unnested once: one pass over the
+    chunks each, without joins or shuffles.
+    """
     lit, col = F.lit, F.col
     label = source_label(col("source_type"))
     name = F.when((label == "PythonModule") & (F.coalesce("module_name", lit("")) != ""), col("module_name")).otherwise(col("relative_path"))
+    code, test = col("source_type").isin("python", "test"), col("source_type") == "test"
+    none = F.array().cast("array<string>")
+    only = lambda cond, found: F.when(F.coalesce(cond, lit(False)), found).otherwise(none)
     rows = chunks.withColumns({"s_label": label, "s_name": name, "ord": F.struct("relative_path", "chunk_index"), "m": mentions(col("content"), lexicon)})
-    nodes = [
-        _node(rows, col("s_label"), col("s_name"), _props(source_type=col("source_type"), relative_path=col("relative_path"), module_name=col("module_name"))),
-        _node(rows, lit("Chunk"), col("chunk_id"), _props(relative_path=col("relative_path"), chunk_index=col("chunk_index"), chunk_kind=col("chunk_kind"), line_start=col("line_start"), line_end=col("line_end"), content=col("content"), source_type=col("source_type"))),
-    ]
-    edges = [_edge(rows, col("s_label"), col("s_name"), lit("HAS_CHUNK"), lit("Chunk"), col("chunk_id"))]
-    code = rows.filter(col("source_type").isin("python", "test"))
-    for kind, found in (("PythonClass", class_names(col("content"))), ("PythonFunction", function_names(col("content")))):
-        own = code.select("*", F.explode(found).alias("symbol"))
-        nodes.append(_node(own, lit(kind), col("symbol")))
-        edges.append(_edge(own, col("s_label"), col("s_name"), lit("DECLARES"), lit(kind), col("symbol")))
-        edges.append(_edge(own, lit("Chunk"), col("chunk_id"), lit("MENTIONS"), lit(kind), col("symbol")))
+    rows = rows.withColumns({
+        "classes": only(code, class_names(col("content"))),
+        "functions": only(code, function_names(col("content"))),
+        "targets": only(test, api_targets(col("content"))),
+        "sigs": F.when(F.coalesce(code, lit(False)), signatures(col("content"))),
+    })
     # A function that is defined twice in a chunk keeps its last parameters.
     last = F.filter("sigs", lambda d, i: ~F.exists(F.slice("sigs", i + 2, F.size("sigs")), lambda e: e["func"] == d["func"]))
-    params = code.withColumn("sigs", signatures(col("content"))).select("ord", F.inline(last)).select("ord", "func", F.explode("params").alias("param"))
-    full = F.concat_ws(":", "func", "param")
-    nodes.append(_node(params, lit("Parameter"), full, _props(function_name=col("func"), parameter_name=col("param"))))
-    edges.append(_edge(params, lit("PythonFunction"), col("func"), lit("HAS_PARAMETER"), lit("Parameter"), full))
-    tests = rows.filter("source_type = 'test'").select("*", F.explode(api_targets(col("content"))).alias("target"))
-    nodes.append(_node(tests, lit("PythonFunction"), col("target")))
-    edges.append(_edge(tests, lit("TestCase"), col("s_name"), lit("VALIDATES"), lit("PythonFunction"), col("target")))
-    said = rows.select("ord", "chunk_id", "source_type", "s_label", "s_name", F.inline("m"))
-    concept = concept_name(col("canonical"))
-    nodes += [_node(said, col("label"), col("canonical")), _node(said, lit("Concept"), concept, _props(canonical=col("canonical")))]
-    edges += [
-        _edge(said, lit("Chunk"), col("chunk_id"), lit("MENTIONS"), col("label"), col("canonical")),
-        _edge(said, lit("Chunk"), col("chunk_id"), lit("MENTIONS"), lit("Concept"), concept),
-        _edge(said, col("s_label"), col("s_name"), concept_relation(col("source_type"), col("label")), col("label"), col("canonical")),
-    ]
-    pairs = related_pairs(chunks, lexicon).join(rows.select("chunk_id", "ord"), "chunk_id")
-    edges.append(_edge(pairs, col("src_label"), col("src_name"), lit("RELATED_TO"), col("dst_label"), col("dst_name")))
-    return _union(nodes), _union(edges)
+    params = F.flatten(F.transform(last, lambda d: F.transform(d["params"], lambda p: F.struct(d["func"].alias("func"), p.alias("param"), F.concat_ws(":", d["func"], p).alias("full")))))
+    rows = rows.withColumn("params", F.coalesce(params, F.array().cast("array<struct<func:string,param:string,full:string>>")))
+
+    chunk = lambda: (lit("Chunk"), col("chunk_id"))
+    source = lambda: (col("s_label"), col("s_name"))
+    chunk_props = ("relative_path", "chunk_index", "chunk_kind", "line_start", "line_end", "content", "source_type")
+    nodes = F.concat(
+        F.array(_node(*source(), _props(**{c: col(c) for c in ("source_type", "relative_path", "module_name")})), _node(*chunk(), _props(**{c: col(c) for c in chunk_props}))),
+        F.transform("classes", lambda x: _node(lit("PythonClass"), x)),
+        F.transform(F.concat("functions", "targets"), lambda x: _node(lit("PythonFunction"), x)),
+        F.transform("params", lambda x: _node(lit("Parameter"), x["full"], _props(function_name=x["func"], parameter_name=x["param"]))),
+        F.transform("m", lambda x: _node(x["label"], x["canonical"])),
+        F.transform("m", lambda x: _node(lit("Concept"), concept_name(x["canonical"]), _props(canonical=x["canonical"]))),
+    )
+    pairs = F.flatten(F.transform("m", lambda a: F.transform(F.filter("m", lambda b: b > a), lambda b: _edge(a["label"], a["canonical"], lit("RELATED_TO"), b["label"], b["canonical"]))))
+    named = lambda rel, ends: [F.transform(c, _to(rel, kind, ends)) for c, kind in (("classes", "PythonClass"), ("functions", "PythonFunction"))]
+    edges = F.concat(
+        F.array(_edge(*source(), lit("HAS_CHUNK"), *chunk())),
+        *named("DECLARES", source()),
+        *named("MENTIONS", chunk()),
+        F.transform("params", lambda x: _edge(lit("PythonFunction"), x["func"], lit("HAS_PARAMETER"), lit("Parameter"), x["full"])),
+        F.transform("targets", lambda x: _edge(lit("TestCase"), col("s_name"), lit("VALIDATES"), lit("PythonFunction"), x)),
+        F.transform("m", lambda x: _edge(*chunk(), lit("MENTIONS"), x["label"], x["canonical"])),
+        F.transform("m", lambda x: _edge(*chunk(), lit("MENTIONS"), lit("Concept"), concept_name(x["canonical"]))),
+        F.transform("m", lambda x: _edge(*source(), concept_relation(col("source_type"), x["label"]), x["label"], x["canonical"])),
+        pairs,
+    )
+    return rows.select(F.inline(nodes), "ord"), rows.select(F.inline(edges), _no_props().alias("props"), "ord")
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:
@@ -201,14 +214,15 @@ def model_graph(chunks: DataFrame, payloads: DataFrame) -> tuple[DataFrame, Data
     name = F.when((label == "PythonModule") & (F.coalesce("module_name", lit("")) != ""), col("module_name")).otherwise(col("relative_path"))
     rows = payloads.join(chunks.select("chunk_id", label.alias("s_label"), name.alias("s_name"), F.struct("relative_path", "chunk_index").alias("ord")), "chunk_id")
     found = rows.select("chunk_id", "s_label", "s_name", "ord", F.inline("nodes")).filter(col("label").isin(NODE_LABELS) & (col("name") != ""))
-    nodes = _node(found, col("label"), col("name"), col("properties"))
+    nodes = found.select("label", "name", col("properties").alias("props"), "ord")
+    edge = lambda df, *ends: df.select(_edge(*ends).alias("e"), "ord").select("e.*", "ord")
     default = lambda c: F.when(col(c) == "", "Concept").otherwise(col(c))
     given = rows.select("ord", F.inline("edges")).withColumns({"a": default("source_label"), "b": default("target_label")})
     given = given.filter(col("relation_type").isin(RELATION_TYPES) & (col("source_name") != "") & (col("target_name") != "") & col("a").isin(NODE_LABELS) & col("b").isin(NODE_LABELS))
     anchors = found.filter(col("label").isin("PythonModule", "DocPage", "ExampleNotebook", "TestCase") & ~((col("label") == col("s_label")) & (col("name") == col("s_name"))))
     edges = _union([
-        _edge(found.filter("label <> 'Chunk'"), lit("Chunk"), col("chunk_id"), lit("MENTIONS"), col("label"), col("name")),
-        _edge(given, col("a"), col("source_name"), col("relation_type"), col("b"), col("target_name")),
-        _edge(anchors, col("s_label"), col("s_name"), lit("RELATED_TO"), col("label"), col("name")),
+        edge(found.filter("label <> 'Chunk'"), lit("Chunk"), col("chunk_id"), lit("MENTIONS"), col("label"), col("name")),
+        edge(given, col("a"), col("source_name"), col("relation_type"), col("b"), col("target_name")),
+        edge(anchors, col("s_label"), col("s_name"), lit("RELATED_TO"), col("label"), col("name")),
     ])
     return nodes, edges.withColumn("props", _props(origin=lit("llm")))

@@ -56,10 +56,14 @@ def require_integrity(edges: DataFrame, nodes: DataFrame) -> None:
 
 
 def stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """kind, name, n: totals, nodes by label and edges by relation."""
-    by = lambda df, kind, c: df.groupBy(F.lit(kind).alias("kind"), F.col(c).alias("name")).agg(F.count("*").alias("n"))
-    total = lambda df, kind: df.agg(F.count("*").alias("n")).select(F.lit("total").alias("kind"), F.lit(kind).alias("name"), "n")
-    return total(nodes, "nodes").unionByName(total(edges, "edges")).unionByName(by(nodes, "label", "label")).unionByName(by(edges, "relation", "rel"))
+    """kind, name, n: totals, nodes by label and edges by relation, each from one pass."""
+
+    def counted(rows: DataFrame, total: str, kind: str, column: str) -> DataFrame:
+        whole = F.grouping(column) == 1
+        out = rows.rollup(column).agg(F.when(whole, "total").otherwise(kind).alias("kind"), F.when(whole, total).otherwise(F.col(column)).alias("_name"), F.count("*").alias("n"))
+        return out.select("kind", F.col("_name").alias("name"), "n")
+
+    return counted(nodes, "nodes", "label", "label").unionByName(counted(edges, "edges", "relation", "rel"))
 
 
 def query_subgraph(nodes: DataFrame, edges: DataFrame, terms: list[str], most_seeds: int = 60, most_nodes: int = 300) -> tuple[DataFrame, DataFrame]:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from loomgraph.functions import lexicon as lx
 from loomgraph.operators import chunking, extraction, graph, semantic
 from loomgraph.operators.resolution import cut
+from loomgraph.operators.tables import written
 from loomgraph.plans import oracles
 from loomgraph.plans.registry import Query, corpus, table
 from loomgraph.sources import files as fs
@@ -59,7 +60,7 @@ def concept_links(spark, sf_dir):
     nodes, edges = extraction.extract(chunking.window_chunks(files), lx.DOMAIN)
     nodes = nodes.filter(F.col("label").isin(*CONCEPT_LABELS, "PythonModule", "DocPage", "ExampleNotebook", "TestCase")).select("label", "name").distinct()
     links = edges.filter(F.col("rel").isin(CONCEPT_RELATIONS)).select(*graph.EDGE_KEY).distinct()
-    rows = semantic.instances(nodes, links.unionByName(lx.taxonomy(spark, lx.DOMAIN, lx.SIBLINGS)[1].filter("rel = 'ALTERNATIVE_TO'")))
+    rows = written(semantic.instances(nodes, links.unionByName(lx.taxonomy(spark, lx.DOMAIN, lx.SIBLINGS)[1].filter("rel = 'ALTERNATIVE_TO'"))))
     out = None
     for relation in CONCEPT_RELATIONS:
         found = semantic.labelled_links(rows, semantic.NAMESPACE + relation, "source", "target").groupBy(F.lit(relation).alias("relation"), "target").agg(F.count("*").alias("n"))
