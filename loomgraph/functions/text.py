@@ -37,6 +37,12 @@ def n_contained(terms: Column, text: Column) -> Column:
     return F.size(F.filter(terms, lambda t: F.contains(F.lower(text), t)))
 
 
+def trigrams(c: Column) -> Column:
+    """The distinct trigrams of a text; none of less than three characters."""
+    found = F.transform(F.sequence(F.lit(1), F.length(c) - 2), lambda i: F.substring(c, i, F.lit(3)))
+    return F.array_distinct(F.coalesce(F.when(F.length(c) >= 3, found), F.array().cast("array<string>")))
+
+
 def jaccard(a: Column, b: Column) -> Column:
     """Of two arrays without repeats; 0 for two empty ones."""
     both = F.size(F.array_union(a, b))

@@ -5,10 +5,11 @@ nodes: label, name (and props). edges: src_label, src_name, rel, dst_label, dst_
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomgraph.functions.text import n_contained
+from loomgraph.functions.text import n_contained, trigrams
+from loomgraph.operators.tables import written
 
 EDGE_KEY = ["src_label", "src_name", "rel", "dst_label", "dst_name"]
 # Labels that a graph view leaves out, and labels that it shows first.
@@ -66,24 +67,65 @@ def stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return counted(nodes, "nodes", "label", "label").unionByName(counted(edges, "edges", "relation", "rel"))
 
 
+NODE_KEY = ["label", "name"]
+
+
+def _node_text(nodes: DataFrame) -> Column:
+    """What terms are looked up in: the name, and where nodes have properties their content and path."""
+    parts = [F.col("name"), *[F.col("props")[k] for k in ("content", "relative_path")]] if "props" in nodes.columns else [F.col("name")]
+    return F.lower(F.concat_ws("\n", *parts))
+
+
 def query_subgraph(nodes: DataFrame, edges: DataFrame, terms: list[str], most_seeds: int = 60, most_nodes: int = 300) -> tuple[DataFrame, DataFrame]:
     """Nodes within one hop of those that a term occurs in, and the edges among them.
 
     Seeds come first, then neighbours, each by (label, name); both limits are part of the query.
     """
     array = F.array(*map(F.lit, terms)) if terms else F.array().cast("array<string>")
-    text = F.concat_ws("\n", F.col("name"), *[F.col("props")[k] for k in ("content", "relative_path")]) if "props" in nodes.columns else F.col("name")
-    seeds = nodes.filter(n_contained(array, text) > 0).select("label", "name").orderBy("label", "name").limit(max(1, most_seeds))
+    found = nodes.filter(n_contained(array, _node_text(nodes)) > 0).select(F.lit(0).alias("query_id"), *NODE_KEY).distinct()
+    kept, inner = expanded(found, nodes, edges, 1, most_seeds, most_nodes)
+    return kept.drop("query_id"), inner.select(*EDGE_KEY)
+
+
+def subgraphs(nodes: DataFrame, edges: DataFrame, questions: DataFrame, hops: int = 1, most_seeds: int = 60, most_nodes: int = 300) -> tuple[DataFrame, DataFrame]:
+    """The subgraph of every question (query_id, terms), many at once: kept nodes with their hop, and edges among them.
+
+    Terms are of three characters or more, others are left out. A term meets only the nodes that
+    hold its rarest trigram.
+    """
+    asked = questions.select("query_id", F.explode("terms").alias("term")).filter(F.length("term") >= 3).withColumn("term", F.lower("term")).distinct()
+    texts = written(nodes.select(*NODE_KEY, _node_text(nodes).alias("text")).distinct())
+    held = texts.select(*NODE_KEY, "text", F.explode(trigrams(F.col("text"))).alias("gram"))
+    n_held = held.groupBy("gram").agg(F.count("*").alias("n"))
+    own = asked.select("term").distinct().select("term", F.explode(trigrams(F.col("term"))).alias("gram"))
+    # A term with a trigram that no node has is dropped here.
+    rare = own.join(n_held, "gram", "left").groupBy("term").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("r")).filter("r.n > 0").select("term", "r.gram")
+    hits = written(held.join(rare, "gram").filter(F.contains("text", F.col("term"))).select("term", *NODE_KEY))
+    return expanded(hits.join(asked, "term").select("query_id", *NODE_KEY).distinct(), nodes, edges, hops, most_seeds, most_nodes)
+
+
+def expanded(found: DataFrame, nodes: DataFrame, edges: DataFrame, hops: int, most_seeds: int, most_nodes: int) -> tuple[DataFrame, DataFrame]:
+    """kept (query_id, label, name, hop) and edges among kept, from found (query_id, label, name).
+
+    The frontier is a table: every round joins the nodes of the last hop with the edges, cuts each
+    question to its limit and is written, so that the plan stays as small after any number of hops.
+    """
+    key = ["query_id", *NODE_KEY]
+    frontier = kept = written(top_per(found, "query_id", max(1, most_seeds), *NODE_KEY).select(*key, F.lit(0).alias("hop")))
     ends = lambda a, b: edges.select(F.col(f"{a}_label").alias("label"), F.col(f"{a}_name").alias("name"), F.col(f"{b}_label").alias("n_label"), F.col(f"{b}_name").alias("n_name"))
     both = ends("src", "dst").unionByName(ends("dst", "src"))
-    # The seeds are bounded by most_seeds, so they are broadcast.
-    near = both.join(F.broadcast(seeds), ["label", "name"], "left_semi").select(F.col("n_label").alias("label"), F.col("n_name").alias("name"))
-    near = near.join(nodes.select("label", "name").distinct(), ["label", "name"], "left_semi").distinct()
-    every = seeds.withColumn("hop", F.lit(0)).unionByName(near.withColumn("hop", F.lit(1))).groupBy("label", "name").agg(F.min("hop").alias("hop"))
-    kept = every.orderBy("hop", "label", "name").limit(max(1, most_nodes))
-    side = lambda s: F.broadcast(kept.select(F.col("label").alias(f"{s}_label"), F.col("name").alias(f"{s}_name")))
-    inner = edges.join(side("src"), ["src_label", "src_name"], "left_semi").join(side("dst"), ["dst_label", "dst_name"], "left_semi")
-    return kept, inner.select(*EDGE_KEY)
+    for hop in range(1, hops + 1):
+        near = frontier.join(both, NODE_KEY).select("query_id", F.col("n_label").alias("label"), F.col("n_name").alias("name")).distinct()
+        near = near.join(nodes.select(*NODE_KEY).distinct(), NODE_KEY, "left_semi").join(kept.select(*key), key, "left_anti")
+        room = F.lit(max(1, most_nodes)) - F.coalesce("n", F.lit(0))
+        ranked = top_per(near, "query_id", max(1, most_nodes), *NODE_KEY).join(kept.groupBy("query_id").agg(F.count("*").alias("n")), "query_id", "left")
+        frontier = written(ranked.filter(F.col("rank") <= room).select(*key, F.lit(hop).alias("hop")))
+        kept = written(kept.unionByName(frontier))
+    kept = top_per(kept, "query_id", max(1, most_nodes), "hop", *NODE_KEY).drop("rank")
+    kept = written(kept)
+    side = lambda s: kept.select("query_id", F.col("label").alias(f"{s}_label"), F.col("name").alias(f"{s}_name"))
+    inner = edges.select(*EDGE_KEY).join(side("src"), ["src_label", "src_name"]).join(side("dst"), ["query_id", "dst_label", "dst_name"])
+    return kept, inner.select("query_id", *EDGE_KEY)
 
 
 def degrees(edges: DataFrame) -> DataFrame:

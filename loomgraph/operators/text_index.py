@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomgraph.functions.text import n_contained, question_tokens
+from loomgraph.functions.text import n_contained, question_tokens, trigrams
 from loomgraph.operators.graph import top_per
 from loomgraph.operators.tables import shared_folder, written
 
@@ -38,10 +38,8 @@ class TextIndex:
 
 
 def grams(text: Column) -> Column:
-    """The distinct trigrams of a text, those with white space left out (a token has none)."""
-    at = F.sequence(F.lit(1), F.length(text) - 2)
-    all_ = F.when(F.length(text) >= 3, F.transform(at, lambda i: F.substring(text, i, F.lit(3))))
-    return F.filter(F.array_distinct(F.coalesce(all_, F.array().cast("array<string>"))), lambda g: ~g.rlike("\\s"))
+    """The trigrams without white space, as a token has none."""
+    return F.filter(trigrams(text), lambda g: ~g.rlike("\\s"))
 
 
 def _folder(key: Column, folders: int) -> Column:

@@ -6,7 +6,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from loomgraph.operators import retrieval, text_index, vector_index
+from loomgraph.functions import lexicon as lx
+from loomgraph.operators import extraction, graph, retrieval, text_index, vector_index
 from loomgraph.plans.registry import chunks, questions, table
 
 SHAPE = "vec_id bigint, embedding array<float>"
@@ -120,3 +121,59 @@ def test_only_blocks_with_candidates_are_read(spark, tmp_path):
     assert [r.chunk_id for r in text_index.search(again, asked, 5).collect()] == ["rare"]
     # Postings grow with the blocks, not with the pairs of tokens and chunks.
     assert index.postings.groupBy("gram").count().agg(F.max("count")).first()[0] <= index.store.select("block").distinct().count()
+
+
+def brute_subgraph(nodes, edges, terms, hops, most_seeds, most_nodes):
+    named = sorted(set(nodes))
+    kept = dict.fromkeys([n for n in named if any(t.lower() in n[1].lower() for t in terms if len(t) >= 3)][:most_seeds], 0)
+    last = set(kept)
+    for hop in range(1, hops + 1):
+        near = {b for e in edges for a, b in ((e[:2], e[3:]), (e[3:], e[:2])) if a in last and b in set(named)} - set(kept)
+        last = set(sorted(near)[: most_nodes - len(kept)])
+        kept |= dict.fromkeys(last, hop)
+    kept = dict(sorted(kept.items(), key=lambda x: (x[1], x[0]))[:most_nodes])
+    return kept, {e for e in edges if e[:2] in kept and e[3:] in kept}
+
+
+@pytest.mark.parametrize(("hops", "most_seeds", "most_nodes"), [(1, 5, 12), (2, 5, 40), (3, 2, 25), (1, 30, 8)])
+def test_subgraphs_of_many_questions(spark, hops, most_seeds, most_nodes):
+    rng = random.Random(hops)
+    nodes = [(rng.choice("AB"), f"{rng.choice(['north', 'south', 'EAST'])}-{i}") for i in range(60)]
+    edges = list({(*rng.choice(nodes), "R", *rng.choice(nodes)) for _ in range(150)} | {("A", "missing", "R", *nodes[0])})
+    questions = [("q1", ["north", "zz"]), ("q2", ["east-1", "th-2"]), ("q3", ["nothing"]), ("q4", []), ("q5", ["o", "ou"]), ("q6", ["SOUTH", "south"])]
+    kept, inner = graph.subgraphs(spark.createDataFrame(nodes, "label string, name string"), spark.createDataFrame(edges, "src_label string, src_name string, rel string, dst_label string, dst_name string"), spark.createDataFrame(questions, "query_id string, terms array<string>"), hops, most_seeds, most_nodes)
+    found, links = {}, {}
+    for r in kept.collect():
+        found.setdefault(r.query_id, {})[r.label, r["name"]] = r.hop
+    for r in inner.collect():
+        links.setdefault(r.query_id, set()).add(tuple(r)[1:])
+    for q, terms in questions:
+        nodes_of, edges_of = brute_subgraph(nodes, edges, terms, hops, most_seeds, most_nodes)
+        assert found.get(q, {}) == nodes_of and links.get(q, set()) == edges_of
+
+
+def test_subgraph_plan_does_not_grow_with_hops(spark):
+    nodes, edges = spark.createDataFrame([("A", "abc")], "label string, name string"), spark.createDataFrame([("A", "abc", "R", "A", "abc")], "src_label string, src_name string, rel string, dst_label string, dst_name string")
+    asked = spark.createDataFrame([("q", ["abc"])], "query_id string, terms array<string>")
+    scans = [graph.subgraphs(nodes, edges, asked, hops)[1]._jdf.queryExecution().optimizedPlan().toString().count("Relation") for hops in (1, 4)]
+    assert scans[0] == scans[1] <= 3
+
+
+def test_automaton_equals_the_patterns(spark, sf_dir):
+    """On all documents, and on texts made of the aliases with odd borders and runs."""
+    rng = random.Random(9)
+    joints = [" ", "-", "_", " - ", "\n", "", "x", "É", ".", "__", "\t", "9"]
+    aliases = [a for e in lx.DOMAIN for a in e.aliases]
+    made = ["".join(rng.choice([a, a.upper(), a.replace(" ", rng.choice(joints)), a.replace("-", " ")]) + rng.choice(joints) for a in rng.sample(aliases, 6)) for _ in range(800)]
+    rows = spark.createDataFrame([(t,) for t in [*made, None, "", "VaR", "ſemi deviation", "es"]], "text string").union(table(spark, sf_dir, "documents").select("text"))
+    for lexicon in (lx.DOMAIN, lx.COMMON):
+        patterns = F.array_compact(F.array(*[F.when(F.col("text").rlike(lx.alias_pattern(e.aliases)), F.struct(F.lit(e.label).alias("label"), F.lit(e.canonical).alias("canonical"))) for e in lexicon]))
+        both = rows.select(F.array_sort(patterns).alias("a"), lx.mentions(F.col("text"), lexicon).alias("b")).cache()
+        assert both.filter("a <> b OR a IS NULL OR b IS NULL").count() == 0
+        assert both.filter("size(a) > 1").count() > 20
+
+
+def test_extraction_takes_one_pass(spark, sf_dir):
+    for out in extraction.extract(chunks(spark, sf_dir), lx.COMMON):
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("FileScan") == 1 and "Exchange" not in plan and "Join" not in plan
