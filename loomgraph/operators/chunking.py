@@ -5,7 +5,6 @@ from __future__ import annotations
 import ast
 from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -119,17 +118,14 @@ def notebook_cells(files: DataFrame) -> DataFrame:
     return cells.filter(strip(F.col("text")) != "").drop("_cell", "_book").unionByName(rest.drop("_book"))
 
 
-SYMBOL_SCHEMA = "relative_path string, _part int, chunk_kind string, symbol_name string, line_start int, line_end int"
-
-
-def _symbols(path: str, text: str, tests_only: bool) -> list[tuple] | None:
-    """Line ranges of a module's docstring, classes and functions, breadth first; or of its
+def _symbols(text: str, tests_only: bool) -> list[tuple[str, str | None, int, int]] | None:
+    """Kind, name and lines of a module's docstring, classes and functions, breadth first; or of its
     test functions by line. None if the text does not parse."""
     try:
         tree = ast.parse(text)
-    except (SyntaxError, ValueError, RecursionError):
+    except (SyntaxError, ValueError, RecursionError, MemoryError):
         return None
-    out = []
+    out: list[tuple[str, str | None, int, int]] = []
     if not tests_only and tree.body and isinstance(tree.body[0], ast.Expr) and ast.get_docstring(tree):
         out.append(("module_docstring", None, tree.body[0].lineno, tree.body[0].end_lineno))
     functions = (ast.FunctionDef, ast.AsyncFunctionDef)
@@ -138,50 +134,48 @@ def _symbols(path: str, text: str, tests_only: bool) -> list[tuple] | None:
             out.append(("test_function" if tests_only else "function", node.name, node.lineno, node.end_lineno))
         elif isinstance(node, ast.ClassDef) and not tests_only:
             out.append(("class", node.name, node.lineno, node.end_lineno))
-    if tests_only:
-        out.sort(key=lambda x: x[2])
-    return [(path, i, *x) for i, x in enumerate(out)]
+    return sorted(out, key=lambda x: x[2]) if tests_only else out
 
 
-def python_symbols(files: DataFrame) -> DataFrame:
-    """Line ranges of each .py file's symbols; a file that does not parse has one row of nulls."""
+def uncovered(n_lines: int, ranges: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """The runs of lines 1 to n_lines that no range covers."""
+    next_line = 1
+    for low, high in sorted(ranges):
+        if low > next_line:
+            yield next_line, low - 1
+        next_line = max(next_line, high + 1)
+    if next_line <= n_lines:
+        yield next_line, n_lines
 
-    def ranges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = ["relative_path", "_part", "chunk_kind", "symbol_name", "line_start", "line_end"]
-        for batch in batches:
-            rows = []
-            for path, text, kind in zip(batch.relative_path, batch.text, batch.source_type, strict=True):
-                found = _symbols(path, text or "", kind == "test")
-                rows += [(path, None, None, None, None, None)] if found is None else found
-            yield pd.DataFrame(rows, columns=columns).astype({"_part": "Int32", "line_start": "Int32", "line_end": "Int32"})
 
-    return files.select("relative_path", "text", "source_type").mapInPandas(ranges, SYMBOL_SCHEMA)
+@F.udtf(returnType="_part int, chunk_kind string, symbol_name string, line_start int, line_end int, text string, _whole boolean", useArrow=True)
+class PythonParts:
+    """The parts of one .py file: its symbols, then the runs of lines that no symbol covers.
 
+    A test file gives its test functions only. A file that does not parse, and a test file
+    without test functions, is one part.
+    """
 
-def python_parts(files: DataFrame) -> DataFrame:
-    """Parts of .py files: symbols, then the runs of lines that no symbol covers.
+    def eval(self, text: str | None, source_type: str | None) -> Iterator[tuple]:
+        text = text or ""
+        tests_only = source_type == "test"
+        found = _symbols(text, tests_only)
+        if found is None or (tests_only and not found):
+            yield 0, "fallback", None, 1, text.count("\n") + 1, text, True
+            return
+        lines = text.replace("\r\n", "\n").replace("\r", "\n").split("\n")
+        free = [] if tests_only else [("fallback", None, *r) for r in uncovered(len(lines), [x[2:] for x in found])]
+        for part, (kind, name, low, high) in enumerate([*found, *free]):
+            yield part, kind, name, low, high, "\n".join(lines[low - 1 : high]), False
 
-    Test files give their test functions only. Files that do not parse, and test files
-    without test functions, are one part.
-    """
-    lines = files.withColumn("_lines", F.split(F.regexp_replace("text", "\\r\\n?", "\n"), "\n"))
-    found = python_symbols(files)
-    symbols = lines.join(found.filter("chunk_kind IS NOT NULL"), "relative_path")
-    covered = found.filter("chunk_kind IS NOT NULL").select("relative_path", F.explode(F.sequence("line_start", "line_end")).alias("line")).distinct()
-    modules = lines.join(found.filter("chunk_kind IS NULL"), "relative_path", "left_anti").filter("source_type <> 'test'")
-    every = modules.select("relative_path", F.explode(F.sequence(F.lit(1), F.size("_lines"))).alias("line"))
-    free = every.join(covered, ["relative_path", "line"], "left_anti")
-    run = F.col("line") - F.row_number().over(Window.partitionBy("relative_path").orderBy("line"))
-    gaps = free.withColumn("_run", run).groupBy("relative_path", "_run").agg(F.min("line").alias("line_start"), F.max("line").alias("line_end"))
-    gaps = gaps.select("relative_path", (F.lit(1 << 20) + F.col("line_start")).alias("_part"), F.lit("fallback").alias("chunk_kind"), F.lit(None).cast("string").alias("symbol_name"), "line_start", "line_end")
-    parts = symbols.unionByName(lines.join(gaps, "relative_path"))
-    own = F.array_join(F.slice("_lines", F.col("line_start"), F.col("line_end") - F.col("line_start") + 1), "\n")
-    parts = parts.withColumn("text", strip(own)).withColumn("section", F.coalesce("symbol_name", "chunk_kind")).drop("_lines")
-    has_parts = found.filter("chunk_kind IS NOT NULL").select("relative_path").distinct()
-    whole = files.join(has_parts, "relative_path", "left_anti")
-    broken = found.filter("chunk_kind IS NULL").select("relative_path")
-    whole = whole.join(broken, "relative_path", "left_semi").unionByName(whole.join(broken, "relative_path", "left_anti").filter("source_type = 'test'"))
-    return parts.unionByName(whole_files(whole).withColumn("symbol_name", F.lit(None).cast("string")))
+
+def python_parts(files: DataFrame) -> DataFrame:
+    """Parts of .py files in one pass: each file is joined laterally with what PythonParts makes of it."""
+    rows = files.withColumnRenamed("text", "_text")
+    parts = rows.lateralJoin(PythonParts(F.col("_text").outer(), F.col("source_type").outer())).drop("_text")
+    # A whole file keeps its white space, as windows count its characters.
+    text = F.when(F.col("_whole"), F.col("text")).otherwise(strip(F.col("text")))
+    return parts.withColumns({"text": text, "section": F.coalesce("symbol_name", "chunk_kind")}).drop("_whole")
 
 
 def chunk_files(files: DataFrame, size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
