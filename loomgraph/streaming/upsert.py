@@ -1,41 +1,31 @@
-"""Incremental graph building: each micro-batch of chunks goes over the stored nodes and edges.
+"""Incremental graph building: each micro-batch of chunks goes into the stored nodes and edges.
 
-A batch is written as a new version beside the old one, named by its batch id, so that a batch
-that is run again after a failure writes the same version from the same input.
+The tables are versioned by the batch id and bucketed by key, so that a batch rewrites only the buckets
+it touches, and one that runs again after a failure gives the same tables.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from loomgraph.functions.lexicon import Entry
-from loomgraph.operators import extraction, graph
+from loomgraph.operators import extraction, versioned
 
-NODE_KEY = ["label", "name"]
 
+def latest(spark: SparkSession, path: str, batch_id: int | None = None) -> str | None:
+    """Where the rows of path (nodes or edges) are, once a batch has come; batch ids no longer name folders."""
+    rows = f"{path}/rows"
+    return rows if versioned.exists(spark, rows) else None
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
-
-def latest(spark: SparkSession, path: str, batch_id: int) -> str | None:
-    """The newest version before batch_id."""
-    for i in range(batch_id - 1, -1, -1):
-        if _exists(spark, f"{path}/v{i}/_SUCCESS"):
-            return f"{path}/v{i}"
-    return None
-
-
-def upsert_batch(path: str, lexicon: list[Entry]):
+def upsert_batch(path: str, lexicon: list[Entry], buckets: int = versioned.BUCKETS):
     """A foreachBatch function that keeps path/nodes and path/edges."""
 
     def run(chunks: DataFrame, batch_id: int) -> None:
-        spark = chunks.sparkSession
-        nodes, edges = extraction.extract(chunks, lexicon)
-        for name, rows, key in (("nodes", extraction.merge_nodes(nodes), NODE_KEY), ("edges", extraction.merge_edges(edges), graph.EDGE_KEY)):
-            old = latest(spark, f"{path}/{name}", batch_id)
-            out = rows if old is None else graph.upsert(spark.read.schema(rows.schema).parquet(old), rows, key)
-            out.write.mode("overwrite").parquet(f"{path}/{name}/v{batch_id}")
+        found = extraction.extract(chunks, lexicon)
+        merged = extraction.merge_nodes(found[0]), extraction.merge_edges(found[1])
+        for table, rows in zip(versioned.graph_tables(path, buckets), merged, strict=True):
+            table.upsert(rows.withColumn("sequence", F.lit(batch_id).cast("bigint")))
 
     return run
