@@ -17,6 +17,7 @@ from loomgraph.functions.lexicon import Entry
 from loomgraph.functions.text import embedding_cells, n_contained, question_tokens
 from loomgraph.operators import vector_index
 from loomgraph.operators.graph import top_per
+from loomgraph.operators.tables import written
 
 DENSE_SHARE, SPARSE_SHARE = 0.65, 0.35
 MOST_ENTITIES, MOST_NEIGHBOURS = 20, 10
@@ -135,19 +136,27 @@ def retrieve(chunks: DataFrame, mentions: DataFrame, has_chunk: DataFrame, edges
     lexical store.
     """
     dense = dense or (lambda rows, asked, most: dense_hits(rows, asked, most, dim))
-    of = lambda *modes: questions.filter(F.col("mode").isin(*modes))
-    hybrid = questions.filter(~F.coalesce("mode", F.lit("")).isin("dense", "sparse", "graph"))
-    plain = dense(chunks, of("dense"), k).unionByName(sparse_hits(chunks, of("sparse"), k))
+    mode = F.coalesce("mode", F.lit(""))
+    kinds = questions.select("query_id", F.when(mode.isin("dense", "sparse", "graph"), mode).otherwise("hybrid").alias("kind"))
+    asked = questions.join(kinds, "query_id")
+    of = lambda *names: asked.filter(F.col("kind").isin(*names)).drop("kind")
+    # Each score is computed once for all modes that use it; what it leaves, k rows a question, is written.
+    scored = {name: written(found.join(kinds, "query_id")) for name, found in (("dense", dense(chunks, of("dense", "hybrid"), k)), ("sparse", sparse_hits(chunks, of("sparse", "hybrid"), k)))}
+    part = lambda name, kind: scored[name].filter(F.col("kind") == kind).drop("kind")
     seeds, hops = graph_seed_hits(mentions, of("graph"), k), graph_hop_hits(mentions, edges, of("graph"), lexicon, k)
-    plain = plain.unionByName(top_hits(merge_hits(seeds, hops, 2 * k), k))
-    mixed = merge_hits(dense(chunks, hybrid, k), sparse_hits(chunks, hybrid, k), k)
-    out = expand(plain, mentions, has_chunk).unionByName(rerank(expand(mixed, mentions, has_chunk)))
-    ranked = top_per(out, "query_id", k, F.desc("score"), "chunk_id")
-    return ranked.join(chunks.select("chunk_id", "content", "relative_path", "section", "chunk_index", "line_start", "line_end"), "chunk_id")
+    hits = part("dense", "dense").unionByName(part("sparse", "sparse"))
+    hits = hits.unionByName(top_hits(merge_hits(seeds, hops, 2 * k), k)).unionByName(merge_hits(part("dense", "hybrid"), part("sparse", "hybrid"), k))
+    out = expand(written(hits), mentions, has_chunk).join(kinds, "query_id")
+    out = rerank(out.withColumn("plain", F.col("score"))).withColumn("score", F.when(F.col("kind") == "hybrid", F.col("score")).otherwise(F.col("plain"))).drop("kind", "plain")
+    ranked = written(top_per(out, "query_id", k, F.desc("score"), "chunk_id"))
+    return chunks.select("chunk_id", "content", "relative_path", "section", "chunk_index", "line_start", "line_end").join(F.broadcast(ranked), "chunk_id")
 
 
-def upsert_chunks(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Chunks by id, a new one in place of an old one; of new ones with one id the greatest row stays, so that a rerun gives the same."""
-    rest = [c for c in new.columns if c != "chunk_id"]
+def upsert_chunks(old: DataFrame, new: DataFrame, sequence: str | None = None) -> DataFrame:
+    """Chunks by id, a new one in place of an old one; of new ones with one id the latest by `sequence`, else the greatest row, so that a rerun gives the same.
+
+    versioned.chunk_table keeps a stored table up to date without reading all of it.
+    """
+    rest = sorted((c for c in new.columns if c != "chunk_id"), key=lambda c: (c != sequence, new.columns.index(c)))
     last = new.groupBy("chunk_id").agg(F.max(F.struct(*rest)).alias("last")).select("chunk_id", "last.*").select(*new.columns)
     return old.join(new.select("chunk_id"), "chunk_id", "left_anti").unionByName(last)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from loomgraph.functions import lexicon as lx
 from loomgraph.operators import evaluation, retrieval
 from loomgraph.plans import oracles as o
-from loomgraph.plans.registry import EVALUATED, K, Query, _document_contexts, chunks, common_edges, has_chunk, mentions
+from loomgraph.plans.registry import EVALUATED, K, Query, _document_contexts, chunks, common_edges, prepared
 
 MODES = ["dense", "sparse", "graph", "hybrid_rerank"]
 ASKED = "the and that with"
@@ -16,7 +16,8 @@ ASKED = "the and that with"
 def eval_modes(spark, sf_dir):
     """Every evaluated question by every mode: one report per mode."""
     samples = spark.createDataFrame([(f"e{i}", *s) for i, s in enumerate(EVALUATED)], "query_id string, question string, reference_answer string, expected array<string>")
-    retriever = lambda q: retrieval.retrieve(chunks(spark, sf_dir), mentions(spark, sf_dir), has_chunk(spark, sf_dir), common_edges(spark), q, lx.COMMON, K)
+    tables = prepared(spark, sf_dir)
+    retriever = lambda q: retrieval.retrieve(*tables, common_edges(spark), q, lx.COMMON, K)
     scored = evaluation.score_samples(evaluation.answer_samples(samples, retriever, MODES), "heuristic")
     return evaluation.report(scored, "mode").select("mode", "num_samples", "context_recall", "context_precision", "link_mrr", "link_hits_3")
 

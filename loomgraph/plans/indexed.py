@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loomgraph.functions.text import question_tokens
-from loomgraph.operators import graph, text_index, vector_index
+from loomgraph.operators import graph, semantic, text_index, vector_index
+from loomgraph.operators.tables import shared_folder
 from loomgraph.plans import oracles as o
 from loomgraph.plans.registry import K, Query, chunks, questions, star_edges, star_nodes, table
+from loomgraph.sources.turtle import read_turtle, write_turtle
 
 
 def vector_index_knn(spark, sf_dir):
@@ -37,6 +39,13 @@ def turn_subgraphs(spark, sf_dir):
     return graph.subgraphs(star_nodes(spark, sf_dir).filter("name <> ''"), star_edges(spark, sf_dir), turns, 1, 20, 60)[1].distinct()
 
 
+def turtle_triples(spark, sf_dir):
+    """The star graph written as Turtle and read back: its triples by predicate."""
+    path = shared_folder(spark)
+    write_turtle(semantic.instances(star_nodes(spark, sf_dir), star_edges(spark, sf_dir)), path, {"g": semantic.NAMESPACE, "rdfs": semantic.RDFS})
+    return read_turtle(spark, path).groupBy("p").agg(F.count("*").alias("n"), F.countDistinct("s").alias("n_subjects"), F.countDistinct("o").alias("n_objects"))
+
+
 _TURNS = f"""WITH {o._STAR}, asked AS (SELECT DISTINCT query_id, unnest(terms) AS term FROM (
     SELECT query_id, list(token ORDER BY i)[:12] AS terms FROM (
       SELECT query_id, token, min(i) AS i FROM (SELECT conv_id || '/' || turn AS query_id, unnest(ts) AS token, generate_subscripts(ts, 1) AS i FROM (SELECT conv_id, turn, regexp_extract_all(lower(coalesce(text, '')), {o._TOKEN}) AS ts FROM conversations)) GROUP BY ALL) GROUP BY query_id)),
@@ -48,8 +57,8 @@ _TURNS = f"""WITH {o._STAR}, asked AS (SELECT DISTINCT query_id, unnest(terms) A
   kept AS (SELECT query_id, label, name FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY hop, label, name) AS r FROM (SELECT query_id, label, name, min(hop) AS hop FROM (SELECT *, 0 AS hop FROM seeds UNION ALL SELECT *, 1 FROM near) GROUP BY ALL)) WHERE r <= 60)
 SELECT DISTINCT a.query_id, e.* FROM edges e JOIN kept a ON e.src_label = a.label AND e.src_name = a.name JOIN kept b ON b.query_id = a.query_id AND e.dst_label = b.label AND e.dst_name = b.name"""
 
-NAMED = [vector_index_knn, vector_ann, sparse_index_topk, turn_subgraphs]
-ORACLES = {"vector_index_knn": o.ORACLES["vector_knn"], "sparse_index_topk": o.ORACLES["sparse_topk"], "turn_subgraphs": _TURNS}
+NAMED = [vector_index_knn, vector_ann, sparse_index_topk, turn_subgraphs, turtle_triples]
+ORACLES = {"vector_index_knn": o.ORACLES["vector_knn"], "sparse_index_topk": o.ORACLES["sparse_topk"], "turn_subgraphs": _TURNS, "turtle_triples": o.ORACLES["triples"]}
 
 
 def queries() -> dict[str, Query]:

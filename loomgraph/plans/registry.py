@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from loomgraph.functions import lexicon as lx
 from loomgraph.functions.text import embedding_cells, question_tokens, tokens
 from loomgraph.operators import agent, chunking, evaluation, extraction, governance, graph, resolution, retrieval, routing, semantic
+from loomgraph.operators.tables import written
 from loomgraph.plans.oracles import ORACLES
 from loomgraph.sources import files as fs
 
@@ -68,6 +69,13 @@ def has_chunk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks(spark, sf_dir).select(F.col("relative_path").alias("src"), "chunk_id")
 
 
+def prepared(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Chunks and their mentions, written once for plans that use them many times; and the chunks' sources."""
+    rows = written(chunks(spark, sf_dir))
+    names = written(extraction.chunk_mentions(rows, lx.COMMON).select("chunk_id", F.col("canonical").alias("name")))
+    return rows, names, rows.select(F.col("relative_path").alias("src"), "chunk_id")
+
+
 def common_edges(spark: SparkSession) -> DataFrame:
     return lx.taxonomy(spark, lx.COMMON, COMMON_SIBLINGS)[1]
 
@@ -202,15 +210,15 @@ def graph_expand(spark, sf_dir):
 
 
 def hybrid_rerank(spark, sf_dir):
-    rows, asked = chunks(spark, sf_dir), questions(spark)
-    hits = retrieval.merge_hits(retrieval.dense_hits(rows, asked, K), retrieval.sparse_hits(rows, asked, K), K)
-    out = retrieval.rerank(retrieval.expand(hits, mentions(spark, sf_dir), has_chunk(spark, sf_dir)))
+    (rows, names, sources), asked = prepared(spark, sf_dir), questions(spark)
+    hits = written(retrieval.merge_hits(retrieval.dense_hits(rows, asked, K), retrieval.sparse_hits(rows, asked, K), K))
+    out = retrieval.rerank(retrieval.expand(hits, names, sources))
     return out.select("query_id", "chunk_id", F.round("score", 5).alias("score"))
 
 
 def retrieve_modes(spark, sf_dir):
     """All questions, each by its own mode."""
-    out = retrieval.retrieve(chunks(spark, sf_dir), mentions(spark, sf_dir), has_chunk(spark, sf_dir), common_edges(spark), questions(spark), lx.COMMON, K)
+    out = retrieval.retrieve(*prepared(spark, sf_dir), common_edges(spark), questions(spark), lx.COMMON, K)
     return out.select("query_id", "chunk_id", F.round("score", 5).alias("score"), F.size("entities").alias("n_entities"), F.size("neighbours").alias("n_neighbours"))
 
 
@@ -301,7 +309,8 @@ def er_greedy(spark, sf_dir):
 def eval_rows(spark: SparkSession, sf_dir: str, mode: str = "sparse") -> DataFrame:
     """Results rows of the evaluated questions, by one retrieval mode."""
     samples = spark.createDataFrame([(f"e{i}", *s) for i, s in enumerate(EVALUATED)], "query_id string, question string, reference_answer string, expected array<string>")
-    retriever = lambda q: retrieval.retrieve(chunks(spark, sf_dir), mentions(spark, sf_dir), has_chunk(spark, sf_dir), common_edges(spark), q, lx.COMMON, K)
+    tables = prepared(spark, sf_dir)
+    retriever = lambda q: retrieval.retrieve(*tables, common_edges(spark), q, lx.COMMON, K)
     return evaluation.answer_samples(samples, retriever, [mode]).withColumn("query_id", F.substring_index("query_id", "/", 1))
 
 
@@ -410,7 +419,7 @@ def agent_plan(spark, sf_dir):
 
 def agent_answers(spark, sf_dir):
     """The whole workflow over the questions: routed retrieval, template answer, check."""
-    rows, names, sources = chunks(spark, sf_dir), mentions(spark, sf_dir), has_chunk(spark, sf_dir)
+    rows, names, sources = prepared(spark, sf_dir)
     retriever = lambda q: retrieval.retrieve(rows, names, sources, common_edges(spark), q, lx.COMMON, K)
     out = agent.answer(questions(spark).select("query_id", "text"), retriever)
     return out.select("query_id", F.size("sub_questions").alias("n_parts"), F.size("context").alias("n_context"), F.length("answer").alias("n_chars"), F.size("citations").alias("n_citations"), "attempts", "verified")

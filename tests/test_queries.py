@@ -6,11 +6,10 @@ import os
 import duckdb
 import pytest
 
-from loomgraph.plans import code_files, evaluated, registry
+from loomgraph.plans import code_files, evaluated, indexed, registry
 
-QUERIES = registry.queries() | code_files.queries() | evaluated.queries()
-ORACLES = registry.oracle_sql() | code_files.ORACLES | evaluated.ORACLES
-SLOW = {"agent_answers", "eval_report", "retrieve_modes", "graph_stats", "hybrid_rerank"}
+QUERIES = registry.queries() | code_files.queries() | evaluated.queries() | indexed.queries()
+ORACLES = registry.oracle_sql() | code_files.ORACLES | evaluated.ORACLES | indexed.ORACLES
 
 
 def norm(v):
@@ -19,7 +18,7 @@ def norm(v):
     return str(v)[:19] if hasattr(v, "isoformat") else v
 
 
-@pytest.mark.parametrize("name", sorted(set(ORACLES) - SLOW))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_matches_sql(spark, sf_dir, name):
     df = QUERIES[name](spark, sf_dir)
     con = duckdb.connect()
