@@ -6,12 +6,18 @@ A results row is one question: question, reference_answer, expected (terms), ans
 
 from __future__ import annotations
 
+import logging
+import time
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.functions.text import claims, coverage, jaccard, n_contained, strip, token_set, tokens
+from loomgraph.operators.tables import written
+
+log = logging.getLogger(__name__)
 
 METRICS = ["context_recall", "context_precision", "answer_faithfulness", "answer_relevance", "grounding", "multi_hop_accuracy", "link_mrr", "link_hits_3", "link_hits_10", "avg_latency_ms", "estimated_cost_usd"]
 LOWER_IS_BETTER = ["avg_latency_ms", "estimated_cost_usd"]
@@ -201,6 +207,41 @@ def answer_samples(samples: DataFrame, retriever: Callable[[DataFrame], DataFram
     return rows.withColumn("answer", synthesize(F.col("question"), F.col("results")))
 
 
+def measured(df: DataFrame, stage: str) -> tuple[DataFrame, dict[str, object]]:
+    """df written, and what Spark observed while it was made: stage, n_rows and ms of wall clock."""
+    seen = Observation(stage)
+    started = time.perf_counter()
+    out = written(df.observe(seen, F.count(F.lit(1)).alias("n_rows")))
+    return out, {"stage": stage, "n_rows": seen.get["n_rows"], "ms": (time.perf_counter() - started) * 1000}
+
+
+def run(samples: DataFrame, retriever: Callable[[DataFrame], DataFrame], modes: list[str], profile: str = "weighted", er: DataFrame | None = None, metadata: dict[str, str] | None = None) -> tuple[DataFrame, DataFrame, list[dict[str, object]]]:
+    """report (a row per mode, with avg_latency_ms), samples (with latency_ms) and the stages' measures.
+
+    Every mode retrieves on its own; its questions share its time, as they run as one batch. A mode
+    whose retrieval fails is logged and has no results, so that its samples have empty contexts.
+    """
+    n, stages, found = samples.count(), [], []
+    for mode in modes:
+        asked = samples.select(F.concat_ws("/", "query_id", F.lit(mode)).alias("query_id"), F.col("question").alias("text"), F.lit(mode).alias("mode"))
+        started = time.perf_counter()
+        try:
+            hits, seen = measured(retriever(asked).select("query_id", "rank", "content", "relative_path", "entities", "neighbours"), f"retrieve {mode}")
+        except Exception as failure:  # noqa: BLE001 - a retriever is the caller's code
+            log.warning("retrieval by %s failed: %s", mode, str(failure)[:500])
+            hits, seen = None, {"stage": f"retrieve {mode}", "n_rows": 0, "ms": (time.perf_counter() - started) * 1000, "error": str(failure)[:500]}
+        stages.append(seen)
+        if hits is not None:
+            found.append(hits)
+    none = samples.sparkSession.createDataFrame([], "query_id string, rank int, content string, relative_path string, entities array<string>, neighbours array<string>")
+    hits = reduce(DataFrame.unionByName, found, none)
+    latency = {mode: seen["ms"] / max(1, n) for mode, seen in zip(modes, stages, strict=True)}
+    rows = answer_samples(samples, lambda _: hits, modes)
+    rows = rows.withColumn("latency_ms", F.create_map(*[F.lit(x) for pair in latency.items() for x in pair])[F.col("mode")])
+    scored, seen = measured(score_samples(rows, profile), "score")
+    return report(scored, "mode", er=er, metadata={"metric_profile": profile, **(metadata or {})}), scored, [*stages, seen]
+
+
 def report(scored: DataFrame, *by: str, er: DataFrame | None = None, metadata: dict[str, str] | None = None) -> DataFrame:
     """The mean of every metric that the samples have, to 4 places: one row, or one per group.
 

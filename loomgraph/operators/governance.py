@@ -113,11 +113,17 @@ def guarded_counts(decisions: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def guarded_mentions(decisions: DataFrame, mentions: DataFrame, most: int = GUARD_ROWS) -> DataFrame:
-    """Safe mention questions: at most `most` (chunk_id, name) whose name holds the asked entity."""
+    """Safe mention questions: at most `most` (chunk_id, name) whose name holds the asked entity.
+
+    Distinct entities meet distinct names; each entity's first rows are cut once for all its questions.
+    """
     asked = decisions.filter("d.reason = 'allowlisted_mentions_template'").select("query_id", F.lower("d.entity").alias("entity"))
-    hits = mentions.join(F.broadcast(asked), F.contains(F.lower("name"), F.col("entity"))).select("query_id", "chunk_id", "name").distinct()
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("chunk_id", "name"))
-    return hits.withColumn("rank", rank).filter(F.col("rank") <= most)
+    names = mentions.select("name").distinct()
+    held = names.join(asked.select("entity").distinct(), F.contains(F.lower("name"), F.col("entity")))
+    hits = mentions.select("chunk_id", "name").distinct().join(held, "name")
+    rank = F.row_number().over(Window.partitionBy("entity").orderBy("chunk_id", "name"))
+    first = hits.withColumn("rank", rank).filter(F.col("rank") <= most)
+    return asked.join(first, "entity").select("query_id", "chunk_id", "name", "rank")
 
 
 def audit_rows(questions: DataFrame, now: Column) -> DataFrame:

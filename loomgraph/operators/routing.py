@@ -98,3 +98,34 @@ def route(questions: DataFrame, least: float = LEAST_CONFIDENCE, dim: int = DIM,
         "confidence": F.when(blank, 0.0).otherwise(F.col("_best.score")),
         "reason": F.when(blank, "empty_query_fallback").when(weak, "low_confidence_fallback").otherwise(reason),
     }).drop("_rule", "_cosines", "_best")
+
+
+# What a reason says to a reader.
+REASONS = {
+    "rule_graph_intent": "The question asked about relationships between concepts, so graph retrieval was prioritized.",
+    "rule_sparse_intent": "The question looked like an exact API or keyword lookup, so exact match retrieval was prioritized.",
+    "rule_hybrid_intent": "The question benefits from comparing multiple source types, so retrieval methods were combined.",
+    "rule_dense_intent": "The question asked for an explanation or definition, so semantic retrieval was prioritized.",
+    "rule_default": "No strong route-specific cue was present, so the default retrieval strategy was used.",
+    "low_confidence_fallback": "Signals were mixed, so the system fell back to the broadest retrieval strategy.",
+    "static_config (adaptive routing disabled)": "Adaptive selection is off, so the configured default retrieval strategy was used.",
+    "empty_query_fallback": "No usable query text was available, so the broad fallback strategy was used.",
+}
+
+
+def signal_label(confidence: Column, reason: Column) -> Column:
+    """How well a question matched its route."""
+    first = strip(F.element_at(F.split(reason, ";"), 1))
+    out = F.when(first == "static_config (adaptive routing disabled)", "Configured default").when(first == "low_confidence_fallback", "Broad fallback")
+    return out.when(confidence >= 0.75, "High match").when(confidence >= 0.5, "Targeted match").otherwise("Heuristic match")
+
+
+def reason_text(mode: Column, reason: Column) -> Column:
+    """A reason as a sentence; one without a sentence of its own names the mode."""
+    first = strip(F.element_at(F.split(reason, ";"), 1))
+    known = F.create_map(*[F.lit(x) for pair in REASONS.items() for x in pair])
+    return F.coalesce(known[first], F.concat(F.lit("This question best matched the "), F.lower(F.replace(mode, F.lit("_"), F.lit(" "))), F.lit(" pattern.")))
+
+
+def cost_label(cost: Column) -> Column:
+    return F.when(cost <= 0, "Low").when(cost < 0.001, "<$0.001 / query").otherwise(F.concat(F.lit("$"), F.format_string("%.4f", cost), F.lit(" / query")))

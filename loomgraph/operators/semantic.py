@@ -97,7 +97,7 @@ def instances(nodes: DataFrame, edges: DataFrame, ns: str = NAMESPACE) -> DataFr
 def snapshot(nodes: DataFrame, edges: DataFrame, most_nodes: int | None = 300, most_edges: int | None = 600) -> tuple[DataFrame, DataFrame]:
     """Named nodes and edges for export, bounded (None: all), in name order."""
     n, e = nodes.filter("name IS NOT NULL"), edges.filter("src_name IS NOT NULL AND dst_name IS NOT NULL")
-    return (n if most_nodes is None else n.orderBy("label", "name").limit(most_nodes), e if most_edges is None else e.orderBy("src_name", "rel", "dst_name").limit(most_edges))
+    return (n if most_nodes is None else n.orderBy("label", "name").limit(most_nodes), e if most_edges is None else e.orderBy("src_name", "rel", "dst_name", "src_label").limit(most_edges))
 
 
 def labelled_links(triples: DataFrame, predicate: str, source: str, target: str) -> DataFrame:
@@ -108,6 +108,13 @@ def labelled_links(triples: DataFrame, predicate: str, source: str, target: str)
     return out.join(label.select(F.col("x").alias("t"), F.col("name").alias(target)), "t").select(source, target)
 
 
+def labelled_nodes(triples: DataFrame, ns: str = NAMESPACE) -> DataFrame:
+    """The pattern {?s label ?name . ?s type ?class}: name and class (without the namespace)."""
+    label = triples.filter(F.col("p") == RDFS + "label").select("s", F.col("o").alias("name"))
+    kind = triples.filter(F.col("p") == RDF + "type").select("s", F.replace("o", F.lit(ns), F.lit("")).alias("class"))
+    return label.join(kind, "s").select("name", "class")
+
+
 def structural_checks(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """check, n_pass, n_fail: names present, relations allowed, ends exist."""
     clean = lambda c: strip(F.coalesce(F.col(c), F.lit("")))

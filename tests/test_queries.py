@@ -6,10 +6,10 @@ import os
 import duckdb
 import pytest
 
-from loomgraph.plans import code_files, evaluated, indexed, registry
+from loomgraph.plans import code_files, evaluated, indexed, registry, rowwise
 
-QUERIES = registry.queries() | code_files.queries() | evaluated.queries() | indexed.queries()
-ORACLES = registry.oracle_sql() | code_files.ORACLES | evaluated.ORACLES | indexed.ORACLES
+QUERIES = registry.queries() | code_files.queries() | evaluated.queries() | indexed.queries() | rowwise.queries()
+ORACLES = registry.oracle_sql() | code_files.ORACLES | evaluated.ORACLES | indexed.ORACLES | rowwise.ORACLES
 
 
 def norm(v):
