@@ -1,6 +1,6 @@
 """Batched retrieval: top-k chunks for many questions by dense, sparse, graph and hybrid scores.
 
-questions: query_id, text (and mode); a bounded set that the caller states, so it is broadcast.
+questions: query_id, text (and mode); they are counted, and broadcast in batches of about QUESTIONS.
 chunks: chunk_id, content (and more). mentions: chunk_id, name. has_chunk: src, chunk_id.
 Hits: query_id, chunk_id, score, rank. Ties go to the smaller chunk_id. Content is joined back
 after the cut, so scoring carries keys and scores only.
@@ -9,6 +9,7 @@ after the cut, so scoring carries keys and scores only.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -23,12 +24,28 @@ DENSE_SHARE, SPARSE_SHARE = 0.65, 0.35
 MOST_ENTITIES, MOST_NEIGHBOURS = 20, 10
 
 
+#: Questions of a batch that is broadcast: up to 12 tokens, or 256 cells, each.
+QUESTIONS = 20_000
+
+
+def by_batches(search: Callable[[DataFrame], DataFrame], questions: DataFrame) -> DataFrame:
+    """search of all questions; more than QUESTIONS go in several batches, by a hash of their id."""
+    n = -(-questions.count() // QUESTIONS)
+    if n <= 1:
+        return search(questions)
+    return reduce(DataFrame.unionByName, [search(questions.filter(F.pmod(F.xxhash64("query_id"), F.lit(n)) == i)) for i in range(n)])
+
+
 def top_hits(hits: DataFrame, k: int) -> DataFrame:
     return top_per(hits.select("query_id", "chunk_id", "score"), "query_id", k, F.desc("score"), "chunk_id")
 
 
 def sparse_hits(chunks: DataFrame, questions: DataFrame, k: int) -> DataFrame:
     """Score: the question's tokens that are substrings of the chunk."""
+    return by_batches(lambda q: _sparse_hits(chunks, q, k), questions)
+
+
+def _sparse_hits(chunks: DataFrame, questions: DataFrame, k: int) -> DataFrame:
     asked = questions.select("query_id", question_tokens(F.col("text")).alias("tokens")).filter(F.size("tokens") > 0)
     rows = chunks.select("chunk_id", F.lower("content").alias("content"))
     hit = F.exists("tokens", lambda t: F.contains("content", t))
@@ -46,6 +63,10 @@ def dense_hits(chunks: DataFrame, questions: DataFrame, k: int, dim: int = 256,
     Only cells that a question has can add to a product, so chunk cells meet the questions'
     (broadcast) cells by index; a chunk without a common cell is no hit.
     """
+    return by_batches(lambda q: _dense_hits(chunks, q, k, dim, metric, embedder), questions)
+
+
+def _dense_hits(chunks: DataFrame, questions: DataFrame, k: int, dim: int, metric: str, embedder: Embedder) -> DataFrame:
     cells = embedder(chunks, "chunk_id", "content", dim)
     asked = embedder(questions, "query_id", "text", dim).select("query_id", "idx", F.col("value").alias("q"), F.col("norm").alias("q_norm"))
     products = cells.join(F.broadcast(asked), "idx").groupBy("query_id", "chunk_id").agg(F.sum(F.col("value") * F.col("q")).alias("dot"), F.max("norm").alias("norm"), F.max("q_norm").alias("q_norm"))
@@ -68,6 +89,10 @@ def vector_neighbours(vectors: DataFrame, queries: DataFrame, k: int) -> DataFra
 
 def graph_seed_hits(mentions: DataFrame, questions: DataFrame, k: int) -> DataFrame:
     """Chunks that mention an entity whose name holds a question token: the most tokens of one entity."""
+    return by_batches(lambda q: _graph_seed_hits(mentions, q, k), questions)
+
+
+def _graph_seed_hits(mentions: DataFrame, questions: DataFrame, k: int) -> DataFrame:
     asked = questions.select("query_id", question_tokens(F.col("text")).alias("tokens")).filter(F.size("tokens") > 0)
     names = mentions.select("name").distinct()
     n = n_contained(F.col("tokens"), F.col("name"))
@@ -83,6 +108,10 @@ def asked_concepts(questions: DataFrame, lexicon: list[Entry]) -> DataFrame:
 
 def graph_hop_hits(mentions: DataFrame, edges: DataFrame, questions: DataFrame, lexicon: list[Entry], k: int) -> DataFrame:
     """Chunks that mention a parent, alternative or requirement of a concept in the question; score 1."""
+    return by_batches(lambda q: _graph_hop_hits(mentions, edges, q, lexicon, k), questions)
+
+
+def _graph_hop_hits(mentions: DataFrame, edges: DataFrame, questions: DataFrame, lexicon: list[Entry], k: int) -> DataFrame:
     up = edges.filter(F.col("rel").isin("IS_SUBTYPE_OF", "REQUIRES", "ALTERNATIVE_TO")).select(F.lower("src_name").alias("name"), F.col("dst_name").alias("related"))
     back = edges.filter("rel = 'ALTERNATIVE_TO'").select(F.lower("dst_name").alias("name"), F.col("src_name").alias("related"))
     asked = asked_concepts(questions, lexicon).select("query_id", F.lower("name").alias("name"))

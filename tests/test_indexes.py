@@ -105,6 +105,16 @@ def test_batches_of_questions(spark, monkeypatch, sf_dir):
     assert key(text_index.search(text_index.build(rows), asked, 5)) == key(retrieval.sparse_hits(rows, asked, 5))
 
 
+def test_retrieval_in_batches_gives_the_same(spark, sf_dir, monkeypatch):
+    rows, asked = chunks(spark, sf_dir), questions(spark)
+    names = extraction.chunk_mentions(rows, lx.COMMON).select("chunk_id", F.col("canonical").alias("name"))
+    searches = [lambda: retrieval.sparse_hits(rows, asked, 3), lambda: retrieval.dense_hits(rows, asked, 3), lambda: retrieval.graph_seed_hits(names, asked, 3)]
+    key = lambda df: sorted((r.query_id, r.chunk_id, round(r.score, 9), r["rank"]) for r in df.collect())
+    whole = [key(f()) for f in searches]
+    monkeypatch.setattr(retrieval, "QUESTIONS", 2)
+    assert [key(f()) for f in searches] == whole and all(whole)
+
+
 def test_only_blocks_with_candidates_are_read(spark, tmp_path):
     docs = text_rows(spark, 3000)
     index = text_index.build(docs, str(tmp_path / "index"), folders=16)
