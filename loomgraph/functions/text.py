@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomgraph.functions.embedding import embedding
+
 #: Fixed value: a token of questions, contexts and answers.
 TOKEN = "[A-Za-z][A-Za-z0-9_-]{2,}"
 #: Most distinct tokens that a question searches with.
@@ -70,22 +72,10 @@ def safe_name(c: Column) -> Column:
     return F.when(kept == "", "Entity").otherwise(kept)
 
 
-def token_cell(token: Column, dim: int) -> tuple[Column, Column]:
-    """A token's index in a hash embedding, and its sign."""
-    digest = F.sha2(token, 256)
-    number = lambda start, n: F.conv(F.substring(digest, start, n), 16, 10).cast("long")
-    return number(1, 8) % dim, F.when(number(9, 2) % 2 == 0, 1).otherwise(-1)
-
-
 def embedding_cells(rows: DataFrame, key: str, text: str, dim: int = 256) -> DataFrame:
     """key, idx, value (a signed count), norm: the non-zero cells of each row's hash embedding.
 
-    Counting happens before the shuffle, so a row sends `dim` cells at most.
+    A row's cells are counted inside the row, so nothing is shuffled.
     """
-    index, sign = token_cell(F.col("token"), max(8, dim))
-    cells = rows.select(key, F.explode(tokens(F.col(text))).alias("token")).select(key, index.alias("idx"), sign.alias("sign"))
-    cells = cells.groupBy(key, "idx").agg(F.sum("sign").alias("value")).filter("value <> 0")
-    # A row's cells, `dim` at most, meet once: their norm is taken there, so that no step is done twice.
-    own = cells.groupBy(key).agg(F.collect_list(F.struct("idx", "value")).alias("cells"))
-    norm = F.sqrt(F.aggregate("cells", F.lit(0).cast("double"), lambda t, x: t + x["value"] * x["value"]))
-    return own.select(key, norm.alias("norm"), F.inline("cells")).select(key, "idx", "value", "norm")
+    own = rows.select(key, embedding(F.lower(text), TOKEN, max(8, dim)).alias("_e"))
+    return own.select(key, F.col("_e.norm").alias("norm"), F.inline("_e.cells")).select(key, "idx", "value", "norm")
