@@ -83,5 +83,5 @@ def test_near_duplicates_without_ids(spark, sf_dir):
 
 
 def test_registered_queries(spark, sf_dir):
-    assert [q.split("_")[0] for q in queries.queries()] == [f"op{i}" for i in range(1, 11)]
+    assert [q.split("_")[0] for q in queries.queries()] == [f"op{i}" for i in range(1, 14)]
     assert set(ORACLES) <= set(queries.queries())
