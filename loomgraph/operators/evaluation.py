@@ -27,6 +27,11 @@ COST_PER_TOKEN = 5e-7
 SUPPORT = 0.25
 
 
+def _rounded(value: Column, places: int) -> Column:
+    """Scaled, rounded half away from zero and scaled back, all in doubles, as DuckDB does: F.round takes ties by a double's shortest decimal digits."""
+    return F.round(value * F.lit(10.0**places)) / F.lit(10.0**places)
+
+
 def _mean(values: Column) -> Column:
     """Mean of an array of doubles, to 4 places; 0 if empty."""
     total = F.aggregate(values, F.lit(0.0), lambda s, x: s + x)
@@ -144,7 +149,7 @@ def link_metrics(expected: Column, contexts: Column) -> dict[str, Column]:
 
 def estimated_cost(question: Column, answer: Column, contexts: Column) -> Column:
     n = F.size(tokens(question)) + F.size(tokens(answer)) + F.size(tokens(F.array_join(contexts, "\n")))
-    return F.round(n * F.lit(COST_PER_TOKEN), 6)
+    return _rounded(n * F.lit(COST_PER_TOKEN), 6)
 
 
 def synthesize(question: Column, results: Column) -> Column:

@@ -128,4 +128,6 @@ def reason_text(mode: Column, reason: Column) -> Column:
 
 
 def cost_label(cost: Column) -> Column:
-    return F.when(cost <= 0, "Low").when(cost < 0.001, "<$0.001 / query").otherwise(F.concat(F.lit("$"), F.format_string("%.4f", cost), F.lit(" / query")))
+    """Four places of the stored double, as C prints them; format_string rounds its shortest decimal digits (0.00165 to 0.0017)."""
+    places = F.call_function("format_number", cost, F.lit("0.0000"))
+    return F.when(cost <= 0, "Low").when(cost < 0.001, "<$0.001 / query").otherwise(F.concat(F.lit("$"), places, F.lit(" / query")))

@@ -56,3 +56,18 @@ def test_labels(spark):
     assert got[1][1] == "This question best matched the dense pattern." and got[0][1].startswith("No strong route")
     costs = spark.createDataFrame([(0.0,), (0.0005,), (0.0123,)], "c double").coalesce(1)
     assert [r[0] for r in costs.select(routing.cost_label(F.col("c"))).collect()] == ["Low", "<$0.001 / query", "$0.0123 / query"]
+
+
+def test_costs_round_as_their_sql(spark):
+    import duckdb
+
+    texts = spark.range(0, 3000, 1, 4).select("id", F.repeat(F.lit("abc "), F.col("id").cast("int")).alias("text"))
+    cost = evaluation.estimated_cost(F.lit(""), F.lit(""), F.array("text"))
+    got = [r.cost for r in texts.select("id", cost.alias("cost")).orderBy("id").collect()]
+    assert got == [r[0] for r in duckdb.sql("SELECT round(range * 0.0000005::DOUBLE, 6) FROM range(3000) ORDER BY range").fetchall()]
+
+
+def test_cost_labels_round_the_stored_number(spark):
+    given = [0.001, 0.00165, 0.00295, 0.0123, 0.03125, 0.99995, 1234.5]
+    costs = spark.createDataFrame([(c,) for c in given], "c double").coalesce(1)
+    assert [r[0] for r in costs.select(routing.cost_label(F.col("c"))).collect()] == [f"${c:.4f} / query" for c in given]
