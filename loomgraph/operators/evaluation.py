@@ -35,7 +35,7 @@ def _rounded(value: Column, places: int) -> Column:
 def _mean(values: Column) -> Column:
     """Mean of an array of doubles, to 4 places; 0 if empty."""
     total = F.aggregate(values, F.lit(0.0), lambda s, x: s + x)
-    return F.when(F.size(values) == 0, 0.0).otherwise(F.round(total / F.size(values), 4))
+    return F.when(F.size(values) == 0, 0.0).otherwise(_rounded(total / F.size(values), 4))
 
 
 def _once(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -129,7 +129,7 @@ def multi_hop(question: Column, results: Column) -> Column:
         others = F.filter(support, lambda o, j: (i != j) & (F.size(o["all"]) > 0))
         bridge = F.when(F.size(s["entities"]) == 0, 0.0).otherwise(F.coalesce(F.array_max(F.transform(others, lambda o: jaccard(s["entities"], o["all"]))), F.lit(0.0)))
         structure = F.when((F.size(s["entities"]) > 0) & (F.size(s["graph"]) > 0), 1.0).when(F.size(s["entities"]) > 0, 0.5).otherwise(0.0)
-        full = F.round(0.45 * coverage(asked, s["all"]) + 0.35 * bridge + 0.20 * structure, 4)
+        full = _rounded(0.45 * coverage(asked, s["all"]) + 0.35 * bridge + 0.20 * structure, 4)
         return F.when(F.size(s["all"]) == 0, 0.0).otherwise(full)
 
     return _once(_once(given, lambda support: F.transform(support, lambda s, i: score(support, s, i))), _mean)

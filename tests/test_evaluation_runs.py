@@ -71,3 +71,20 @@ def test_cost_labels_round_the_stored_number(spark):
     given = [0.001, 0.00165, 0.00295, 0.0123, 0.03125, 0.99995, 1234.5]
     costs = spark.createDataFrame([(c,) for c in given], "c double").coalesce(1)
     assert [r[0] for r in costs.select(routing.cost_label(F.col("c"))).collect()] == [f"${c:.4f} / query" for c in given]
+
+
+def test_hops_round_as_their_sql(spark, tmp_path):
+    import duckdb
+
+    from loomgraph.plans import rowwise
+
+    words = ["alpha beta", "alpha", "beta gamma delta", "", "delta user", "gamma", "system alpha eps", "eps zeta eta beta"]
+    roles = ["user", "assistant", "system", "user", None]
+    turns = [(c, t, roles[(c + t * (1 + c // 5)) % 5], " ".join(words[(c * (t + 1) + t * t + j) % 8] for j in range(1 + c % 3))) for c in range(400) for t in range(2 + c % 7)]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").coalesce(1).write.parquet(str(tmp_path / "conversations.parquet"))
+    got = {r.conv_id: r.accuracy for r in rowwise.multi_hop_scores(spark, str(tmp_path)).collect()}
+    con = duckdb.connect()
+    con.sql(f"create view conversations as select * from '{tmp_path}/conversations.parquet/*.parquet'")
+    want = dict(con.sql(rowwise.ORACLES["multi_hop_scores"]).fetchall())
+    assert {c: (got.get(c), want[c]) for c in want if got.get(c) != want[c]} == {}
+    assert len(got) == len(want) == 400
