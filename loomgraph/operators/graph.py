@@ -5,6 +5,8 @@ nodes: label, name (and props). edges: src_label, src_name, rel, dst_label, dst_
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -87,45 +89,77 @@ def query_subgraph(nodes: DataFrame, edges: DataFrame, terms: list[str], most_se
     return kept.drop("query_id"), inner.select(*EDGE_KEY)
 
 
+#: Terms of a batch that is broadcast; more go in batches of about that size.
+TERMS = 100_000
+
+
 def subgraphs(nodes: DataFrame, edges: DataFrame, questions: DataFrame, hops: int = 1, most_seeds: int = 60, most_nodes: int = 300) -> tuple[DataFrame, DataFrame]:
     """The subgraph of every question (query_id, terms), many at once: kept nodes with their hop, and edges among them.
 
     Terms are of three characters or more, others are left out. A term meets only the nodes that
-    hold its rarest trigram.
+    hold its rarest trigram, and goes on with its first `most_seeds` nodes: a question's seeds are
+    the first of all its terms' nodes, so they are among these.
     """
     asked = questions.select("query_id", F.explode("terms").alias("term")).filter(F.length("term") >= 3).withColumn("term", F.lower("term")).distinct()
-    texts = written(nodes.select(*NODE_KEY, _node_text(nodes).alias("text")).distinct())
+    texts = written(nodes.select(*NODE_KEY, _node_text(nodes).alias("text")))
     held = texts.select(*NODE_KEY, "text", F.explode(trigrams(F.col("text"))).alias("gram"))
     n_held = held.groupBy("gram").agg(F.count("*").alias("n"))
     own = asked.select("term").distinct().select("term", F.explode(trigrams(F.col("term"))).alias("gram"))
     # A term with a trigram that no node has is dropped here.
-    rare = own.join(n_held, "gram", "left").groupBy("term").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("r")).filter("r.n > 0").select("term", "r.gram")
-    hits = written(held.join(rare, "gram").filter(F.contains("text", F.col("term"))).select("term", *NODE_KEY))
-    return expanded(hits.join(asked, "term").select("query_id", *NODE_KEY).distinct(), nodes, edges, hops, most_seeds, most_nodes)
+    rare = written(own.join(n_held, "gram", "left").groupBy("term").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("r")).filter("r.n > 0").select("term", "r.gram"))
+    batches = max(1, math.ceil(rare.count() / TERMS))
+    hits = None
+    for i in range(batches):
+        met = held.join(F.broadcast(rare.filter(F.pmod(F.xxhash64("term"), F.lit(batches)) == i)), "gram").filter(F.contains("text", F.col("term")))
+        # A node may be there with several texts, so equal nodes take one rank.
+        place = F.dense_rank().over(Window.partitionBy("term").orderBy(*NODE_KEY))
+        first = met.withColumn("place", place).filter(F.col("place") <= max(1, most_seeds)).select("term", *NODE_KEY).distinct()
+        hits = first if hits is None else hits.unionByName(first)
+    return expanded(written(hits).join(asked, "term").select("query_id", *NODE_KEY).distinct(), nodes, edges, hops, most_seeds, most_nodes)
 
 
 def expanded(found: DataFrame, nodes: DataFrame, edges: DataFrame, hops: int, most_seeds: int, most_nodes: int) -> tuple[DataFrame, DataFrame]:
     """kept (query_id, label, name, hop) and edges among kept, from found (query_id, label, name).
 
-    The frontier is a table: every round joins the nodes of the last hop with the edges, cuts each
-    question to its limit and is written, so that the plan stays as small after any number of hops.
+    Questions with the same seeds are one group and are expanded once. The frontier is a table: every
+    round joins the nodes of the last hop with their first neighbours, cuts each group to its limit and
+    is written, so that the plan stays as small after any number of hops.
     """
-    key = ["query_id", *NODE_KEY]
-    frontier = kept = written(top_per(found, "query_id", max(1, most_seeds), *NODE_KEY).select(*key, F.lit(0).alias("hop")))
-    ends = lambda a, b: edges.select(F.col(f"{a}_label").alias("label"), F.col(f"{a}_name").alias("name"), F.col(f"{b}_label").alias("n_label"), F.col(f"{b}_name").alias("n_name"))
-    both = ends("src", "dst").unionByName(ends("dst", "src"))
+    most, key = max(1, most_nodes), ["group_id", *NODE_KEY]
+    seeds = top_per(found, "query_id", max(1, most_seeds), *NODE_KEY).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct(*NODE_KEY))).alias("seeds"))
+    chosen = written(seeds)
+    groups = written(chosen.select("seeds").distinct().withColumn("group_id", F.monotonically_increasing_id()))
+    members = written(chosen.join(groups, "seeds").select("query_id", "group_id"))
+    frontier = kept = written(groups.select("group_id", F.inline("seeds")).select(*key, F.lit(0).alias("hop")))
     for hop in range(1, hops + 1):
-        near = frontier.join(both, NODE_KEY).select("query_id", F.col("n_label").alias("label"), F.col("n_name").alias("name")).distinct()
-        near = near.join(nodes.select(*NODE_KEY).distinct(), NODE_KEY, "left_semi").join(kept.select(*key), key, "left_anti")
-        room = F.lit(max(1, most_nodes)) - F.coalesce("n", F.lit(0))
-        ranked = top_per(near, "query_id", max(1, most_nodes), *NODE_KEY).join(kept.groupBy("query_id").agg(F.count("*").alias("n")), "query_id", "left")
+        near = frontier.join(first_neighbours(frontier, nodes, edges, most), NODE_KEY).select("group_id", F.col("n_label").alias("label"), F.col("n_name").alias("name")).distinct()
+        near = near.join(kept.select(*key), key, "left_anti")
+        room = F.lit(most) - F.coalesce("n", F.lit(0))
+        ranked = top_per(near, "group_id", most, *NODE_KEY).join(kept.groupBy("group_id").agg(F.count("*").alias("n")), "group_id", "left")
         frontier = written(ranked.filter(F.col("rank") <= room).select(*key, F.lit(hop).alias("hop")))
         kept = written(kept.unionByName(frontier))
-    kept = top_per(kept, "query_id", max(1, most_nodes), "hop", *NODE_KEY).drop("rank")
+    kept = top_per(kept, "group_id", most, "hop", *NODE_KEY).drop("rank")
     kept = written(kept)
-    side = lambda s: kept.select("query_id", F.col("label").alias(f"{s}_label"), F.col("name").alias(f"{s}_name"))
-    inner = edges.select(*EDGE_KEY).join(side("src"), ["src_label", "src_name"]).join(side("dst"), ["query_id", "dst_label", "dst_name"])
-    return kept, inner.select("query_id", *EDGE_KEY)
+    among = written(kept.select(*NODE_KEY).distinct())
+    side = lambda rows, s, *more: rows.select(*more, F.col("label").alias(f"{s}_label"), F.col("name").alias(f"{s}_name"))
+    inner = edges.select(*EDGE_KEY)
+    for s in ("src", "dst"):
+        inner = inner.join(side(among, s), [f"{s}_label", f"{s}_name"], "left_semi")
+    inner = written(inner.join(side(kept, "src", "group_id"), ["src_label", "src_name"]).join(side(kept, "dst", "group_id"), ["group_id", "dst_label", "dst_name"]).select("group_id", *EDGE_KEY))
+    return members.join(kept, "group_id").select("query_id", *NODE_KEY, "hop"), members.join(inner, "group_id").select("query_id", *EDGE_KEY)
+
+
+def first_neighbours(frontier: DataFrame, nodes: DataFrame, edges: DataFrame, most: int) -> DataFrame:
+    """label, name, n_label, n_name: the first `most` neighbours, of those that are nodes, of each node of the frontier.
+
+    Later ones are never needed: a group with n kept nodes takes `most` - n more at most, and of a
+    node's first `most` neighbours no more than n are kept already.
+    """
+    ends = lambda a, b: edges.select(F.col(f"{a}_label").alias("label"), F.col(f"{a}_name").alias("name"), F.col(f"{b}_label").alias("n_label"), F.col(f"{b}_name").alias("n_name"))
+    at = written(frontier.select(*NODE_KEY).distinct())
+    near = ends("src", "dst").unionByName(ends("dst", "src")).join(at, NODE_KEY, "left_semi").distinct()
+    near = near.join(nodes.select(F.col("label").alias("n_label"), F.col("name").alias("n_name")), ["n_label", "n_name"], "left_semi")
+    return written(top_per(near, NODE_KEY, most, "n_label", "n_name").select(*NODE_KEY, "n_label", "n_name"))
 
 
 def degrees(edges: DataFrame) -> DataFrame:
@@ -144,7 +178,7 @@ def view(nodes: DataFrame, edges: DataFrame, most: int = 35, left_out: list[str]
     return kept, inner.join(side("src"), ["src_label", "src_name"], "left_semi").join(side("dst"), ["dst_label", "dst_name"], "left_semi").select(*EDGE_KEY)
 
 
-def top_per(rows: DataFrame, group: str, k: int, *order) -> DataFrame:
+def top_per(rows: DataFrame, group: str | list[str], k: int, *order) -> DataFrame:
     """The first k rows of each group; Spark cuts each task's groups to k before the shuffle."""
     rank = F.row_number().over(Window.partitionBy(group).orderBy(*order))
     return rows.withColumn("rank", rank).filter(F.col("rank") <= k)

@@ -169,6 +169,24 @@ def test_subgraph_plan_does_not_grow_with_hops(spark):
     assert scans[0] == scans[1] <= 3
 
 
+def test_subgraphs_write_no_more_than_their_limits(spark, monkeypatch):
+    """A term that occurs in all names, and a hub: neither is multiplied by the questions that meet it."""
+    names = [("A", f"north-{i:04}") for i in range(900)] + [("H", "hub")]
+    edges = [("H", "hub", "R", *n) for n in names[:900:2]] + [("H", "hub", "R", "A", f"gone-{i}") for i in range(40)] + [(*names[4], "R", *names[6]), (*names[4], "S", *names[6])]
+    asked = [(f"q{i}", ["north"] if i % 2 else ["hub", "nort"] if i % 3 else ["hub"]) for i in range(40)]
+    made, keep = [], graph.written
+    monkeypatch.setattr(graph, "written", lambda df, *a: made.append(keep(df, *a)) or made[-1])
+    kept, inner = graph.subgraphs(spark.createDataFrame(names * 2, "label string, name string"), spark.createDataFrame(edges, "src_label string, src_name string, rel string, dst_label string, dst_name string"), spark.createDataFrame(asked, "query_id string, terms array<string>"), 1, 5, 12)
+    assert sorted(t.count() for t in made)[-2:] <= [40, 2 * len(names)]  # the questions, and the texts of all nodes
+    found, links = {}, {}
+    for r in kept.collect():
+        found.setdefault(r.query_id, {})[r.label, r["name"]] = r.hop
+    for r in inner.collect():
+        links.setdefault(r.query_id, set()).add(tuple(r)[1:])
+    for q, terms in asked:
+        assert (found[q], links.get(q, set())) == brute_subgraph(names, edges, terms, 1, 5, 12)
+
+
 def test_automaton_equals_the_patterns(spark, sf_dir):
     """On all documents, and on texts made of the aliases with odd borders and runs."""
     rng = random.Random(9)
