@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -133,6 +134,40 @@ def test_only_blocks_with_candidates_are_read(spark, tmp_path):
     assert index.postings.groupBy("gram").count().agg(F.max("count")).first()[0] <= index.store.select("block").distinct().count()
 
 
+def test_postings_take_a_row_per_run_of_blocks(spark):
+    docs = spark.range(6400).select(F.concat(F.lit("c"), "id").alias("chunk_id"), F.concat(F.lit("the same words "), F.when(F.col("id") % 100 == 0, F.lit("and zq-"))).alias("content"))
+    index = text_index.build(docs.coalesce(1), folders=1)
+    assert index.store.select("block").distinct().count() >= 100
+    assert index.postings.filter("gram = 'sam'").count() <= 8  # runs of 32 blocks, by task
+
+
+@pytest.mark.parametrize("cut", [1, 70, 100, 5000])
+def test_postings_of_odd_texts_in_pieces(spark, cut):
+    """Batches and tasks may end within a block; texts may be null, short or of other scripts."""
+    rng = random.Random(3)
+    texts = ["", None, "ab", "abc", "a b cde", "日本語abc日def", "x_y-z 9", "é", "tabs\tand\nlines"]
+    rows = [(i // 64, i % 64, rng.choice(texts)) for i in range(64 * 70)]
+    want = {}
+    for block, bit, text in rows:
+        for g in {text[i : i + 3] for i in range(len(text) - 2)} if text else ():
+            if all(c in text_index.CHARACTERS for c in g):
+                want[g, block] = want.get((g, block), 0) | 1 << bit
+    whole = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], ["block", "bit", "content"])
+    none = whole.slice(0, 3).set_column(2, "content", pa.array([None] * 3, pa.string()))
+    pieces = [whole.slice(i, cut) for i in range(0, len(rows), cut)]
+    half = len(pieces) // 2
+    out = [b for task in (pieces[:half], [*pieces[half:], none.slice(0, 0)], [none]) for b in text_index._postings(iter(task))]
+    found = {}
+    for b in out:
+        for r in b.to_pylist():
+            for block, bits in zip(r["blocks"], r["bits"], strict=True):
+                found[r["gram"], block] = found.get((r["gram"], block), 0) | bits % (1 << 64)
+    assert found == want
+    index = text_index.TextIndex(spark.createDataFrame(pa.Table.from_batches([b for b in out if len(b)])).withColumn("folder", F.lit(0)), None, 1)
+    met = text_index.candidates(index, spark.createDataFrame([("tabs",), ("cde",), ("nothing",)], "token string")).collect()
+    assert {(r.token, r.block, r.bits % (1 << 64)) for r in met} == {(t, b, x) for t, g in (("tabs", "tab"), ("cde", "cde")) for (h, b), x in want.items() if h == g}
+
+
 def brute_subgraph(nodes, edges, terms, hops, most_seeds, most_nodes):
     named = sorted(set(nodes))
     kept = dict.fromkeys([n for n in named if any(t.lower() in n[1].lower() for t in terms if len(t) >= 3)][:most_seeds], 0)
