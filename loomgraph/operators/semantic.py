@@ -82,8 +82,8 @@ def ontology(spark: SparkSession, lexicon: list[Entry], ns: str = NAMESPACE) ->
     return fixed.distinct()
 
 
-def instances(nodes: DataFrame, edges: DataFrame, ns: str = NAMESPACE) -> DataFrame:
-    """Label, type and relation triples of nodes and edges with names."""
+def instances(nodes: DataFrame, edges: DataFrame, ns: str = NAMESPACE, repeats: bool = False) -> DataFrame:
+    """Label, type and relation triples of nodes and edges with names; repeats: equal ones may be left, for a writer that drops them."""
     named = nodes.filter(strip(F.coalesce("name", F.lit(""))) != "")
     s = node_iri(F.col("name"), ns)
     triple = lambda p, o, kind: F.struct(s.alias("s"), F.lit(p).alias("p"), o.alias("o"), F.lit(kind).alias("o_kind"))
@@ -91,7 +91,7 @@ def instances(nodes: DataFrame, edges: DataFrame, ns: str = NAMESPACE) -> DataFr
     own = named.select(F.inline(F.array(triple(RDFS + "label", strip(F.col("name")), "literal"), triple(RDF + "type", F.concat(F.lit(ns), "label"), "iri"))))
     full = edges.filter((strip(F.coalesce("src_name", F.lit(""))) != "") & (strip(F.coalesce("dst_name", F.lit(""))) != "") & (strip(F.coalesce("rel", F.lit(""))) != ""))
     links = full.select(node_iri(F.col("src_name"), ns), F.concat(F.lit(ns), strip(F.col("rel"))), node_iri(F.col("dst_name"), ns), F.lit("iri"))
-    return own.union(links).distinct()
+    return own.union(links) if repeats else own.union(links).distinct()
 
 
 def snapshot(nodes: DataFrame, edges: DataFrame, most_nodes: int | None = 300, most_edges: int | None = 600) -> tuple[DataFrame, DataFrame]:

@@ -42,7 +42,7 @@ def turn_subgraphs(spark, sf_dir):
 def turtle_triples(spark, sf_dir):
     """The star graph written as Turtle and read back: its triples by predicate."""
     path = shared_folder(spark)
-    write_turtle(semantic.instances(star_nodes(spark, sf_dir), star_edges(spark, sf_dir)), path, {"g": semantic.NAMESPACE, "rdfs": semantic.RDFS})
+    write_turtle(semantic.instances(star_nodes(spark, sf_dir), star_edges(spark, sf_dir), repeats=True), path, {"g": semantic.NAMESPACE, "rdfs": semantic.RDFS})
     return read_turtle(spark, path).groupBy("p").agg(F.count("*").alias("n"), F.countDistinct("s").alias("n_subjects"), F.countDistinct("o").alias("n_objects"))
 
 

@@ -1,5 +1,7 @@
 """The Turtle source on documents of every form, in pieces of every size, and round trips."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -95,6 +97,44 @@ def test_round_trip(spark, tmp_path):
     assert "ns:one a ns:Class" in text and '"5"^^xsd:integer' in text and not list((tmp_path / "out").glob("_*"))
 
 
+def test_plain_statements_are_read_many_at_once(spark, monkeypatch, tmp_path):
+    rows = [(f"http://x/ns#s{i // 3}", RDF + "type" if i % 3 else "http://x/ns#p", f"http://x/o/{i}", "iri", None) for i in range(900)]
+    turtle.write_turtle(spark.createDataFrame(rows, turtle.SCHEMA).coalesce(1), str(tmp_path / "t"), {"ns": "http://x/ns#"})
+    took, statement = [], Parser.statement
+    monkeypatch.setattr(Parser, "statement", lambda self: (took.append(1), statement(self)))
+    found = [t for f in sorted((tmp_path / "t").glob("part-*.ttl")) for t in parsed(f.read_text())]
+    assert sorted(found, key=str) == sorted(rows, key=str)
+    assert len(took) <= 3 * len(list((tmp_path / "t").glob("part-*.ttl")))  # the prefix and the end of each file
+
+
+PARTS = [
+    "<http://a> <http://b> <http://c> .", 'ex:a a ex:B ; ex:p "x"@en-GB , "y" .', 'ex:a ex:p "x"^^ex:int ; <u:q> "z"^^<u:t> .', "ex:a ex:p ex:b.c .", "ex:a ex:p ex:b.", 'ex:a ex:p "" .', "ex:a ex:p 'a . b' .", 'ex:a ex:p """l . " ; ex:q "no" .\n""" .',
+    "ex:a ex:p 5 ; ex:q true .", "ex:a ex:p ex:o ; .", "ex:a ex:p ex:o ;; ex:q ex:r .", "# ex:a ex:p ex:o .\n", "ex:a ex:p ex:o . # <u:a> <u:b> <u:c> .\n", 'ex:a ex:p "t\\t é日" .', "@prefix ex: <http://new/> .", "PREFIX ex: <http://old/>", "_:b ex:p _:c .", "[] ex:p ex:o .",
+    "<rel> ex:p <http://h/\\u00e9> .", "ex:a\nex:p\n<http://c>.", "a:x a a:y .", "ex:a <u:p> 'é'@fr .", "ex:é ex:p ex:o .", "ex:a ex:p ( ex:b 1 ) .", "ex:a <u:p>\t<u:o>;\tex:q\tex:r\t.\t",
+]
+
+
+@pytest.mark.parametrize("size", [11, 60, 1 << 20])
+def test_plain_and_other_statements_mixed(monkeypatch, size):
+    rng = random.Random(size)
+    texts = ["@base <http://base/> . @prefix ex: <http://x/> . @prefix a: <http://a/> .\n" + rng.choice(["\n", " "]).join(rng.choices(PARTS, k=40)) + "\n" for _ in range(60)]
+    many = [parsed(t, size) for t in texts]
+    monkeypatch.setattr(turtle.Tokens, "plain", lambda self: [])
+    assert many == [parsed(t, size) for t in texts] and sum(map(len, many)) > 2000
+
+
+def test_errors_among_plain_statements():
+    for text in ("no:a <u:p> <u:o> . <u:a> <u:b> <u:c> .", "<u:a> <u:b> no:c . ", "<u:a> <u:b> <u:c> . <u:a> <u:b> . ", "<u:a> <u:b> <u:c> . <u:a> <u:b> <u:c> ; "):
+        with pytest.raises(TurtleError):
+            parsed(text)
+
+
+def test_repeats_are_written_once(spark, tmp_path):
+    rows = [("u:s", "u:p", "x", "literal", t) for t in (None, "@fr", "u:t")] + [("u:s", "u:p", "x", "iri", None), ("u:t", "u:p", "x", "literal", None)]
+    turtle.write_turtle(spark.createDataFrame(rows * 5000, turtle.SCHEMA), str(tmp_path / "t"))
+    assert sorted(map(tuple, turtle.read_turtle(spark, str(tmp_path / "t")).collect()), key=str) == sorted(rows, key=str)
+
+
 def test_graph_export(spark, sf_dir, tmp_path):
     rows = semantic.instances(star_nodes(spark, sf_dir), star_edges(spark, sf_dir)).cache()
     turtle.write_turtle(rows, str(tmp_path / "g"), {"g": semantic.NAMESPACE, "rdfs": semantic.RDFS})
